@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import langid, minhash, mixing, packing, pii, quality, secrets
+from quayside.llm import langid, license_scan, minhash, mixing, packing, pii, quality, secrets
 from quayside.plans.runtime import table
 
 
@@ -38,4 +38,8 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op5_langid, op6_packing, op8_pii, op9_minhash)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op5_langid, op6_packing, op8_pii, op9_minhash, op10_licenses)}
