@@ -130,3 +130,10 @@ def schedule(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame
     rows = rows.withColumn(text_col, F.when(F.col("_copy.tokens") < F.col("_size"), cut).otherwise(F.col(text_col)))
     rows = rows.select(*columns, F.col("_copy.pass").alias("_pass"), F.col("_copy.position").alias("_position"), F.col("_copy.tokens").alias("_tokens"), "_order")
     return rows.repartitionByRange("_position", "_order").sortWithinPartitions("_position", "_order").drop("_order")
+
+
+def stream(docs: DataFrame, **options) -> DataFrame:
+    """The schedule with docs' own columns only; n_chars, if there is one, counts the text of each copy."""
+    rows = schedule(docs, **options)
+    chars = {"n_chars": F.length(options.get("text_col", "text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return rows.withColumns(chars).select(*docs.columns) if chars else rows.select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import langid, license_scan, minhash, mixing, packing, pii, quality, secrets
+from quayside.llm import embeddings, langid, license_scan, lm_score, minhash, mixing, packing, pii, quality, secrets
 from quayside.plans.runtime import table
 
 
@@ -22,6 +22,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_corpus(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -30,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,4 +50,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op5_langid, op6_packing, op8_pii, op9_minhash, op10_licenses)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_lm_score, op5_langid, op6_packing, op7_embeddings, op8_pii, op9_minhash, op10_licenses, pipeline)
+}
