@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from quayside.plans import q_evaluation
+
+FLAGSHIP = "stratum_weighted_interval"
+QUERIES: dict = dict(q_evaluation.QUERIES)
+SQL: dict = dict(q_evaluation.SQL)
