@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quayside.plans import q_evaluation
+from quayside.plans import q_evaluation, q_panel
 
 FLAGSHIP = "stratum_weighted_interval"
-QUERIES: dict = dict(q_evaluation.QUERIES)
-SQL: dict = dict(q_evaluation.SQL)
+QUERIES: dict = dict(q_evaluation.QUERIES) | q_panel.QUERIES
+SQL: dict = dict(q_evaluation.SQL) | q_panel.SQL
