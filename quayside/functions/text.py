@@ -28,7 +28,11 @@ def literal_pattern(literals: Sequence[str]) -> str:
 def leakage(texts: DataFrame, key: str, text: str, literals: Sequence[str] = ()) -> DataFrame:
     """key, rule, match: a row for every match of every rule."""
     rules = [*LEAKAGE, *([("forbidden_literal", literal_pattern(literals))] if literals else [])]
-    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, n=name: F.struct(F.lit(n).alias("rule"), m.alias("match"))) for name, p in rules])
+
+    def tagged(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(name).alias("rule"), m.alias("match")))
+
+    found = F.concat(*[tagged(*rule) for rule in rules])
     return texts.select(key, F.explode(found).alias("f")).select(key, "f.rule", "f.match")
 
 
