@@ -215,7 +215,7 @@ def identify_corpus(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, *, min_score: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, *, min_score: float = 0.3) -> DataFrame:
     """docs without those it rejects: texts without a language, or labelled with less certainty than min_score.
 
     Rows keep their columns, whatever their names; the labels are made in the same pass as the rows.

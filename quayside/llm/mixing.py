@@ -54,27 +54,28 @@ def slopes(order: Sequence, slope: float) -> dict:
 
 def position(done: Column, target: Column, a: Column) -> Column:
     """t with (1 - a) t + a t^2 = done / target: the inverse of the integrated schedule."""
-    x = F.least(F.lit(1.0), done / target)
-    root = (F.sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / (2 * a)
+    x = F.least(F.lit(1.0), F.coalesce(F.try_divide(done, target), F.lit(0.0)))
+    root = (F.sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / F.when(F.abs(a) < 1e-9, 1.0).otherwise(2 * a)
     return F.when(F.abs(a) < 1e-9, x).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), root)))
 
 
 def curriculum_mix(
-    docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text",
+    docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: Sequence[str] = (),
     weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, slope: float = 0.5, seed: int = 17, max_sources: int = 100_000,
 ) -> DataFrame:
-    """docs with _size, _source_size, _target, _copies (array of pass, position, tokens) and _order, unsorted.
+    """A row per document: _id, _row (a struct of the columns in carry), _size, _source_size, _target, _copies (an array of pass, position and tokens) and _order; unsorted.
 
     Only the totals of sources come to the driver; more than max_sources of them is an error. Sources of any size are
     spread over leaves of a two-level tree of prefix sums, so that none is in one task.
     """
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("_row"))
     n = docs.count()
     bits = max(0, math.ceil(math.log2(max(1, n / LEAF_DOCS))))
     hi_bits = bits // 2
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    src = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
+    h = F.xxhash64(F.lit(seed), "_id")
+    src = F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n"))
     keyed = docs.withColumns({
-        "_size": n_words(F.col(text_col)) if size is None else size, "_src": src, "_order": h,
+        "_src": src, "_order": h,
         "_hi": F.pmod(h, F.lit(1 << hi_bits)), "_lo": F.pmod(F.shiftright(h, 24), F.lit(1 << (bits - hi_bits))),
     })
     leaves = materialize(keyed.groupBy("_src", "_hi", "_lo").agg(F.sum("_size").alias("_leaf")), "mix-leaves")
@@ -95,7 +96,7 @@ def curriculum_mix(
         .join(F.broadcast(plan), "_src")  # at most max_sources rows
         .select("_src", "_hi", "_lo", (F.col("_off") + F.col("_in")).alias("_start"), "_source_size", "_target", "_slope")
     )
-    leaf = before("_src", "_hi", "_lo").orderBy("_order", id_col, "_size")
+    leaf = before("_src", "_hi", "_lo").orderBy("_order", "_id", "_size")
     spread = keyed.join(offsets.hint("merge"), ["_src", "_hi", "_lo"]).withColumn("_start", F.col("_start") + F.coalesce(F.sum("_size").over(leaf), F.lit(0)))
     whole = F.floor(F.col("_target") + 0.5)
     start = lambda p: F.col("_start") + p * F.col("_source_size")
@@ -103,7 +104,7 @@ def curriculum_mix(
         F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1)),
         lambda p: F.struct(p.alias("pass"), position(start(p).cast("double"), F.col("_target"), F.col("_slope")).alias("position"), F.greatest(F.lit(0), F.least(F.col("_size"), whole - start(p))).cast("long").alias("tokens")),
     )
-    return spread.withColumn("_copies", F.filter(copies, lambda c: c["tokens"] > 0)).drop("_src", "_hi", "_lo", "_start", "_slope")
+    return spread.withColumn("_copies", F.filter(copies, lambda c: c["tokens"] > 0)).drop("_src", "_source", "_hi", "_lo", "_start", "_slope")
 
 
 def mix_summary(docs: DataFrame, **options) -> DataFrame:
@@ -111,7 +112,7 @@ def mix_summary(docs: DataFrame, **options) -> DataFrame:
     mixed = curriculum_mix(docs, **options)
     taken = F.aggregate("_copies", F.lit(0).cast("long"), lambda s, c: s + c["tokens"])
     out = mixed.select(
-        options.get("id_col", "doc_id"), F.col("_size").alias("size"), F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"),
+        F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"),
         taken.alias("taken"), F.get(F.col("_copies"), F.lit(0))["position"].alias("position"), "_order",
     )
     # documents that are not taken have no position: the hash keeps them from meeting in one range
@@ -119,21 +120,23 @@ def mix_summary(docs: DataFrame, **options) -> DataFrame:
 
 
 def schedule(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The training stream: a row per copy with docs' columns, pass, position and tokens, range-sorted by position.
+    """The training stream: row (a struct of docs' columns), pass, position and tokens of each copy, range-sorted by position.
 
     The copy that reaches the target is cut to its remaining words, separators before them included.
     """
-    columns = docs.columns
-    mixed = curriculum_mix(docs, text_col=text_col, **options)
-    rows = mixed.select("*", F.explode("_copies").alias("_copy"))
-    cut = F.regexp_substr(F.col(text_col), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_copy.tokens"), F.lit("}+")))
-    rows = rows.withColumn(text_col, F.when(F.col("_copy.tokens") < F.col("_size"), cut).otherwise(F.col(text_col)))
-    rows = rows.select(*columns, F.col("_copy.pass").alias("_pass"), F.col("_copy.position").alias("_position"), F.col("_copy.tokens").alias("_tokens"), "_order")
-    return rows.repartitionByRange("_position", "_order").sortWithinPartitions("_position", "_order").drop("_order")
+    columns, text = docs.columns, F.col("_row").getField(text_col)
+    mixed = curriculum_mix(docs, text_col=text_col, carry=columns, **options)
+    rows = mixed.select("_row", "_size", "_order", F.explode("_copies").alias("_copy"))
+    cut = F.regexp_substr(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_copy.tokens"), F.lit("}+")))
+    new = F.when(F.col("_copy.tokens") < F.col("_size"), cut).otherwise(text)
+    row = F.struct(*[(new if c == text_col else F.col("_row").getField(c)).alias(c) for c in columns])
+    rows = rows.select(row.alias("row"), F.col("_copy.pass").alias("pass"), F.col("_copy.position").alias("position"), F.col("_copy.tokens").alias("tokens"), "_order")
+    return rows.repartitionByRange("position", "_order").sortWithinPartitions("position", "_order").drop("_order")
 
 
 def stream(docs: DataFrame, **options) -> DataFrame:
     """The schedule with docs' own columns only; n_chars, if there is one, counts the text of each copy."""
-    rows = schedule(docs, **options)
-    chars = {"n_chars": F.length(options.get("text_col", "text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return rows.withColumns(chars).select(*docs.columns) if chars else rows.select(*docs.columns)
+    rows = schedule(docs, **options).select("row.*")
+    if "n_chars" not in docs.columns:
+        return rows
+    return rows.withColumn("n_chars", F.length(options.get("text_col", "text")).cast(docs.schema["n_chars"].dataType))
