@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quayside.plans import q_evaluation, q_panel, q_text
+from quayside.plans import q_evaluation, q_panel, q_policy, q_text
 
 FLAGSHIP = "stratum_weighted_interval"
-QUERIES: dict = dict(q_evaluation.QUERIES) | q_panel.QUERIES | q_text.QUERIES
-SQL: dict = dict(q_evaluation.SQL) | q_panel.SQL | q_text.SQL
+QUERIES: dict = dict(q_evaluation.QUERIES) | q_panel.QUERIES | q_text.QUERIES | q_policy.QUERIES
+SQL: dict = dict(q_evaluation.SQL) | q_panel.SQL | q_text.SQL | q_policy.SQL

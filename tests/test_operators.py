@@ -121,3 +121,58 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = rows(detectors.suppressed_cusum(data, "demand", *args))
     assert sorted(rows(spark.table("fired"))) == sorted(batch) and len(batch) == 2
+
+
+def test_arrival_filter_equals_enumeration():
+    import itertools
+
+    from quayside.operators.laws import ArrivalFilter
+
+    delays, pause, dispatches = (0.20, 0.45, 0.25), 0.20, (2.0, 3.0, 5.0)
+    outcomes = [*enumerate(delays), (None, 1 - sum(delays))]
+    brute = {}
+    for choice in itertools.product(outcomes, (0, 1), repeat=3):
+        moving, weight, seen = [], 1.0, []
+        for (delay, p), paused, q in zip(choice[::2], choice[1::2], dispatches, strict=True):
+            weight *= p * (pause if paused else 1 - pause)
+            moving += [] if delay is None else [(q, delay)]
+            seen.append(sum(x for x, left in moving if left == 0))
+            moving = [(x, left if paused else left - 1) for x, left in moving if left > 0]
+        brute[tuple(seen)] = brute.get(tuple(seen), 0.0) + weight
+    assert abs(sum(brute.values()) - 1) < 1e-12
+    for receipts, expected in brute.items():
+        law, product = ArrivalFilter(delays, pause), 1.0
+        for q, r in zip(dispatches, receipts, strict=True):
+            product *= law.step(q, r)
+        assert abs(product - expected) < 1e-12
+
+
+def test_demand_laws_sum_to_one():
+    import numpy as np
+
+    from quayside.operators import laws
+
+    v = np.arange(0, 3000)
+    normal = lambda x: laws.rounded_normal_log_mass(x, 20.0, 9.0)
+    for logs in (normal(v), laws.negative_binomial_log_mass(v, 20.0, 9.0), laws.shocked_log_mass(v, 0.6, normal), laws.shocked_log_mass(v, 1.7, normal)):
+        assert abs(np.exp(logs).sum() - 1) < 1e-9
+    assert np.isneginf(normal([1.5, -1.0])).all()
+    assert abs(laws.log_normal_cdf(np.array([-20.0]))[0] + 203.917155) < 1e-4
+
+
+def test_exact_limits():
+    from quayside.operators.laws import exact_limit
+
+    assert abs(exact_limit(0, 20, 0.95, True) - (1 - 0.05 ** (1 / 20))) < 1e-9
+    assert abs(exact_limit(20, 20, 0.95, False) - 0.05 ** (1 / 20)) < 1e-9
+    assert exact_limit(0, 5, 0.95, False) == 0.0 and exact_limit(5, 5, 0.95, True) == 1.0
+
+
+def test_policy_object_equals_fold(spark):
+    from quayside.operators import policies
+
+    values = [7, 9, 4, 12, 30, 2, 0, 8, 8, 15, 21, 3]
+    panel_ = path(spark, values, lead_time=2.0, pause=False).withColumn("demand", F.col("demand").cast("long"))
+    fold = policies.capped_base_stock(panel_, 2, 0.8, 0.95).first()
+    run = policies.run_policy(panel_, lambda: policies.BaseStock(2, 0.8), 4.0, 1.0).toPandas()
+    assert (fold.ordered, fold.sold, fold.stock) == (run.ordered.sum(), run.sold.sum(), run.on_hand_end.iloc[-1])
