@@ -2,4 +2,44 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from quayside.llm.license_scan import TEMPLATES
+
+WORDS = r"REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def count(pattern: str, text: str = "text") -> str:
+    return f"LEN(REGEXP_EXTRACT_ALL(COALESCE({text}, ''), '{pattern}'))"
+
+
+# windows of three words by position; a word is covered if any window over it occurs twice
+OP2 = rf"""WITH w AS (SELECT doc_id, COALESCE(text, '') AS text, {WORDS} AS ws FROM documents),
+ p AS (SELECT doc_id, UNNEST(RANGE(LEN(ws) - 2)) AS i, ws FROM w WHERE LEN(ws) >= 3), t AS (SELECT doc_id, i, ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] AS g FROM p),
+ d AS (SELECT doc_id, i FROM (SELECT *, COUNT(*) OVER (PARTITION BY doc_id, g) AS n FROM t) WHERE n > 1), c AS (SELECT doc_id, COUNT(DISTINCT i + k) AS n FROM d, (SELECT UNNEST([0, 1, 2]) AS k) GROUP BY 1),
+ m AS (SELECT w.doc_id, text, ws, CAST(LEN(ws) AS BIGINT) AS n_words, CAST(COALESCE(LIST_SUM(LIST_TRANSFORM(ws, lambda x: LENGTH(x))), 0) AS BIGINT) AS word_chars, {count('[#*$%&|<>]')} AS n_symbols,
+ LEN(LIST_FILTER(STRING_SPLIT(text, CHR(10)), lambda l: REGEXP_MATCHES(l, '[^\x20\x09-\x0D]'))) - LEN(LIST_DISTINCT(LIST_FILTER(STRING_SPLIT(text, CHR(10)), lambda l: REGEXP_MATCHES(l, '[^\x20\x09-\x0D]')))) AS n_dup_lines, COALESCE(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+ r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {count(chr(10))} + 1 AS n_lines FROM m)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines) OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * {count('\\p{Lu}'.replace(chr(92) * 2, chr(92)))} > word_chars
+ OR 2 * LEN(LIST_FILTER(ws, lambda x: NOT REGEXP_MATCHES(x, '\p{{L}}'))) > n_words OR 4 * {count('!!')} > n_words OR 10 * {count(r'(?:[.][.][.]|…)[\x20\t\r]*(?:\n|\z)')} > 3 * n_lines) AS kept FROM r"""
+
+REACH = "re(id, root) AS (SELECT id, id FROM nodes UNION SELECT e.b, re.root FROM re JOIN links e ON e.a = re.id)"
+
+OP7 = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND LIST_SUM(LIST_TRANSFORM(embedding, lambda x: ABS(x))) > 0),
+ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND LEN(x.e) = LEN(y.e) WHERE LIST_COSINE_SIMILARITY(x.e, y.e) >= 0.98), nodes AS (SELECT vec_id AS id FROM embeddings), {REACH}
+ SELECT vec_id, (SELECT COUNT(*) FROM links WHERE a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN (SELECT id, MIN(root) AS c FROM re GROUP BY 1) ON id = vec_id"""
+
+OP9 = f"""WITH RECURSIVE w AS (SELECT doc_id, REGEXP_EXTRACT_ALL(COALESCE(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, ARRAY_TO_STRING(ws[i + 1 : i + 4], ' ') AS g FROM (SELECT doc_id, ws, UNNEST(RANGE(GREATEST(1, LEN(ws) - 3))) AS i FROM w WHERE LEN(ws) > 0)), n AS (SELECT doc_id, COUNT(*) AS k FROM s GROUP BY 1),
+ links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * p.k >= 80 * (na.k + nb.k - p.k)), nodes AS (SELECT doc_id AS id FROM documents), {REACH}
+ SELECT d.doc_id, COALESCE(n.k, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, MIN(root) AS c FROM re GROUP BY 1) ON id = d.doc_id"""
+
+NOTICES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in TEMPLATES.items())
+LOW = r"REGEXP_EXTRACT_ALL(LOWER(COALESCE(text, '')), '[\p{L}\p{N}]+')"
+
+# windows of twice a size class at steps of once; a shingle at position p is in windows p // width and the one before
+OP10 = f"""WITH tp(license, text) AS (VALUES {NOTICES}), tw AS (SELECT license, {LOW} AS ws FROM tp), ts AS (SELECT DISTINCT license, ARRAY_TO_STRING(ws[i + 1 : i + 5], ' ') AS g FROM (SELECT license, ws, UNNEST(RANGE(LEN(ws) - 4)) AS i FROM tw)),
+ tn AS (SELECT license, COUNT(*) AS n, CAST(POW(2, CEIL(LOG2(COUNT(*)))) AS BIGINT) AS width FROM ts GROUP BY 1), dw AS (SELECT doc_id, {LOW} AS ws FROM documents),
+ ds AS (SELECT doc_id, i, ARRAY_TO_STRING(ws[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, ws, UNNEST(RANGE(LEN(ws) - 4)) AS i FROM dw WHERE LEN(ws) >= 5)),
+ hits AS (SELECT doc_id, ts.license, ds.g, n, i // width - back AS win FROM ds JOIN ts USING (g) JOIN tn ON tn.license = ts.license, (SELECT UNNEST([0, 1]) AS back) WHERE i // width - back >= 0)
+ SELECT doc_id, license, ROUND(MAX(share), 6) AS containment FROM (SELECT doc_id, license, win, COUNT(DISTINCT g) / MAX(n) AS share FROM hits GROUP BY 1, 2, 3) WHERE share >= 0.8 GROUP BY 1, 2"""
+
+SQL: dict[str, str] = {"op2_quality": OP2, "op7_embeddings": OP7, "op9_minhash": OP9, "op10_licenses": OP10}
