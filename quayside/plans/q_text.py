@@ -192,3 +192,16 @@ def generated_paths(spark, sf):
     """Seeded demand with a level change: numpy draws, no SQL counterpart; tests hold it across partitionings."""
     paths = N.baseline(N.seeds(spark, 6, 30), "ar1", 50).withColumn("demand", N.demand_cells(F.col("draw")))
     return N.level_change(paths, "demand", F.lit(1.5), F.lit(20), F.lit(50)).select("seed", "period", "demand", "shocked")
+
+
+CAN = "ca(family, direction, stream, magnitude, m, l_eff, gamma) AS (VALUES " + ", ".join(f"('{f}', '{d}', '{t}', '{G.MAGNITUDES[k]}', {m}::DOUBLE, {n}, {g}::DOUBLE)" for (f, d, t), points in G.CANONICAL.items() for k, (m, n, g) in enumerate(points)) + ")"
+LEG = f"lg AS (SELECT family, direction, stream, magnitude, pos FROM (SELECT UNNEST({list(G.FAMILIES)}) AS family), (SELECT UNNEST({list(G.DIRECTIONS)}) AS direction), (SELECT UNNEST({list(G.STREAMS)}) AS stream), (SELECT UNNEST({list(G.MAGNITUDES)}) AS magnitude, UNNEST([1, 2, 3]) AS pos))"
+LAB = "CASE WHEN d IS NOT NULL AND s IS NOT NULL THEN 'compound_' || d || '_' || s ELSE COALESCE(d, s, 'stationary') END"
+
+
+@query(with_(GRID, CAN, LEG) + f""", fr AS (SELECT *, ROW_NUMBER() OVER (ORDER BY m, l_eff, gamma) AS r FROM gr WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.m = gr.m AND ca.l_eff = gr.l_eff AND ca.gamma = gr.gamma) AND NOT (m = 1 AND l_eff = 1 AND gamma = 1)),
+ ot AS (SELECT *, ROW_NUMBER() OVER (ORDER BY family, direction, stream, pos) AS r FROM lg WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.family = lg.family AND ca.direction = lg.direction AND ca.stream = lg.stream)),
+ al AS (SELECT family, direction, stream, magnitude, m, l_eff, gamma FROM ca UNION ALL SELECT family, direction, stream, magnitude, COALESCE(m, 1), COALESCE(l_eff, 1), COALESCE(gamma, 1) FROM ot LEFT JOIN fr ON ot.r = fr.r UNION ALL SELECT 'no_change', 'none', 'none', NULL, 1, 1, 1)
+ SELECT family, direction, stream, magnitude, m, l_eff, gamma, {LAB} AS predictive_model FROM (SELECT *, CASE WHEN m > 1 THEN 'demand_up' WHEN m < 1 THEN 'demand_down' END AS d, CASE WHEN l_eff > 1 AND gamma = 1 THEN 'lead_time_delay' WHEN l_eff = 1 AND gamma < 1 THEN 'shipment_loss' WHEN l_eff > 1 AND gamma < 1 THEN 'transit_stall' END AS s FROM al)""")
+def mapping_table(spark, sf):
+    return G.compile_specs(G.legal_specs(spark))
