@@ -66,3 +66,16 @@ def seeds(spark, families: int, per_family: int, base: int = 1_000_000) -> DataF
     """family, index, seed: seeds of a pool by arithmetic."""
     ids = spark.range(families * per_family)
     return ids.select((F.col("id") / per_family).cast("int").alias("family"), (F.col("id") % per_family).cast("int").alias("index")).withColumn("seed", (F.col("family") + 1) * base + F.col("index"))
+
+
+def units(spark, families: int, per_family: int, held_out: int, base: int = 1_000_000) -> DataFrame:
+    """Units of a split: family, index, seed, and whether the unit's combination is held out for the test split."""
+    return seeds(spark, families, per_family, base).withColumn("held_out", F.pmod(F.col("index"), F.lit(held_out)) == 0)
+
+
+def pilot_selection(units_: DataFrame, strata: list[str], shocked: int, null: int, is_null: str) -> DataFrame:
+    """The first units by seed of every stratum: so many shocked, so many null."""
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy(*strata, is_null).orderBy("seed"))
+    return units_.withColumn("_p", place).where(F.col("_p") <= F.when(F.col(is_null), null).otherwise(shocked)).drop("_p")

@@ -104,3 +104,17 @@ def parameter_regex(spark, sf):
 @query(f"SELECT ROUND({0.7 * 0.9 / (0.1 * 0.3)}, 9) AS bound, ROUND({math.log(20)}, 9) AS threshold")
 def ville_bounds(spark, sf):
     return spark.range(1).select(F.round(F.lit(H.log_ratio_bound(0.7, 0.1)), 9).alias("bound"), F.round(-F.ln(F.lit(0.05)), 9).alias("threshold"))
+
+
+@query("SELECT n, LPAD(LOWER(PRINTF('%x', CAST(h % 1152921504606846976 AS BIGINT))), 15, '0') AS digest FROM (SELECT COUNT(*) AS n, SUM(CAST(('0x' || SUBSTR(SHA256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}'), 1, 15)) AS HUGEINT)) AS h FROM nation)")
+def record_digest(spark, sf):
+    from quayside.sources.reports import digest
+
+    return digest(table(spark, sf, "nation").select("n_name", "n_nationkey"))
+
+
+@query("SELECT family, index, seed, held_out FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY family, held_out ORDER BY seed) AS p FROM (SELECT CAST(range // 30 AS INT) AS family, CAST(range % 30 AS INT) AS index, (range // 30 + 1) * 1000000 + range % 30 AS seed, range % 30 % 4 = 0 AS held_out FROM range(180))) WHERE p <= CASE WHEN held_out THEN 4 ELSE 16 END")
+def pilot_units(spark, sf):
+    from quayside.operators import generate as N
+
+    return N.pilot_selection(N.units(spark, 6, 30, 4), ["family"], 16, 4, "held_out")

@@ -45,3 +45,13 @@ def get(spark: SparkSession, store: str) -> DataFrame:
     rows = spark.read.parquet(store)
     first = F.row_number().over(Window.partitionBy("key").orderBy("value"))
     return rows.withColumn("_r", first).where("_r = 1").drop("_r")
+
+
+def write_instances(periods: DataFrame, root: str, item: str) -> None:
+    """instance, period, demand, lead_time (null: lost), profit, holding as CSV, a folder for each instance, headers naming the item; whole-number cells."""
+    lead = F.coalesce(F.col("lead_time").cast("long").cast("string"), F.lit("inf"))
+    rows = periods.select(
+        "instance", "period", F.concat(F.lit("Period_"), F.col("period").cast("string")).alias(f"exact_dates_{item}"), F.col("demand").cast("long").alias(f"demand_{item}"),
+        lead.alias(f"lead_time_{item}"), F.col("profit").cast("long").alias(f"profit_{item}"), F.col("holding").cast("long").alias(f"holding_cost_{item}"),
+    )
+    rows.repartition("instance").sortWithinPartitions("instance", "period").drop("period").write.mode("errorifexists").partitionBy("instance").csv(root, header=True)

@@ -176,3 +176,24 @@ def test_policy_object_equals_fold(spark):
     fold = policies.capped_base_stock(panel_, 2, 0.8, 0.95).first()
     run = policies.run_policy(panel_, lambda: policies.BaseStock(2, 0.8), 4.0, 1.0).toPandas()
     assert (fold.ordered, fold.sold, fold.stock) == (run.ordered.sum(), run.sold.sum(), run.on_hand_end.iloc[-1])
+
+
+def test_reports(spark, tmp_path):
+    from quayside.sources import reports
+
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b|c", 2.0, None)], "arm string, budget double, reward double")
+    text = reports.markdown(df, ["arm"], "records.jsonl")
+    assert text.count("\n") == 4 and reports.untraced_rows(text) == [] and reports.untraced_rows("| a | |\n") == ["| a | |"]
+    svg = reports.frontier_svg(df.na.fill(0.0), "arm", "budget", "reward", "a < b")
+    assert svg.count("<circle") == 2 and "a &lt; b" in svg
+    assert reports.digest(df).first() == reports.digest(df.repartition(3)).first()
+    reports.write(str(tmp_path / "r"), {"t.md": text, "manifest.json": reports.manifest({"t.md": text}, df)})
+    with pytest.raises(FileExistsError):
+        reports.write(str(tmp_path / "r"), {"t.md": text})
+
+
+def test_written_instances(spark, tmp_path):
+    df = spark.createDataFrame([("i1", 1, 5.0, 2, 19.0, 1.0), ("i1", 2, 6.0, None, 19.0, 1.0)], "instance string, period int, demand double, lead_time int, profit double, holding double")
+    sinks.write_instances(df, str(tmp_path / "w"), "x")
+    back = spark.read.csv(str(tmp_path / "w"), header=True)
+    assert sorted(tuple(r) for r in back.select("exact_dates_x", "demand_x", "lead_time_x").collect()) == [("Period_1", "5", "2"), ("Period_2", "6", "inf")]
