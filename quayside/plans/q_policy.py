@@ -67,3 +67,15 @@ def exact_rate_limits(spark, sf):
 def ratio_by_stratum(spark, sf):
     mean = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col("profit")))
     return rounded(episode_results(spark, sf).groupBy("condition", "family").agg(F.try_divide(mean("1-URGENT"), mean("5-LOW")).alias("ratio"), F.count_if(F.col("lost") == 0).alias("intact")), 6)
+
+
+@query(None)
+def null_calibration(spark, sf):
+    """False activations of three registered null laws, 2,000 paths of 50 periods each."""
+    from quayside.operators.calibration import null_calibration as run
+
+    out = None
+    for kind in ("iid", "seasonal", "negbin"):
+        part = run(spark, kind, 2000, 50, 20, 0.025)
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 6)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="quayside-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
     return _OWN[sc.applicationId]
 
 
@@ -32,6 +35,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that were not written yet are lost with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/quayside/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable cannot be inlined again by the optimizer."""
     return F.transform(F.array(value), body)[0]

@@ -197,3 +197,11 @@ def test_written_instances(spark, tmp_path):
     sinks.write_instances(df, str(tmp_path / "w"), "x")
     back = spark.read.csv(str(tmp_path / "w"), header=True)
     assert sorted(tuple(r) for r in back.select("exact_dates_x", "demand_x", "lead_time_x").collect()) == [("Period_1", "5", "2"), ("Period_2", "6", "inf")]
+
+
+@pytest.mark.parametrize("kind", ["iid", "negbin"])
+def test_null_calibration_keeps_alpha(spark, kind):
+    from quayside.operators.calibration import null_calibration
+
+    row = null_calibration(spark, kind, 300, 40, 10, 0.05).first()
+    assert row.replications == 300 and row.low < 0.05 and row.rate <= 0.06
