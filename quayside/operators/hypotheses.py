@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quayside.operators.inference import hash_draw
+from quayside.operators.panel import numbered, running_total
 
 
 def ratio(k: Column, n: Column) -> Column:
@@ -86,8 +87,7 @@ def rank_correlation(frame: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         counts = frame.groupBy(F.col(c).alias(f"_{c}")).agg(F.count("*").alias("_k"))
-        before = F.coalesce(F.sum("_k").over(Window.partitionBy(F.lit(0)).orderBy(f"_{c}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(f"_{c}", (before + (F.col("_k") + 1) / 2).alias(f"r_{c}"))
+        return running_total(counts, [f"_{c}"], F.col("_k"), "_before").select(f"_{c}", (F.col("_before") + (F.col("_k") + 1) / 2).alias(f"r_{c}"))
 
     ranked = frame.join(ranks(x), F.col(x) == F.col(f"_{x}")).join(ranks(y), F.col(y) == F.col(f"_{y}"))
     return ranked.agg(F.corr(x, y).alias("pearson"), F.corr(f"r_{x}", f"r_{y}").alias("spearman"), F.count("*").alias("n"))
@@ -96,8 +96,7 @@ def rank_correlation(frame: DataFrame, x: str, y: str) -> DataFrame:
 def cluster_flips(frame: DataFrame, value: str, cluster: str, flips: int) -> DataFrame:
     """One-sided Monte Carlo sign-flip test on cluster sums, with counter-based signs; the observed value counts as one flip."""
     sums = frame.groupBy(cluster).agg(F.sum(value).alias("s"))
-    numbered = sums.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster)))
-    signed = numbered.select("s", "i", F.explode(F.sequence(F.lit(1), F.lit(flips))).alias("flip"))
+    signed = numbered(sums, [cluster]).select("s", (F.col("i") + 1).alias("i"), F.explode(F.sequence(F.lit(1), F.lit(flips))).alias("flip"))
     sign = F.when(hash_draw(F.col("flip"), F.col("i"), F.lit(2)) == 1, 1).otherwise(-1)
     total = signed.groupBy("flip").agg(F.sum(sign * F.col("s")).alias("t"), F.sum("s").alias("seen"))
     return total.agg(((F.count_if(F.col("t") >= F.col("seen") - 1e-9) + 1) / (F.count("*") + 1)).alias("p_value"), F.count("*").alias("flips"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quayside.operators.panel import numbered, running_total
+
 
 def z_of(confidence: float) -> float:
     return NormalDist().inv_cdf(0.5 + confidence / 2)
@@ -49,9 +51,9 @@ def two_sided(z: Column) -> Column:
 def signed_rank(frame: DataFrame, value: str) -> DataFrame:
     """Wilcoxon's signed ranks by the normal approximation: zeros dropped, average ranks, no corrections."""
     x = frame.where(F.col(value) != 0).select(F.col(value).alias("d"), F.abs(value).alias("a"))
-    # ranks from counts of values: no window over all rows
+    # average ranks from counts of values
     counts = x.groupBy("a").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("plus"))
-    ranked = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = running_total(counts, ["a"], F.col("c"), "before")
     w = ranked.agg(F.sum("c").alias("n"), F.sum(F.col("plus") * (F.col("before") + (F.col("c") + 1) / 2)).alias("w"))
     n = F.col("n")
     z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
@@ -108,10 +110,10 @@ def hash_draw(draw: Column, i: Column, n: Column) -> Column:
 def cluster_bootstrap(frame: DataFrame, value: str, cluster: str, draws: int = 200, confidence: float = 0.95) -> DataFrame:
     """Percentile interval of the pooled mean, whole clusters drawn; clusters are summed first, so that rows are draws x clusters."""
     sums = frame.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("k"))
-    numbered = sums.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster)) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
-    plan = numbered.join(F.broadcast(n)).select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picked = plan.withColumn("i", hash_draw(F.col("draw"), F.col("i"), F.col("n"))).join(numbered, "i")
+    rows = numbered(sums, [cluster])
+    n = rows.agg(F.count("*").alias("n"))
+    plan = rows.join(F.broadcast(n)).select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    picked = plan.withColumn("i", hash_draw(F.col("draw"), F.col("i"), F.col("n"))).join(rows, "i")
     means = picked.groupBy("draw").agg((F.sum("s") / F.sum("k")).alias("m"))
     tail = (1 - confidence) / 2
     return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"), F.count("*").alias("draws"))

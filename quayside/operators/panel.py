@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quayside.plans.runtime import materialize
+
 UP_TO = (Window.unboundedPreceding, 0)
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -72,11 +74,29 @@ def even_stride(frame: DataFrame, keys: Sequence[str], order: Sequence[str], cou
     return rows.where((F.floor(i * F.col("_n") / count) == F.col("_i")) & (i < count)).drop("_i", "_n")
 
 
+def running_total(frame: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """frame with the sum of value over all rows before each in a total order, without a task that sees them all.
+
+    Rows are range-partitioned and written once, so that the ranges stay as they are; totals of ranges, one row each, are
+    summed in order, and each range adds its own running sum.
+    """
+    ranges = materialize(frame.withColumn("_v", value).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(*BEFORE)), F.lit(0))
+    offsets = ranges.groupBy("_p").agg(F.sum("_v").alias("_s")).select("_p", before.alias("_o"))
+    inside = F.coalesce(F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(*BEFORE)), F.lit(0))
+    return ranges.withColumn("_i", inside).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_v", "_p", "_i", "_o")  # a row per range
+
+
+def numbered(frame: DataFrame, order: Sequence[str], name: str = "i") -> DataFrame:
+    """frame with each row's place from 0 in a total order; order must tell rows apart for the places to be fixed."""
+    return running_total(frame, order, F.lit(1), name)
+
+
 def interleave(frames: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:
     """Round robin over ordered sources: place numbers each source's rows, turn names the source."""
-    numbered = [f.withColumns({"place": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)), "turn": F.lit(k)}) for k, f in enumerate(frames)]
-    out = numbered[0]
-    for f in numbered[1:]:
+    placed = [numbered(f, order, "place").withColumns({"place": F.col("place") + 1, "turn": F.lit(k)}) for k, f in enumerate(frames)]
+    out = placed[0]
+    for f in placed[1:]:
         out = out.unionByName(f)
     return out
 
