@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 #: Documents to a group on average.
 GROUP_DOCS = 2048
 #: Words whose ids a Python worker remembers, and characters of text it holds ids of at once.
-CACHE_WORDS, CHUNK_CHARS = 300_000, 4_000_000
+CACHE_WORDS, CHUNK_CHARS = 450_000, 500_000
+#: Letters that stay one letter each in lower case, then ASCII punctuation: the tokenizer always cuts between the two.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F]*)([!-/:-@\[-`{-~]*)")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -38,14 +41,18 @@ class WordEncoder:
     """A text's ids as little-endian bytes.
 
     The tokenizer drops white space and never joins across it, and its normal forms do not either, so the ids of a text
-    are those of its parts between spaces and newlines; the ids of a part are remembered.
+    are those of its parts between spaces and newlines; ids of parts are remembered, in two generations. Letters and the
+    punctuation after them are parts of their own, case does not matter, and unseen words of plain letters go to the
+    tokenizer as one text, whose words are told apart again by the tokens that end a word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
@@ -54,15 +61,56 @@ class WordEncoder:
             while end < len(texts) and (end == at or size < CHUNK_CHARS):
                 size, end = size + len(texts[end]), end + 1
             parts = [t.replace("\n", " ").split(" ") for t in texts[at:end]]
-            new = list(set().union(*parts).difference(self.known))
-            for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, "<u4").tobytes()
+            self._learn(set().union(*parts).difference(self.known))
             for words in parts:
                 yield b"".join(map(self.known.__getitem__, words))
             if len(self.known) > CACHE_WORDS:
-                self.known.clear()
+                self.known, self.before = {}, self.known
             at = end
 
+    def _learn(self, words: set[str]) -> None:
+        known, before, fits = self.known, self.before.get, PLAIN.fullmatch
+        plain, odd, made = set(), set(), []
+        for word in words:
+            if (code := before(word)) is not None:
+                known[word] = code
+            elif m := fits(word):
+                core, tail = m.groups()
+                low = core.lower()
+                plain.add(low)
+                odd.add(tail)
+                if low is not word or tail:
+                    made.append((word, low, tail))
+            else:
+                odd.add(word)
+        plain, odd = plain.difference(known), odd.difference(known)
+        for low in [w for w in plain if before(w) is not None]:
+            known[low] = before(low)
+            plain.discard(low)
+        plain.discard("")
+        known[""] = b""
+        self._encode_plain(sorted(plain))
+        self._encode_each(list(odd))
+        for word, low, tail in made:
+            known[word] = known[low] + known[tail]
+
+    def _encode_each(self, words: list[str]) -> None:
+        for word, code in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(code.ids, "<u4").tobytes()
+
+    def _encode_plain(self, words: list[str], step: int = 2000) -> None:
+        for k in range(0, len(words), step):
+            part = words[k : k + step]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                self._encode_each(part)
+                continue
+            code, start = ids.tobytes(), 0
+            for word, stop in zip(part, stops.tolist(), strict=True):
+                self.known[word] = code[4 * start : 4 * stop]
+                start = stop
+
 
 def pieces_of(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
