@@ -118,3 +118,27 @@ def pilot_units(spark, sf):
     from quayside.operators import generate as N
 
     return N.pilot_selection(N.units(spark, 6, 30, 4), ["family"], 16, 4, "held_out")
+
+
+RS = "rs AS (SELECT doc_id AS sample_id, doc_id % 3 AS criterion, quality AS a, (toxic + doc_id % 2) % 2 AS b FROM labels)"
+
+
+def rated(spark, sf):
+    """The labels as ratings of two raters."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("doc_id") % 3).alias("criterion"), F.col("quality").alias("a"), ((F.col("toxic") + F.col("doc_id") % 2) % 2).alias("b"))
+    return labels.select("sample_id", "criterion", F.explode(F.array(F.struct(F.lit("r1").alias("rater"), F.col("a").cast("long").alias("score")), F.struct(F.lit("r2").alias("rater"), F.col("b").cast("long").alias("score")))).alias("x")).select("sample_id", "criterion", "x.rater", "x.score")
+
+
+@query(with_(RS) + """SELECT criterion, n AS items, ROUND(po, 6) AS observed, ROUND(pe, 6) AS expected, ROUND(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa FROM (SELECT t.criterion, COUNT(*) AS n, COUNT(*) FILTER (a = b) / COUNT(*) AS po,
+ (SELECT SUM(x.c * y.c) FROM (SELECT criterion, a AS v, COUNT(*) AS c FROM rs GROUP BY 1, 2) x JOIN (SELECT criterion, b AS v, COUNT(*) AS c FROM rs GROUP BY 1, 2) y ON x.v = y.v AND x.criterion = y.criterion WHERE x.criterion = t.criterion) / (COUNT(*) * COUNT(*)) AS pe FROM rs t GROUP BY 1)""")
+def kappa_by_criterion(spark, sf):
+    from quayside.operators import audit
+
+    return rounded(audit.kappa_by(audit.side_by_side(rated(spark, sf), ["r1", "r2"]), ["criterion"]), 6)
+
+
+@query(with_(RS) + "SELECT criterion, sample_id, disagreement, CAST(place AS INT) AS place FROM (SELECT criterion, sample_id, ABS(a - b) AS disagreement, ROW_NUMBER() OVER (PARTITION BY criterion ORDER BY ABS(a - b) DESC, sample_id) AS place FROM rs WHERE a <> b) WHERE place <= 5")
+def rating_removals(spark, sf):
+    from quayside.operators import audit
+
+    return audit.removals(audit.side_by_side(rated(spark, sf), ["r1", "r2"]), ["criterion"], 5)
