@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.batches import slices
+
 #: Of the network: states in each direction, numbers for a byte, bytes in a window, windows worked on together.
 HIDDEN, EMBEDDED, WINDOW, BLOCK = 8, 6, 128, 2048
 #: Of training: documents of each language, windows of each document, characters of each window, distinct languages at most.
@@ -203,7 +205,7 @@ def identify(docs: DataFrame, network: Network, *, id_col: str = "doc_id", text_
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = list(network.identify(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -224,7 +226,7 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.3) -> DataFrame:
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             good = [lang != "und" and score >= min_score for lang, score in network.identify(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 

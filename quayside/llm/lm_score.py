@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.batches import slices
 from quayside.plans.runtime import materialize
 
 #: Classes (a power of two), tokens seen on each side, numbers for a class, hidden units.
@@ -33,7 +34,7 @@ CHUNK_CHARS = 2_000_000
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of batches with about CHUNK_CHARS characters, and their texts in lower case."""
-    for batch in batches:
+    for batch in slices(batches, column):
         texts, at, size = [(t or "").lower() for t in batch.column(column).to_pylist()], 0, 0
         for k, text in enumerate(texts):
             size += len(text)

@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.batches import slices
+
 #: Documents to a group on average.
 GROUP_DOCS = 2048
 #: Words whose ids a Python worker remembers, and characters of text it holds ids of at once.
-CACHE_WORDS, CHUNK_CHARS = 450_000, 500_000
+CACHE_WORDS, CHUNK_CHARS = 350_000, 500_000
 #: Letters that stay one letter each in lower case, then ASCII punctuation: the tokenizer always cuts between the two.
 PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F]*)([!-/:-@\[-`{-~]*)")
 
@@ -114,7 +116,7 @@ class WordEncoder:
 
 def pieces_of(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
-    for batch in batches:
+    for batch in slices(batches, 1):
         ids, rows = batch.column(0).to_pylist(), []
         for key, code in zip(ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
             code += end

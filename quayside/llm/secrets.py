@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.batches import slices
+
 BASE_KINDS, ADDED_KINDS = ("assign", "access", "hex"), ("der", "openssh", "jwt")
 RANK = {k: i for i, k in enumerate(BASE_KINDS + ADDED_KINDS)}
 
@@ -164,7 +166,7 @@ def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             columns = list(zip(*(report_row(t.as_py()) for t in batch.column(1)), strict=True)) or [()] * len(REPORT)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, REPORT, strict=True))], ["doc_id", *(n for n, _ in REPORT)])
 
@@ -188,7 +190,7 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]") -> DataFrame:
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             columns = list(batch.columns)
             columns[at] = pa.array([redacted(t.as_py(), mark) for t in batch.column(at)], batch.column(at).type)
             if chars is not None:
