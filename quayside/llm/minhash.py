@@ -7,8 +7,8 @@ coordinates retrieve candidates: a pair of similarity 0.8 is missed with probabi
 
 Documents with equal shingle sets are one class. In each bucket all classes are held against the smallest one on full
 sets, which connects groups of copies with as many comparisons as members. What a bucket's leader leaves unconnected is
-compared in pairs, but for pairs that the triangle inequality of the Jaccard distance rules out; pairs within a
-component are not needed.
+paired by a prefix filter on the differences from the leader, which loses no link (see unresolved), and verified too;
+pairs within a component are not needed.
 
 Defined results: a text that is null or without words has an empty set and stays alone; fewer words than a shingle are
 one shingle; rows that repeat a document's text are copies of it, the smallest id being kept; a null id stays null and
@@ -151,11 +151,46 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with shared and total, the sizes of the intersection and union of their full sets, and link."""
+    """pairs (a, b) held against each other on full sets: their sizes, what a adds to b and what it lacks, and link."""
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("a_items", "b_items")).cast("long").alias("shared"), (F.size("a_items") + F.size("b_items")).cast("long").alias("sizes"))
-    return counted.select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("total")).withColumn("link", 100 * F.col("shared") >= percent * F.col("total"))
+    parts = both.select("a", "b", F.size("a_items").alias("n_a"), F.size("b_items").alias("n_b"), F.sort_array(F.array_except("a_items", "b_items")).alias("added"), F.sort_array(F.array_except("b_items", "a_items")).alias("lacks"))
+    shared = F.col("n_a") - F.size("added")
+    return parts.withColumn("link", 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))
+
+
+def unresolved(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components that may be links, among documents that share a leader.
+
+    rest: leader, n_leader, doc_id, n, component, link (with the leader), added, lacks. The symmetric difference of two
+    documents is that of their differences D from the leader, and a link allows it at most c (n_x + n_y) elements, with
+    c = (100 - percent) / (100 + percent). At least one of the two is no link of the leader, so the two must share an
+    element of D: with the smaller D first, at least |D_x| - c (n_x + n_y) / 2 of them, or half of |D_x| and more if x
+    itself is a link; seen from the larger D, at least |D_y| - c (n_x + n_y). Of two sets that share so many, prefixes
+    of that much less than their length, in one order, share an element (prefix filter); the order puts elements that
+    are rare among a leader's documents first. Only documents that meet in such an element are paired.
+    """
+    c, widest = (100 - percent) / (100 + percent), 1 + 100 / percent
+    items = materialize(rest.select("leader", "doc_id", F.explode(F.concat("added", "lacks")).alias("item")), "differences")
+    counts = items.groupBy("leader", "item").agg(F.count("*").alias("k"))
+    ranked = items.join(counts.hint("merge"), ["leader", "item"]).groupBy("leader", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "item"))).alias("d"))
+    rest = materialize(rest.join(ranked.select("leader", "doc_id", F.transform("d", lambda e: e["item"]).alias("d")).hint("merge"), ["leader", "doc_id"]).drop("added", "lacks"), "ranked")
+    size, gap = F.size("d"), F.floor(c * (F.col("n_leader") - F.col("n")) - 1e-9)
+    need = F.ceil(size - c * widest * F.col("n") / 2 - 1e-9)
+    need = F.when(F.col("link"), F.greatest(need, F.ceil((size + 1 + gap) / 2))).otherwise(need)
+    first = (size - F.greatest(F.lit(1), need) + 1).cast("int")
+    second = (size - F.greatest(F.lit(1), F.ceil(size - c * widest * F.col("n") - 1e-9)) + 1).cast("int")
+    rows = rest.where(size > 0).select("leader", "doc_id", "n", "component", size.alias("size"), "d", first.alias("first"), second.alias("second"))
+    x = rows.select("leader", "doc_id", "n", "component", "size", F.posexplode(F.slice("d", F.lit(1), F.greatest(F.lit(0), "first"))).alias("at", "item")).alias("x")
+    y = rows.select("leader", "doc_id", "n", "component", "size", F.posexplode(F.slice("d", F.lit(1), F.greatest(F.lit(0), "second"))).alias("at", "item")).alias("y")
+    same = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.item") == F.col("y.item"))
+    order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    near = (F.col("y.size") - F.col("x.size") <= c * (F.col("x.n") + F.col("y.n")) + 1e-9) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    # a pair's first common element leaves at most this many
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    near = near & (2 * left >= F.col("x.size") + F.col("y.size") - c * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    met = x.join(y.hint("merge"), same & (F.col("x.component") != F.col("y.component")) & order & near)
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -164,7 +199,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = materialize(sketches(read, shingle), "sketches")
     classes = materialize(found.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    member = found.join(reps.hint("merge"), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    member = found.join(reps.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("bucket"))
     leaders = member.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader != last").select("bucket", "leader")
     grouped = materialize(member.join(leaders.hint("merge"), "bucket"), "buckets")
 
@@ -174,18 +209,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     checked = materialize(verified(pairs, sets, percent), "checked")
     linked = components(checked.where("link").select("a", "b"))
 
-    # what the leaders leave: buckets whose members are in more than one component
-    placed = grouped.join(linked.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    far = checked.select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), (1 - F.col("shared") / F.col("total")).alias("far"))
-    placed = materialize(placed.join(far.hint("merge"), ["doc_id", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "placed")
+    # what the leaders leave: documents of buckets whose members are in more than one component
+    placed = grouped.join(linked.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left").select("bucket", "leader", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = materialize(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    rest = materialize(placed.join(mixed.hint("merge"), "bucket", "left_semi").where("doc_id != leader"), "rest")
-    # links are at most 1 - percent / 100 apart; a margin covers the rounding of two quotients
-    reach = 1 - percent / 100 + 1e-9
-    x, y = rest.alias("x"), rest.alias("y")
-    near = (F.abs(F.col("x.far") - F.col("y.far")) <= reach) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    more = x.join(y.hint("merge"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & near)
-    more = more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    rest = placed.join(mixed.hint("merge"), "bucket", "left_semi").where("doc_id != leader").select("leader", "doc_id", "component").distinct()
+    facts = checked.select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), F.col("n_a").alias("n"), F.col("n_b").alias("n_leader"), "link", "added", "lacks")
+    more = unresolved(materialize(rest.join(facts.hint("merge"), ["doc_id", "leader"]), "rest"), percent)
     more = materialize(more.join(checked.select(F.col("b").alias("a"), F.col("a").alias("b")).hint("merge"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         again = materialize(verified(more, sets, percent).where("link").select("a", "b"), "again")
@@ -201,5 +231,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near duplicates; rows without an id stay."""
     kept = near_duplicates(docs, shingle=shingle, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    unique = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    unique = docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return unique.union(docs.where("doc_id is null"))
