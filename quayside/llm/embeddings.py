@@ -106,6 +106,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     dealt = classes.join(tiles.hint("merge"), ["label", "size"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     paired = dealt.select("label", "size", "rep", "copies", "embedding", "tile", other.alias("other")).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+    # dealt anew by tile pair: the join's partitioning by label would satisfy the grouping and leave a label in one task
+    paired = paired.repartition("label", "size", "low", "high")
     found = materialize(paired.groupBy("label", "size", "low", "high").applyInPandas(tile_pair(threshold), "rep long, links long, root long"), "vector-links")
 
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
