@@ -1,12 +1,13 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Tokens are lower-case code points in 32 classes: the most frequent of the corpus, the rest, and the border of a text.
-The network predicts each token from the two before and the two after it; a document's score is the sum of the
-conditional log-probabilities of all of its tokens.
+Tokens are all lower-case code points of the corpus, each a class of its own; number 0 is the border of a text, and one
+number stands for code points that only texts from elsewhere have. The network predicts each token from the three before
+and the three after it; a document's score is the sum of the conditional log-probabilities of all of its tokens. Numbers
+go by frequency, and the output has two levels: a group of 64 numbers, then the token in it.
 
-Windows are counted over all documents; a window is a 25-bit number, so the counts are a bounded table however large the
-corpus. Shards of the table train copies of the network in numpy, on contexts drawn in proportion to their counts, and
-the copies are averaged after each round. Scoring evaluates the network once for each context a worker meets.
+Windows are counted over all documents, keyed by the full context and the token, so that the table grows with the corpus.
+Each row of it trains the network once: in rounds, shards of about SHARD_ROWS rows train copies of the network in numpy,
+with the rows' counts as weights, and the copies are averaged. Scoring evaluates each distinct window of a slice of texts.
 
 Defined results: a null or empty text has no tokens, score 0 and a null mean; an empty table gives an empty result;
 repeated rows are scored one by one; other columns are ignored.
@@ -17,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from quayside.llm.batches import slices
 from quayside.plans.runtime import materialize
 
-#: Classes (a power of two), tokens seen on each side, numbers for a class, hidden units.
-CLASSES, BITS, SIDE, EMBEDDED, HIDDEN = 32, 5, 2, 8, 48
-CONTEXTS = 1 << (2 * SIDE * BITS)
-SHARDS, ROUNDS, BATCH, RATE = 16, 4, 256, 0.01
+#: Tokens seen on each side, numbers for a token, hidden units, tokens of an output group.
+SIDE, EMBEDDED, HIDDEN, GROUP = 3, 12, 64, 64
+ROUNDS, SHARD_ROWS, BATCH, RATE = 4, 400_000, 512, 0.01
 CHUNK_CHARS = 2_000_000
+#: Distinct windows that a task of the counting holds before it combines or passes them on.
+HELD = 4_000_000
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -48,31 +49,62 @@ def points(text: str) -> np.ndarray:
 
 
 class Windows:
-    """Texts as context and token numbers, one of each for every code point."""
+    """Texts as windows of token numbers, one for every code point: the context before and after it, then itself."""
 
     def __init__(self, alphabet: list[int]):
-        self.of = np.full(0x110000, CLASSES - 1, "uint8")
+        self.size = len(alphabet) + 2
+        self.width = 1 if self.size <= 1 << 8 else 2 if self.size <= 1 << 16 else 3
+        self.of = np.full(0x110000, self.size - 1, "uint32")
         self.of[alphabet] = np.arange(1, len(alphabet) + 1)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(t) for t in texts])
+    def rows(self, texts: list[str]) -> np.ndarray:
+        """Token numbers of each window, a column for each place in it."""
+        lengths = np.array([len(t) for t in texts], "int64")
         border = "\0" * SIDE
-        c = self.of[points(border + "".join(t + border for t in texts))].astype("int32")
-        real = np.zeros(len(c), bool)
+        c = self.of[points(border + "".join(t + border for t in texts))]
         starts = SIDE + np.cumsum(lengths + SIDE) - (lengths + SIDE)
         edge = np.zeros(len(c) + 1, "int32")
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + lengths, -1)
         real = np.cumsum(edge[:-1]) > 0
         c[~real] = 0
-        at, context = np.flatnonzero(real), 0
-        for k in (*range(-SIDE, 0), *range(1, SIDE + 1)):
-            context = (context << BITS) | c[at + k]
-        return context, c[at]
+        at = np.flatnonzero(real)
+        return np.stack([c[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1), 0)], axis=1)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.rows(texts)
+        return rows[:, :-1], rows[:, -1]
+
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """One value for each window, equal only for equal windows."""
+        if self.width == 1:
+            raw = np.zeros((len(rows), 8), "uint8")
+            raw[:, : 2 * SIDE + 1] = rows
+            return raw.view("<u8")[:, 0]
+        raw = np.ascontiguousarray(rows, "<u4").view("uint8").reshape(len(rows), -1, 4)[:, :, : self.width]
+        return np.ascontiguousarray(raw).reshape(len(rows), -1).view(f"S{(2 * SIDE + 1) * self.width}")[:, 0]
+
+    def windows(self, keys: np.ndarray) -> np.ndarray:
+        """The windows of keys."""
+        raw = np.ascontiguousarray(keys).view("uint8").reshape(len(keys), keys.dtype.itemsize)
+        return numbers(raw[:, : (2 * SIDE + 1) * self.width], 2 * SIDE + 1)
+
+
+def numbers(raw: np.ndarray, places: int) -> np.ndarray:
+    """Rows of bytes as that many little-endian numbers each."""
+    wide = np.zeros((len(raw), places, 4), "uint8")
+    wide[:, :, : raw.shape[1] // places] = raw.reshape(len(raw), places, -1)
+    return wide.view("<u4")[:, :, 0]
+
+
+def contexts(column: np.ndarray | list[bytes] | pa.Array) -> np.ndarray:
+    """Token numbers of contexts as the counts have them."""
+    data = column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else list(column)
+    return numbers(np.frombuffer(b"".join(data), "uint8").reshape(len(data), -1), 2 * SIDE) if data else np.zeros((0, 2 * SIDE), "<u4")
 
 
 def alphabet(docs: DataFrame) -> list[int]:
-    """The most frequent code points of all texts."""
+    """All code points of all texts, the most frequent first."""
 
     def count(batches):
         n = np.zeros(0x110000, "int64")
@@ -82,61 +114,104 @@ def alphabet(docs: DataFrame) -> list[int]:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["point", "n"])
 
     counts = docs.select("text").mapInArrow(count, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [r.point for r in counts.where("point > 0").orderBy(F.desc("n"), "point").limit(CLASSES - 2).collect()]
+    return [r.point for r in counts.orderBy(F.desc("n"), "point").collect()]  # no more than Unicode has
+
+
+def combined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype("int64")
 
 
 def window_counts(docs: DataFrame, points_: list[int]) -> DataFrame:
-    """context, token, n over all documents."""
+    """context, token, n over all documents; a context is the bytes of its token numbers."""
 
     def count(batches):
-        windows, n = Windows(points_), np.zeros(CONTEXTS * CLASSES, "int32")
+        windows, held = Windows(points_), []
+
+        def passed_on(keys, n):
+            for a in range(0, len(keys), 100_000):
+                rows = keys[a : a + 100_000]
+                raw = np.ascontiguousarray(rows).view("uint8").reshape(len(rows), rows.dtype.itemsize)[:, : 2 * SIDE * windows.width]
+                ends = np.arange(len(rows) + 1, dtype="int32") * raw.shape[1]
+                context = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([context, pa.array(windows.windows(rows)[:, -1].astype("int32")), pa.array(n[a : a + 100_000])], ["context", "token", "n"])
+
         for _, texts in runs(batches, 0):
-            context, token = windows(texts)
-            np.add.at(n, (context << BITS) | token, 1)
-        found = np.flatnonzero(n)
-        for a in range(0, len(found), 100_000):
-            part = found[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype("int32")), pa.array(n[part].astype("int64"))], ["code", "n"])
+            held.append(np.unique(windows.keys(windows.rows(texts)), return_counts=True))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [combined(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield from passed_on(*held.pop())
+        if held:
+            yield from passed_on(*combined(held))
 
-    counts = docs.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return counts.select(F.shiftright("code", BITS).alias("context"), F.col("code").bitwiseAND(CLASSES - 1).alias("token"), "n")
+    return docs.select("text").mapInArrow(count, "context binary, token int, n long").groupBy("context", "token").agg(F.sum("n").alias("n"))
+
+
+def log_softmax(o: np.ndarray) -> np.ndarray:
+    o -= o.max(axis=1, keepdims=True)
+    return o - np.log(np.exp(o).sum(axis=1, keepdims=True))
 
 
 class Network:
-    def __init__(self, seed: int = 3):
-        rng = np.random.default_rng(seed)
+    def __init__(self, size: int, seed: int = 3):
+        rng, groups = np.random.default_rng(seed), -(-size // GROUP)
         f = lambda *shape, s: rng.normal(0, s, shape).astype("float32")
-        self.params = [f(CLASSES, EMBEDDED, s=0.5), f(2 * SIDE * EMBEDDED, HIDDEN, s=0.2), np.zeros(HIDDEN, "float32"), f(HIDDEN, CLASSES, s=0.2), np.zeros(CLASSES, "float32")]
+        self.size = size
+        self.params = [f(size, EMBEDDED, s=0.5), f(2 * SIDE * EMBEDDED, HIDDEN, s=0.2), np.zeros(HIDDEN, "float32"), f(HIDDEN, groups, s=0.2), np.zeros(groups, "float32"), f(groups, HIDDEN, GROUP, s=0.2), np.zeros((groups, GROUP), "float32")]
+        self.params[6].reshape(-1)[size:] = -1e9  # numbers that no token has
 
-    @staticmethod
-    def classes(context: np.ndarray) -> np.ndarray:
-        return np.stack([(context >> (BITS * k)) & (CLASSES - 1) for k in range(2 * SIDE - 1, -1, -1)], axis=1)
-
-    def forward(self, seen: np.ndarray):
-        embed, w, b, v, out = self.params
+    def hidden(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        embed, w, b = self.params[:3]
         x = embed[seen].reshape(len(seen), -1)
-        h = np.tanh(x @ w + b)
-        o = h @ v + out
-        o -= o.max(axis=1, keepdims=True)
-        return x, h, o - np.log(np.exp(o).sum(axis=1, keepdims=True))
+        return x, np.tanh(x @ w + b)
 
     def log_probabilities(self, context: np.ndarray) -> np.ndarray:
-        """A row for each context: the log-probability of every class in the middle."""
-        return self.forward(self.classes(context))[2]
-
-    def fit(self, context: np.ndarray, target: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> None:
-        """Adam over as many draws of contexts as there are; target: the share of each class in a context."""
-        seen, embed = self.classes(context), self.params[0]
+        """A row for each context: the log-probability of every token in the middle."""
+        h = self.hidden(contexts(context) if context.dtype == object else context)[1]
+        groups = log_softmax(h @ self.params[3] + self.params[4])
+        return np.concatenate([groups[:, [g]] + log_softmax(h @ w + b) for g, (w, b) in enumerate(zip(*self.params[5:], strict=True))], axis=1)[:, : self.size]
+
+    def log_probability(self, seen: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The log-probability of one token for each context."""
+        h, group = self.hidden(seen)[1], token // GROUP
+        logp = log_softmax(h @ self.params[3] + self.params[4])[np.arange(len(token)), group]
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            logp[at] += log_softmax(h[at] @ self.params[5][g] + self.params[6][g])[np.arange(len(at)), token[at] % GROUP]
+        return logp
+
+    def gradients(self, seen: np.ndarray, token: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """Of the weighted mean of negative log-probabilities."""
+        (x, h), group, weight = self.hidden(seen), token // GROUP, (weight / weight.sum()).astype("float32")[:, None]
+        d = np.exp(log_softmax(h @ self.params[3] + self.params[4]))
+        d[np.arange(len(token)), group] -= 1
+        d *= weight
+        dh, dw, db, de = d @ self.params[3].T, np.zeros_like(self.params[5]), np.zeros_like(self.params[6]), np.zeros_like(self.params[0])
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            low = np.exp(log_softmax(h[at] @ self.params[5][g] + self.params[6][g]))
+            low[np.arange(len(at)), token[at] % GROUP] -= 1
+            low *= weight[at]
+            dw[g], db[g] = h[at].T @ low, low.sum(axis=0)
+            dh[at] += low @ self.params[5][g].T
+        dh *= 1 - h * h
+        dx, flat = (dh @ self.params[1].T).reshape(-1, EMBEDDED), seen.ravel()
+        order = np.argsort(flat, kind="stable")
+        known, first = np.unique(flat[order], return_index=True)
+        de[known] = np.add.reduceat(dx[order], first)
+        return [de, x.T @ dh, dh.sum(axis=0), h.T @ d, d.sum(axis=0), dw, db]
+
+    def fit(self, seen: np.ndarray, token: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> None:
+        """Adam over every window, those of large counts several times with a share each; few windows are gone over again."""
         m, s = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
-        steps = max(40, -(-len(context) // BATCH))
+        times = np.ceil(n / n.mean()).astype("int64")
+        order = np.repeat(np.arange(len(n)), times)
+        order = np.concatenate([rng.permutation(order) for _ in range(max(1, -(-40 * BATCH // len(order))))])
+        weight, steps = n / times, -(-len(order) // BATCH)
         for k in range(1, steps + 1):
-            pick = rng.choice(len(context), BATCH, p=chance)
-            x, h, logp = self.forward(seen[pick])
-            d = (np.exp(logp) - target[pick]) / np.float32(BATCH)
-            dh = (d @ self.params[3].T) * (1 - h * h)
-            dx, de = (dh @ self.params[1].T).reshape(-1, EMBEDDED), np.zeros_like(embed)
-            np.add.at(de, seen[pick].ravel(), dx)
-            for p, g, a, b in zip(self.params, (de, x.T @ dh, dh.sum(axis=0), h.T @ d, d.sum(axis=0)), m, s, strict=True):
+            pick = order[(k - 1) * BATCH : k * BATCH]
+            for p, g, a, b in zip(self.params, self.gradients(seen[pick], token[pick], weight[pick]), m, s, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= (RATE * (1 - 0.9 * k / steps) * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-8)).astype("float32")
@@ -151,48 +226,50 @@ class Network:
             at += p.size
 
 
-def shard_trainer(weights: bytes, turn: int):
+def shard_trainer(weights: bytes, size: int, turn: int):
     """A function that trains a copy of the network on one shard of the counts."""
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        local = Network()
+    def one(rows: pa.Table) -> pa.Table:
+        local, shard = Network(size), rows["shard"][0].as_py()
         local.unpack(np.frombuffer(weights, "float32"))
-        rows = rows.sort_values(["context", "token"])
-        context, at = np.unique(rows["context"].to_numpy(), return_inverse=True)
-        target = np.zeros((len(context), CLASSES), "float32")
-        np.add.at(target, (at, rows["token"].to_numpy()), rows["n"].to_numpy())
-        total = target.sum(axis=1, dtype="float64")
-        local.fit(context, target / total[:, None].astype("float32"), total / total.sum(), np.random.default_rng([turn, int(key[0])]))
-        return pd.DataFrame({"shard": [key[0]], "n": [int(total.sum())], "weights": [local.pack()]})
+        seen, token, n = contexts(rows["context"]), rows["token"].to_numpy(), rows["n"].to_numpy()
+        order = np.lexsort((token, *seen.T))
+        local.fit(seen[order], token[order], n[order], np.random.default_rng([turn, shard]))
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "weights": pa.array([local.pack()], pa.binary())})
 
     return one
 
 
 def train(counts: DataFrame) -> Network:
-    network = Network()
-    sharded = materialize(counts.withColumn("shard", F.pmod(F.xxhash64("context"), F.lit(SHARDS)).cast("int")), "window-counts")
+    """A round for each part of the rows, dealt by a hash; what a task holds does not grow with the table."""
+    key = F.xxhash64("context", "token")
+    kept = materialize(counts.withColumns({"part": F.pmod(key, F.lit(ROUNDS)).cast("int"), "deal": F.shiftrightunsigned(key, 8)}), "window-counts")
+    known = kept.agg(F.count("*").alias("rows"), F.max("token").alias("top")).first()
+    network = Network((known.top or 0) + 2)
+    shards = max(1, -(-known.rows // (ROUNDS * SHARD_ROWS)))
     for turn in range(ROUNDS):
-        trained = sharded.groupBy("shard").applyInPandas(shard_trainer(network.pack(), turn), "shard int, n long, weights binary")
-        got = sorted(trained.collect(), key=lambda r: r.shard)  # at most SHARDS rows of a few kilobytes
-        if not got:
-            break
-        network.unpack(np.average([np.frombuffer(r.weights, "float32") for r in got], axis=0, weights=[r.n for r in got]).astype("float32"))
+        dealt = kept.where(F.col("part") == turn).select("context", "token", "n", F.pmod("deal", F.lit(shards)).cast("int").alias("shard"))
+        trained = materialize(dealt.groupBy("shard").applyInArrow(shard_trainer(network.pack(), network.size, turn), "shard int, n long, weights binary"), "window-network")
+        total, mean = 0, 0.0
+        for r in trained.orderBy("shard").toLocalIterator():  # one copy of the network at a time
+            total += r.n
+            mean = mean + (np.frombuffer(r.weights, "float32").astype("float64") - mean) * (r.n / total)
+        if total:
+            network.unpack(mean.astype("float32"))
     return network
 
 
 def score(docs: DataFrame, network: Network, points_: list[int]) -> DataFrame:
     def run(batches):
-        windows, table = Windows(points_), np.full((CONTEXTS, CLASSES), np.nan, "float32")
+        windows = Windows(points_)
         for batch, texts in runs(batches, 1):
-            context, token = windows(texts)
-            logp = table[context, token]
-            new = np.unique(context[np.isnan(logp)])
-            if len(new):
-                for a in range(0, len(new), 20_000):
-                    table[new[a : a + 20_000]] = network.log_probabilities(new[a : a + 20_000])
-                logp = table[context, token]
+            keys, at = np.unique(windows.keys(windows.rows(texts)), return_inverse=True)
+            distinct, logp = windows.windows(keys), np.zeros(len(keys), "float32")
+            for a in range(0, len(keys), 20_000):
+                part = distinct[a : a + 20_000]
+                logp[a : a + 20_000] = network.log_probability(part[:, :-1], part[:, -1])
             n = np.array([len(t) for t in texts], "int64")
-            sums = np.diff(np.concatenate([[0.0], np.cumsum(logp, dtype="float64")])[np.concatenate([[0], np.cumsum(n)])])
+            sums = np.diff(np.concatenate([[0.0], np.cumsum(logp[at], dtype="float64")])[np.concatenate([[0], np.cumsum(n)])])
             sums = np.where(n > 0, np.round(sums, 4), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums), pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)], ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
 
