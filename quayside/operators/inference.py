@@ -61,12 +61,16 @@ def signed_rank(frame: DataFrame, value: str) -> DataFrame:
 
 
 def sign_flip_exact(frame: DataFrame, value: str, limit: int = 20) -> DataFrame:
-    """Two-sided exact sign-flip test of a mean of zero, for at most limit values (2^limit signs, spread over tasks)."""
-    values = frame.agg(F.sort_array(F.collect_list(value)).alias("d")).select(F.when(F.size("d") <= limit, F.col("d")).alias("d"))
+    """Two-sided sign-flip test of a mean of zero: exact for at most limit values (2^limit signs, spread over tasks), by the normal approximation for more, then with flips 0."""
+    known, x = frame.where(F.col(value).isNotNull()), F.col(value)
+    moments = known.agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), (F.min(x) == F.max(x)).alias("same"))
+    values = known.limit(limit + 1).agg(F.sort_array(F.collect_list(value)).alias("d")).select(F.when(F.size("d") <= limit, F.col("d")).alias("d"))
     masks = values.select("d", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("d")).cast("int") - 1)).alias("mask"))
     signed = lambda x, i: F.when(F.floor(F.col("mask") / F.pow(F.lit(2), i)) % 2 == 1, x).otherwise(-x)
     flip = masks.select("d", F.aggregate(F.transform("d", signed), F.lit(0.0), lambda s, x: s + x).alias("s"), F.aggregate("d", F.lit(0.0), lambda s, x: s + x).alias("t"))
-    return flip.agg(F.count("*").alias("flips"), (F.count_if(F.abs("s") >= F.abs("t") - 1e-9) / F.count("*")).alias("p_value"))
+    exact = flip.agg(F.count("*").alias("flips"), (F.count_if(F.abs("s") >= F.abs("t") - 1e-9) / F.count("*")).alias("exact"))
+    normal = F.when(F.col("same"), F.when(F.col("mean") == 0, 1.0).otherwise(0.0)).otherwise(two_sided(F.col("mean") / (F.col("sd") / F.sqrt("n"))))
+    return exact.join(F.broadcast(moments)).select("flips", F.when(F.col("n") <= limit, F.col("exact")).otherwise(normal).alias("p_value"))
 
 
 def holm(frame: DataFrame, p: str, name: str, alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:

@@ -170,6 +170,12 @@ def signflip_exact(spark, sf):
     return rounded(I.sign_flip_exact(small, "d"), 6)
 
 
+@query(with_(ER, PD) + f"SELECT CAST(0 AS BIGINT) AS flips, ROUND(LEAST(1.0, 2 * {TAIL}), 6) AS p_value FROM (SELECT ABS(AVG(difference) / (STDDEV_SAMP(difference) / SQRT(COUNT(*)))) AS z FROM pd)")
+def signflip_units(spark, sf):
+    """Over the independent units; every table has more than 20."""
+    return rounded(I.sign_flip_exact(differences(spark, sf), "difference"), 6)
+
+
 @query(with_(ER) + f"SELECT arm, k, n, ROUND((k / n + {Z * Z} / (2 * n) - {Z} * SQRT((k / n) * (1 - k / n) / n + {Z * Z} / (4 * n * n))) / (1 + {Z * Z} / n), 6) AS low, ROUND((k / n + {Z * Z} / (2 * n) + {Z} * SQRT((k / n) * (1 - k / n) / n + {Z * Z} / (4 * n * n))) / (1 + {Z * Z} / n), 6) AS high FROM (SELECT arm, COUNT(*) FILTER (lost > 0) AS k, COUNT(*) AS n FROM er GROUP BY arm)")
 def wilson_by_group(spark, sf):
     k = episode_results(spark, sf).groupBy("arm").agg(F.count_if(F.col("lost") > 0).alias("k"), F.count("*").alias("n"))
