@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quayside.operators import evaluation as E
 from quayside.operators import hypotheses as H
+from quayside.operators import resampling as R
 from quayside.plans.q_evaluation import PD, differences, rounded
 from quayside.plans.runtime import table
 from quayside.plans.views import CL, DP, ER, call_log, demand_panel, with_
@@ -90,6 +91,18 @@ def cluster_sign_flip(spark, sf):
     return rounded(H.cluster_flips(sums, "difference", "cluster", 500), 6)
 
 
+@query(None)
+def unit_sign_flip(spark, sf):
+    """100,000 flips of the independent units: too many for SQL to enumerate."""
+    return rounded(R.flips(differences(spark, sf), "difference", "unit"), 6)
+
+
+@query(None)
+def unit_bootstrap_ci(spark, sf):
+    """10,000 draws of the independent units: too many for SQL to enumerate."""
+    return rounded(R.bootstrap(differences(spark, sf), "difference", "unit"), 3)
+
+
 @query("SELECT range AS row, CASE range % 3 WHEN 0 THEN 'iid' WHEN 1 THEN 'seasonal' ELSE 'ar1' END AS kind, CAST(14 + (range // 3) % 9 AS INT) AS onset, 9000000 + range AS seed FROM range(1300)")
 def nullbank_rows(spark, sf):
     return H.null_registrations(spark, 1300, ["iid", "seasonal", "ar1"], (14, 22), 9_000_000)
