@@ -47,7 +47,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), choose=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Cases that a shortened job would get wrong."""
 
+import re
+
 import numpy as np
 
-from quayside.llm import lm_score
+from quayside.llm import license_scan, lm_score
 
 
 def test_lm_tells_rare_characters_apart(spark):
@@ -24,3 +26,22 @@ def test_lm_wide_alphabets():
     net = lm_score.Network(windows.size)
     logp = net.log_probabilities(rows[:, :-1])
     assert np.allclose(np.exp(logp).sum(axis=1), 1, atol=1e-3) and np.allclose(logp[np.arange(6), rows[:, -1]], net.log_probability(rows[:, :-1], rows[:, -1]), atol=1e-3)
+
+
+def test_licenses_tell_bsd_apart(spark):
+    """Numbered or bulleted, clause 3 decides; notices without their warranty are not whole ones."""
+    two, three, mit = (license_scan.TEMPLATES[k] for k in ("BSD-2-Clause", "BSD-3-Clause", "MIT"))
+    number = lambda t: t.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("Neither", "3. Neither")
+    texts = [two, three, number(two), number(three), "x " * 70 + three.replace("DAMAGES", "HARM"), mit, mit[: mit.index("THE SOFTWARE IS PROVIDED")]]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), choose=True).collect()
+    got = [{r.license for r in rows if r.doc_id == k and r.license != "BSD-conditions"} for k in range(len(texts))]
+    assert got == [{"BSD-2-Clause"}, {"BSD-3-Clause"}, {"BSD-2-Clause"}, {"BSD-3-Clause"}, {"BSD-3-Clause"}, {"MIT", "MIT-permission"}, {"MIT-permission"}]
+
+
+def test_licenses_bound_of_misses():
+    for text in license_scan.TEMPLATES.values():
+        words = re.findall(r"[^\W_]+", text.lower())
+        n = len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+        if n:
+            similarity = 0.8 * n / (n + 2 * license_scan.size_class(n) - 0.8 * n)
+            assert (1 - similarity) ** license_scan.BANDS < 1e-6
