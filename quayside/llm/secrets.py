@@ -1,7 +1,7 @@
 """Secret scans with structural confirmation.
 
-Base patterns find assignments, access keys and long hex runs. Candidates in base64 or hex are then decoded, and a span
-is added only where the bytes parse: DER private keys by tags and nested lengths, OpenSSH private keys by their
+Base patterns find assignments, access keys and long hex runs. Candidates in base64 (on one line, on consecutive lines or
+in PEM, whose line breaks may be escaped and lines prefixed) or hex are then decoded, and a span is added only where the bytes parse: DER private keys by tags and nested lengths, OpenSSH private keys by their
 length-prefixed fields, signed tokens by their JSON header and payload.
 
 Defined results: a null text counts as empty and has no span; the digest of no spans is that of the empty string; an
@@ -15,7 +15,10 @@ import base64
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
+from os.path import commonprefix
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +37,13 @@ ASSIGN = re.compile(rf"""({NAMES}|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+# Between its marks a PEM key may have anything but another mark: line breaks, their escapes, prefixes of lines.
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----((?:[^-]+|-(?!----))*+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+BREAK = re.compile(r"(?:\\+(?:[nrt]|u000[aAdD])|[\r\n])+")
+# Lines of base64 that follow one another: white space, quotes and marks of comments or quotations may stand between.
+BETWEEN = r"[\x20\t\"',]*(?:\\+[nr]|\r?\n)+(?:[\x20\t>#*;|\"',]|//\x20)*"
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{32,}}(?:{BETWEEN}[A-Za-z0-9+/_-]{{32,}})*+(?:{BETWEEN}[A-Za-z0-9+/_-]{{1,31}}(?![A-Za-z0-9+/_-]))?={{0,2}}")
+LINE = re.compile(rf"({BETWEEN})|([A-Za-z0-9+/_-]+={{0,2}})")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
@@ -119,6 +128,69 @@ def key_kind(data: bytes | None) -> str | None:
     return None if not data else "openssh" if is_openssh_key(data) else "der" if is_der_key(data) else None
 
 
+def pem_kind(body: str) -> str | None:
+    """Kind of the key between PEM marks: without breaks and white space, or without what stands before and after its lines."""
+    body = body.replace("\\/", "/").replace("\\u003d", "=")
+    if kind := key_kind(decode64(re.sub(r"\s+", "", BREAK.sub("", body)))):
+        return kind
+    lines = [x for x in BREAK.split(body) if re.search("[A-Za-z0-9]", x)]
+    prefix = len(re.match(r"(?:.*\s)?[^A-Za-z0-9]*", commonprefix(lines))[0])
+    by_marks = [re.sub(r"^[^A-Za-z0-9+/]+", "", x) for x in lines]
+    for plain in ([x[prefix:] for x in lines], by_marks):
+        if kind := key_kind(decode64("".join(re.match("[A-Za-z0-9+/]*=*", x)[0] for x in plain))):
+            return kind
+    return None
+
+
+def key_start(text: str, start: int) -> int:
+    """start, or the next place where the first letter belongs to an escaped line break."""
+    return start + 1 if start and text[start - 1] == "\\" and text[start] in "nrt" else start
+
+
+def der_size(line: str) -> int | None:
+    """Bytes of the DER sequence that begins with this base64, by its header."""
+    data = decode64(line[:8]) or b""
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    wide = data[1] - 0x80
+    return 2 + data[1] if wide < 0 else 2 + wide + int.from_bytes(data[2 : 2 + wide], "big") if 1 <= wide <= 4 else None
+
+
+def wrapped_spans(text: str) -> list[tuple[int, str, int]]:
+    """Keys in base64 over consecutive lines."""
+    found = []
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), x[2]) for x in LINE.finditer(m[0]) if x[2]]
+        lines[0] = (start := key_start(text, lines[0][0]), lines[0][1][start - lines[0][0] :])
+        ends = list(accumulate((len(x) for _, x in lines), initial=0))
+        k = 0
+        while k + 1 < len(lines):
+            last, kind = None, None
+            if (size := der_size(lines[k][1])) is not None:
+                last = bisect_left(ends, ends[k] + -(-4 * size // 3), k + 1) - 1  # the line on which the sequence ends
+                kind = key_kind(decode64("".join(x for _, x in lines[k : last + 1]))) if k < last < len(lines) else None
+            elif lines[k][1].startswith("b3BlbnNzaC1rZXktdjEA"):
+                last = next((j for j in range(k + 1, len(lines)) if len(lines[j][1]) != len(lines[k][1]) or lines[j][1].endswith("=")), len(lines) - 1)
+                kind = key_kind(decode64("".join(x for _, x in lines[k : last + 1])))
+            if kind:
+                found.append((lines[k][0], kind, lines[last][0] + len(lines[last][1])))
+                k = last
+            k += 1
+    return found
+
+
+def token_spans(text: str) -> list[tuple[int, str, int]]:
+    """Signed tokens; a candidate that fails is tried again from its next part."""
+    found, at = [], 0
+    while m := JWT.search(text, at):
+        if is_jwt(m[0]):
+            found.append((m.start(), "jwt", m.end()))
+            at = m.end()
+        else:
+            at = text.index(".", m.start()) + 1
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     found = []
     if "=" in text or ":" in text:
@@ -133,18 +205,23 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     found, inside = [], []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            if kind := key_kind(decode64(re.sub(r"\s+", "", m[1]))):
+            if kind := pem_kind(m[1]):
                 found.append((m.start(), kind, m.end()))
                 inside.append(m.span())
     outside = lambda m: not any(a <= m.start() < b for a, b in inside)
+    for span in wrapped_spans(text):
+        if not any(a <= span[0] < b for a, b in inside):
+            found.append(span)
+            inside.append((span[0], span[2]))
     for m in BASE64.finditer(text):
-        if (kind := key_kind(decode64(m[0]))) and outside(m):
-            found.append((m.start(), kind, m.end()))
+        start = key_start(text, m.start())
+        if (kind := key_kind(decode64(text[start : m.end()]))) and outside(m):
+            found.append((start, kind, m.end()))
     for m in HEX_BYTES.finditer(text):
         if (kind := key_kind(bytes.fromhex(m[0]))) and outside(m):
             found.append((m.start(), kind, m.end()))
     if "." in text:
-        found += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_jwt(m[0])]
+        found += token_spans(text)
     return found
 
 

@@ -1,10 +1,16 @@
 """Cases that a shortened job would get wrong."""
 
+import base64
+import json
+import os
 import re
+import time
 
 import numpy as np
+import pytest
 
-from quayside.llm import license_scan, lm_score
+from quayside.llm import license_scan, lm_score, secrets
+from tests.llm.test_brute_force import tlv
 
 
 def test_lm_tells_rare_characters_apart(spark):
@@ -45,3 +51,41 @@ def test_licenses_bound_of_misses():
         if n:
             similarity = 0.8 * n / (n + 2 * license_scan.size_class(n) - 0.8 * n)
             assert (1 - similarity) ** license_scan.BANDS < 1e-6
+
+
+def key_lines(size=60):
+    der = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, b"\1" + os.urandom(size)) for _ in range(8)))
+    text = base64.b64encode(der).decode()
+    return [text[i : i + 64] for i in range(0, len(text), 64)]
+
+
+@pytest.mark.parametrize("size", [40, 48, 60, 61, 62])
+def test_secrets_in_other_layouts(size):
+    lines = key_lines(size)
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    pem = "\n".join([begin, *lines, end, ""])
+    whole = [json.dumps({"private_key": pem}), "KEY=" + pem.replace("\n", "\\r\\n"), json.dumps(json.dumps({"k": pem})), json.dumps(pem).replace("/", "\\/")]
+    whole += ["".join(f"{p}{x}\n" for x in pem.splitlines()) for p in ("> ", "# ", "// ", "+", "    ", " * ")] + ["".join(f'  "{x}\\n" +\n' for x in pem.splitlines())]
+    for text in whole:
+        (a, kind, b), = secrets.confirmed_spans(text)
+        assert kind == "der" and text[a:].startswith(begin) and text[:b].endswith(end)
+        assert not any(x[4:-4] in secrets.redacted(text, "[SECRET]") for x in lines)
+    bare = ["\n".join(lines), "see\n" + "\n".join(lines) + "\nend of key", "\r\n".join(lines), json.dumps({"k": "x\n" + "\n".join(lines)}), "\n".join("> " + x for x in lines)]
+    for text in bare:
+        (a, kind, b), = secrets.confirmed_spans(text)
+        assert kind == "der" and text[a:].startswith(lines[0]) and text[:b].endswith(lines[-1])
+    assert secrets.confirmed_spans("\n".join(base64.b64encode(os.urandom(48)).decode() for _ in range(20))) == []
+
+
+def test_secrets_token_after_a_prefix():
+    part = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    token = f"{part(b'{"alg":"HS256"}')}.{part(b'{"sub":"1"}')}.{part(os.urandom(32))}"
+    for before in ("longprefix_12.", "longprefix_12.second_part_3.", "example_host_name.x."):
+        assert secrets.confirmed_spans(before + token) == [(len(before), "jwt", len(before + token))]
+
+
+def test_secrets_take_linear_time():
+    began = time.time()
+    for text in ("-----BEGIN PRIVATE KEY-----\n" * 20_000, "a" * 400_000, ("M" * 64 + "\n") * 6_000, "abcdefghijklmn." * 30_000, "\\n" * 200_000):
+        secrets.report_row(text)
+    assert time.time() - began < 10
