@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,11 @@ from quayside.plans.runtime import materialize
 #: Tokens seen on each side, numbers for a token, hidden units, tokens of an output group.
 SIDE, EMBEDDED, HIDDEN, GROUP = 3, 12, 64, 64
 ROUNDS, SHARD_ROWS, BATCH, RATE = 4, 400_000, 512, 0.01
+#: The places of a window, its context first.
+PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1), 0)
 CHUNK_CHARS = 2_000_000
+#: Windows that are scored at once, few enough for their hidden units to stay in the processor's cache.
+STEP = 4000
 #: Distinct windows that a task of the counting holds before it combines or passes them on.
 HELD = 4_000_000
 
@@ -54,11 +59,11 @@ class Windows:
     def __init__(self, alphabet: list[int]):
         self.size = len(alphabet) + 2
         self.width = 1 if self.size <= 1 << 8 else 2 if self.size <= 1 << 16 else 3
-        self.of = np.full(0x110000, self.size - 1, "uint32")
+        self.of = np.full(0x110000, self.size - 1, ("uint8", "uint16", "uint32")[self.width - 1])
         self.of[alphabet] = np.arange(1, len(alphabet) + 1)
 
-    def rows(self, texts: list[str]) -> np.ndarray:
-        """Token numbers of each window, a column for each place in it."""
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of all texts with borders between them, and the places of tokens."""
         lengths = np.array([len(t) for t in texts], "int64")
         border = "\0" * SIDE
         c = self.of[points(border + "".join(t + border for t in texts))]
@@ -68,26 +73,41 @@ class Windows:
         np.add.at(edge, starts + lengths, -1)
         real = np.cumsum(edge[:-1]) > 0
         c[~real] = 0
-        at = np.flatnonzero(real)
-        return np.stack([c[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1), 0)], axis=1)
+        return c, np.flatnonzero(real)
+
+    def rows(self, texts: list[str]) -> np.ndarray:
+        """Token numbers of each window, a column for each place in it."""
+        c, at = self.numbered(texts)
+        return np.stack([c[at + k] for k in PLACES], axis=1)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = self.rows(texts)
         return rows[:, :-1], rows[:, -1]
 
-    def keys(self, rows: np.ndarray) -> np.ndarray:
-        """One value for each window, equal only for equal windows."""
+    def keys(self, texts: list[str]) -> np.ndarray:
+        """One value for each window, equal only for equal windows: the bytes of its token numbers."""
+        c, at = self.numbered(texts)
         if self.width == 1:
-            raw = np.zeros((len(rows), 8), "uint8")
-            raw[:, : 2 * SIDE + 1] = rows
-            return raw.view("<u8")[:, 0]
+            wide, key = c.astype("<u8"), np.zeros(len(c), "<u8")
+            for j, k in enumerate(PLACES):  # borders stand at both ends, so nothing real goes around
+                key |= np.roll(wide, -k) << np.uint64(8 * j)
+            return key[at]
+        rows = np.stack([c[at + k] for k in PLACES], axis=1)
         raw = np.ascontiguousarray(rows, "<u4").view("uint8").reshape(len(rows), -1, 4)[:, :, : self.width]
-        return np.ascontiguousarray(raw).reshape(len(rows), -1).view(f"S{(2 * SIDE + 1) * self.width}")[:, 0]
+        return np.ascontiguousarray(raw).reshape(len(rows), -1).view(f"S{len(PLACES) * self.width}")[:, 0]
 
     def windows(self, keys: np.ndarray) -> np.ndarray:
         """The windows of keys."""
         raw = np.ascontiguousarray(keys).view("uint8").reshape(len(keys), keys.dtype.itemsize)
-        return numbers(raw[:, : (2 * SIDE + 1) * self.width], 2 * SIDE + 1)
+        return numbers(raw[:, : len(PLACES) * self.width], len(PLACES))
+
+
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and the place of each key among them."""
+    if keys.dtype.kind == "S":
+        return np.unique(keys, return_inverse=True)
+    at, found = pd.factorize(keys)
+    return found, at
 
 
 def numbers(raw: np.ndarray, places: int) -> np.ndarray:
@@ -137,7 +157,7 @@ def window_counts(docs: DataFrame, points_: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([context, pa.array(windows.windows(rows)[:, -1].astype("int32")), pa.array(n[a : a + 100_000])], ["context", "token", "n"])
 
         for _, texts in runs(batches, 0):
-            held.append(np.unique(windows.keys(windows.rows(texts)), return_counts=True))
+            held.append(np.unique(windows.keys(texts), return_counts=True))
             if sum(len(k) for k, _ in held) > HELD:
                 held = [combined(held)]
                 if len(held[0][0]) > HELD // 2:
@@ -153,6 +173,13 @@ def log_softmax(o: np.ndarray) -> np.ndarray:
     return o - np.log(np.exp(o).sum(axis=1, keepdims=True))
 
 
+def picked(o: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """One column of the log-softmax of each row; o is used up."""
+    o -= o.max(axis=1, keepdims=True)
+    chosen = o[np.arange(len(o)), column]
+    return chosen - np.log(np.exp(o, out=o).sum(axis=1))
+
+
 class Network:
     def __init__(self, size: int, seed: int = 3):
         rng, groups = np.random.default_rng(seed), -(-size // GROUP)
@@ -172,13 +199,23 @@ class Network:
         groups = log_softmax(h @ self.params[3] + self.params[4])
         return np.concatenate([groups[:, [g]] + log_softmax(h @ w + b) for g, (w, b) in enumerate(zip(*self.params[5:], strict=True))], axis=1)[:, : self.size]
 
-    def log_probability(self, seen: np.ndarray, token: np.ndarray) -> np.ndarray:
+    def folded(self) -> list[np.ndarray]:
+        """For each place of a context, what each token there adds to the hidden units."""
+        embed, w, _ = self.params[:3]
+        return [embed @ w[k * EMBEDDED : (k + 1) * EMBEDDED] for k in range(2 * SIDE)]
+
+    def log_probability(self, seen: np.ndarray, token: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
         """The log-probability of one token for each context."""
-        h, group = self.hidden(seen)[1], token // GROUP
-        logp = log_softmax(h @ self.params[3] + self.params[4])[np.arange(len(token)), group]
+        tables, h = tables or self.folded(), np.repeat(self.params[2][None], len(seen), axis=0)
+        for k, table in enumerate(tables):
+            h += table.take(seen[:, k], axis=0)
+        np.tanh(h, out=h)
+        group = token // GROUP
+        logp = picked(h @ self.params[3] + self.params[4], group)
         for g in np.unique(group):
             at = np.flatnonzero(group == g)
-            logp[at] += log_softmax(h[at] @ self.params[5][g] + self.params[6][g])[np.arange(len(at)), token[at] % GROUP]
+            used = min(GROUP, self.size - int(g) * GROUP)
+            logp[at] += picked(h[at] @ self.params[5][g][:, :used] + self.params[6][g][:used], token[at] % GROUP)
         return logp
 
     def gradients(self, seen: np.ndarray, token: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -261,13 +298,13 @@ def train(counts: DataFrame) -> Network:
 
 def score(docs: DataFrame, network: Network, points_: list[int]) -> DataFrame:
     def run(batches):
-        windows = Windows(points_)
+        windows, tables = Windows(points_), network.folded()
         for batch, texts in runs(batches, 1):
-            keys, at = np.unique(windows.keys(windows.rows(texts)), return_inverse=True)
+            keys, at = distinct_keys(windows.keys(texts))
             distinct, logp = windows.windows(keys), np.zeros(len(keys), "float32")
-            for a in range(0, len(keys), 20_000):
-                part = distinct[a : a + 20_000]
-                logp[a : a + 20_000] = network.log_probability(part[:, :-1], part[:, -1])
+            for a in range(0, len(keys), STEP):
+                part = distinct[a : a + STEP]
+                logp[a : a + STEP] = network.log_probability(part[:, :-1], part[:, -1], tables)
             n = np.array([len(t) for t in texts], "int64")
             sums = np.diff(np.concatenate([[0.0], np.cumsum(logp[at], dtype="float64")])[np.concatenate([[0], np.cumsum(n)])])
             sums = np.where(n > 0, np.round(sums, 4), 0.0)

@@ -27,8 +27,12 @@ def test_lm_tells_rare_characters_apart(spark):
 
 def test_lm_wide_alphabets():
     windows = lm_score.Windows(list(range(1000, 71000)))
-    rows = windows.rows(["".join(map(chr, (1000, 5000, 60000, 70999, 5))), "", "\0"])
-    assert rows.shape == (6, 7) and (windows.windows(windows.keys(rows)) == rows).all() and rows[4, -1] == 70001
+    texts = ["".join(map(chr, (1000, 5000, 60000, 70999, 5))), "", "\0"]
+    rows = windows.rows(texts)
+    assert rows.shape == (6, 7) and (windows.windows(windows.keys(texts)) == rows).all() and rows[4, -1] == 70001
+    narrow = lm_score.Windows(list(range(97, 123)))
+    texts = ["abcxyz", "", "\0", "q" * 9, "é", "z"]
+    assert (narrow.windows(narrow.keys(texts)) == narrow.rows(texts)).all() and narrow.keys([]).shape == (0,)
     net = lm_score.Network(windows.size)
     logp = net.log_probabilities(rows[:, :-1])
     assert np.allclose(np.exp(logp).sum(axis=1), 1, atol=1e-3) and np.allclose(logp[np.arange(6), rows[:, -1]], net.log_probability(rows[:, :-1], rows[:, -1]), atol=1e-3)
