@@ -12,7 +12,7 @@ pairs within a component are not needed.
 
 Defined results: a text that is null or without words has an empty set and stays alone; fewer words than a shingle are
 one shingle; rows that repeat a document's text are copies of it, the smallest id being kept; a null id stays null and
-is never the one kept of a group with ids; an empty table gives an empty result; other columns are ignored.
+is never the one kept of a group with ids; an id that stands for several texts stands for each of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,14 +109,14 @@ def band_hashes(sketches: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return h.view("int64")
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
-    """ids and texts of batches, about CHUNK_CHARS characters at a time."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list, pa.Array]]:
+    """ids, texts and digests of batches, about CHUNK_CHARS characters at a time."""
     for batch in slices(batches, 1):
         ids, texts, at, size = batch.column(0), batch.column(1).to_pylist(), 0, 0
         for k, text in enumerate(texts):
             size += len(text or "")
             if size >= CHUNK_CHARS or k + 1 == len(texts):
-                yield ids.slice(at, k + 1 - at), texts[at : k + 1]
+                yield ids.slice(at, k + 1 - at), texts[at : k + 1], batch.column(2).slice(at, k + 1 - at)
                 at, size = k + 1, 0
 
 
@@ -125,30 +125,39 @@ def as_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, "int64")]).view("int64")))
 
 
+def fingerprints(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Two 64-bit digests of each set, null for an empty one."""
+    none = np.array([not len(s) for s in sets], bool)
+    f1 = np.array([np.add.reduce(mix(s + np.uint64(1))) for s in sets], "uint64").view("int64")
+    f2 = np.array([np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) for s in sets], "uint64").view("int64")
+    return pa.array(f1, mask=none), pa.array(f2, mask=none)
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, fingerprint of the set (f1, f2; null if it is empty) and its band hashes."""
+    """doc_id, digest of the text, n_shingles, fingerprint of the set (f1, f2; null if it is empty) and its band hashes."""
 
     def run(batches):
         shingler = Shingler(shingle)
-        for ids, texts in chunks(batches):
+        for ids, texts, digests in chunks(batches):
             sets = shingler.sets(texts)
             n = np.array([len(s) for s in sets], "int64")
-            f1 = np.array([np.add.reduce(mix(s + np.uint64(1))) for s in sets], "uint64").view("int64")
-            f2 = np.array([np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) for s in sets], "uint64").view("int64")
             bands = band_hashes(sketch(sets, ROWS * BANDS), ROWS, BANDS)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(f1, mask=n == 0), pa.array(f2, mask=n == 0), as_lists([b if k else b[:0] for b, k in zip(bands, n, strict=True)])], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, digests, pa.array(n), *fingerprints(sets), as_lists([b if k else b[:0] for b, k in zip(bands, n, strict=True)])], ["doc_id", "digest", "n_shingles", "f1", "f2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.withColumn("digest", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, digest long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fingerprint and shingles of each row's set."""
+
     def run(batches):
         shingler = Shingler(shingle)
-        for ids, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([ids, as_lists([s.view("int64") for s in shingler.sets(texts)])], ["doc_id", "items"])
+        for ids, texts, _ in chunks(batches):
+            sets = shingler.sets(texts)
+            yield pa.RecordBatch.from_arrays([ids, *fingerprints(sets), as_lists([s.view("int64") for s in sets])], ["doc_id", "f1", "f2", "items"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, items array<long>")
+    return docs.select("doc_id", "text", F.lit(0).alias("digest")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, f1 long, f2 long, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,19 +203,37 @@ def unresolved(rest: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def clashing(found: DataFrame) -> bool:
+    """Does an id stand for more than one set?"""
+    ends = [f(F.coalesce(c, F.lit(0))) for c in ("f1", "f2") for f in (F.min, F.max)]
+    sets = found.where("doc_id is not null").groupBy("doc_id").agg(*[e.alias(f"e{k}") for k, e in enumerate(ends)])
+    return not sets.where("e0 != e1 or e2 != e3").isEmpty()
+
+
+def grouped_rows(read: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows of near_duplicates with digest, f1, f2 and first: is the row's set the one its component is named after?
+
+    Sets are told apart by the smallest id that has them; where an id has several sets, by the fingerprint too.
+    """
     found = materialize(sketches(read, shingle), "sketches")
-    classes = materialize(found.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    several = clashing(found)
+    node = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "f1", "f2")) if several else F.col("doc_id")
+    id_of = lambda c: F.col(c)["doc_id"] if several else F.col(c)
+    classes = found.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
+    classes = materialize(classes.select("f1", "f2", node.alias("rep")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    member = found.join(reps.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("bucket"))
+    named = found.where("f1 is not null").select(node.alias("doc_id"), "bands")
+    member = named.join(reps.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("bucket"))
     leaders = member.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader != last").select("bucket", "leader")
     grouped = materialize(member.join(leaders.hint("merge"), "bucket"), "buckets")
 
     pairs = materialize(grouped.where("doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(shingle_sets(read.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
+    texts = read.join(wanted.select(id_of("doc_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    sets = shingle_sets(texts if several else texts.dropDuplicates(["doc_id"]), shingle)
+    if several:
+        sets = sets.select(node.alias("doc_id"), "items").dropDuplicates(["doc_id"]).join(wanted.hint("merge"), "doc_id", "left_semi")
+    sets = materialize(sets.select("doc_id", "items"), "sets")
     checked = materialize(verified(pairs, sets, percent), "checked")
     linked = components(checked.where("link").select("a", "b"))
 
@@ -223,14 +250,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not again.isEmpty():
             linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(again))
 
-    named = classes.join(linked.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = found.select("doc_id", "n_shingles", "f1", "f2").join(named.hint("merge"), ["f1", "f2"], "left")
+    top = classes.join(linked.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    top = top.select("f1", "f2", id_of("component").alias("component"), (F.col("component") == F.col("rep")).alias("first"))
+    out = found.select("doc_id", "digest", "n_shingles", "f1", "f2").join(top.hint("merge"), ["f1", "f2"], "left")
     component = F.when(F.col("f1").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "digest", "f1", "f2", F.coalesce("first", F.lit(True)).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs."""
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return grouped_rows(read, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates; rows without an id stay."""
-    kept = near_duplicates(docs, shingle=shingle, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    unique = docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return unique.union(docs.where("doc_id is null"))
+    """docs with one row of each group of near duplicates; rows without an id stay, and so do different texts under one id."""
+    rows = grouped_rows(docs.select("doc_id", "text"), shingle, percent).where("kept and first and doc_id is not null")
+    alone = F.when(F.col("f1").isNull(), F.col("digest"))  # texts without words are nobody's copies
+    kept = rows.groupBy("doc_id", "f1", "f2", alone.alias("alone")).agg(F.min("digest").alias("_kept_digest")).select(F.col("doc_id").alias("_kept_id"), "_kept_digest")
+    keyed = docs.withColumn("_text_digest", F.xxhash64("text"))
+    same = (keyed["doc_id"] == kept["_kept_id"]) & (keyed["_text_digest"] == kept["_kept_digest"])
+    unique = keyed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "_text_digest"]).drop("_text_digest")
+    return unique.unionByName(docs.where("doc_id is null"))

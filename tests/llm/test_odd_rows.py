@@ -39,6 +39,19 @@ def test_values_of_odd_rows(odd):
     assert n[1] == n[2] == (0, 0.0, None)
 
 
+def test_one_id_with_several_texts(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    near, other = words + " x", " ".join(f"v{k}" for k in range(60))
+    rows = [(1, words), (1, other), (1, ""), (1, " "), (2, near), (3, other), (3, other), (4, "a b c"), (5, words), (5, near), (6, None), (None, words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 1, True)] * 4 + [(2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 1, False), (6, 6, True), (None, 1, False)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in minhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, words), (1, other), (1, ""), (1, " "), (4, "a b c"), (6, None), (None, words)], key=str)
+    close = spark.createDataFrame([(1, words), (1, near), (2, near)], "doc_id long, text string")
+    assert [r.doc_id for r in minhash.keep_one(close).collect()] == [1]
+
+
 def test_packing_and_licenses(odd, none):
     pieces = packing.pack_corpus(odd).collect()
     assert sum(r.length for r in pieces if r.doc_id == 1) == 1
