@@ -1,10 +1,12 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
-Strict base patterns (mail addresses, IP addresses, payment cards, phone numbers) and looser ones propose spans. Five
-labelers vote on each: the pattern's own checks, a gazetteer, cue words before the span, its structure, and its borders.
-Expectation-maximisation over the counts of vote patterns, a bounded table whatever the corpus, estimates how reliable
-each labeler is, and its posteriors train a logistic span classifier, which decides on the looser spans. Base spans
-always stay.
+Strict base patterns (mail addresses, IP addresses, payment cards, phone numbers) and looser ones propose spans. Six
+labelers vote for, against or not at all on each: checks of the pattern, gazetteers (endings, issuers, dialling codes,
+given names, nouns that make a name a place), cue words before the span, its structure, its borders, and well-known
+placeholders. Expectation-maximisation over the counts of vote patterns, a bounded table whatever the corpus, estimates
+for each kind how reliable each labeler is. Its posteriors train the span classifier, a naive Bayes model of the votes
+and of features no labeler sees: length, shape, and the words before and after by hash. It decides on the looser spans;
+base spans always stay.
 
 Defined results: a null text counts as empty and has no span; the digest of no spans is that of the empty string; an
 empty table gives an empty result; repeated rows are scanned one by one; other columns are ignored.
@@ -28,23 +30,32 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # Looser patterns, of our own.
-NAMES = ("Alexander", "Andrew", "Barbara", "Benjamin", "Catherine", "Charlotte", "Christopher", "Daniel", "Elizabeth", "Florian", "Francisco", "Gabriel", "Guillaume", "Heinrich", "Isabella", "Jennifer", "Jonathan", "Katharina", "Margaret", "Matthew", "Michael", "Nicholas", "Patricia", "Richard", "Sebastian", "Stephanie", "Thomas", "Victoria", "William", "Wolfgang")
+NAMES = ("Alexander", "Alfred", "Alice", "Andrea", "Andreas", "Andrew", "Anna", "Anthony", "Antonio", "Barbara", "Benjamin", "Camille", "Carlos", "Carmen", "Catherine", "Charles", "Charlotte", "Christian", "Christine", "Christopher", "Claire", "Claudia", "Daniel", "David", "Diego", "Dorothy", "Edward", "Elena", "Elizabeth", "Emily", "Emma", "Eric", "Fernando", "Florian", "Francisco", "François", "Frank", "Gabriel", "George", "Guillaume", "Hannah", "Hans", "Heinrich", "Helen", "Henry", "Isabella", "Jacques", "James", "Jane", "Javier", "Jean", "Jennifer", "Jessica", "Johann", "John", "Jonathan", "José", "Joseph", "Juan", "Julia", "Karl", "Katharina", "Kevin", "Klaus", "Laura", "Linda", "Lisa", "Louis", "Lucia", "Luis", "Manuel", "Margaret", "Maria", "Marie", "Mark", "Martin", "Mary", "Matthew", "Michael", "Miguel", "Nicholas", "Olivia", "Pablo", "Patricia", "Paul", "Peter", "Philippe", "Pierre", "Rebecca", "Richard", "Robert", "Rosa", "Samuel", "Sandra", "Sarah", "Sebastian", "Sofia", "Sophie", "Stefan", "Stephanie", "Susan", "Thomas", "Ursula", "Victoria", "William", "Wolfgang")
+TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Señor|Señora)"
+#: Nouns and the like that make a place, a firm or a work of a given name.
+NOT_SURNAMES = ("Street", "Station", "Avenue", "Road", "Square", "Park", "Bridge", "Lake", "Falls", "River", "Island", "Hospital", "University", "College", "School", "Church", "Tower", "Hotel", "House", "Hall", "Museum", "Airport", "Company", "Foundation", "Institute", "Award", "Prize", "Day", "County", "City", "Valley", "Bay", "Cross", "Line", "Court", "Press", "Medal", "Platz", "Straße", "Strasse", "Brücke", "Plaza", "Calle", "Rue")
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}+(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{1,64}+){1,4}"
 LOCAL = r"(?<![0-9+().-])(?<![0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-PERSON = rf"(?<![\p{{L}}])(?:{'|'.join(NAMES)})\x20\p{{Lu}}\p{{Ll}}{{2,30}}+"
+PERSON = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:{TITLES}\.?\x20\p{{Lu}}\p{{Ll}}{{1,30}}+(?:\x20\p{{Lu}}\p{{Ll}}{{1,30}}+)?|(?:{'|'.join(NAMES)})\x20\p{{Lu}}\p{{Ll}}{{2,30}}+)"
 
 KINDS = ("email", "ip", "card", "phone", "email_spelled", "phone_local", "social", "iban", "person")
 PATTERNS = (EMAIL, IP, CARD, PHONE, SPELLED, LOCAL, SOCIAL, IBAN, PERSON)
 #: A cheap test that a text must pass for the pattern to match at all.
 NEEDS = ("@", ".", "", "+", "at", "", "-", "", " ")
 BASE = 4
-CUES = (r"e-?mail|mail|contact|correo|courriel", r"\bip\b|host|server|address|adresse|direcci", r"card|visa|credit|karte|carte|tarjeta|pay", r"phone|tel|call|mobile|fax|ruf|num", r"e-?mail|mail|contact|correo|courriel", r"phone|tel|call|mobile|fax|ruf|num", r"ssn|social|security|tax", r"iban|account|konto|compte|cuenta|bank", r"name|\bmr\b|\bmrs\b|\bdr\b|herr|frau|mme|se.or|dear|by|from")
-AGAINST = r"version|isbn|issn|order|invoice|sku|model|serial|build|commit|section|chapter"
+CUES = (r"e-?mail|mail|contact|correo|courriel", r"\bip\b|host|server|address|adresse|direcci", r"card|visa|credit|karte|carte|tarjeta|pay", r"phone|\btel|call|mobile|fax|\bruf|telef|tél", r"e-?mail|mail|contact|correo|courriel|write|reach", r"phone|\btel|call|mobile|fax|\bruf|telef|tél", r"\bssn\b|social|security|\btax", r"iban|account|konto|compte|cuenta|bank", r"name|\bmr\b|\bmrs\b|\bdr\b|herr|frau|\bmme\b|se.or|dear|\bby\b|\bfrom\b|signed|author|contact|\bcall\b")
+AGAINST = r"version|isbn|issn|order|invoice|\bsku\b|model|serial|build|commit|section|chapter|ticket|\bpart\b|release|\bv\.?\x20?$"
 TLDS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "ch", "at", "it", "nl", "us", "ca")
-LABELERS = ("pattern", "gazetteer", "context", "structure", "border")
-CONTEXT_CHARS, PREFIX_BLOCK = 40, 256
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "PL": 28, "PT": 25, "SE": 24}
+LABELERS = ("pattern", "gazetteer", "context", "structure", "border", "placeholder")
+#: Where estimation starts: for each labeler, probabilities of votes 1, 0, -1 on true spans, then on false ones.
+START = ((0.75, 0.2, 0.05, 0.25, 0.3, 0.45), (0.6, 0.35, 0.05, 0.2, 0.35, 0.45), (0.45, 0.5, 0.05, 0.1, 0.6, 0.3), (0.5, 0.45, 0.05, 0.3, 0.4, 0.3), (0.6, 0.25, 0.15, 0.45, 0.25, 0.3), (0.01, 0.96, 0.03, 0.01, 0.69, 0.3))
+CONTEXT_CHARS, AFTER_CHARS, PREFIX_BLOCK = 40, 24, 256
+#: Features of the classifier, with their numbers of values.
+FEATURES = {"length": 4, "shape": 16, "word_before": 16, "word_after": 16}
 
 
 def prefix_sums(lengths: Column) -> Column:
@@ -71,7 +82,7 @@ def finds(text: Column, pattern: str, need: str) -> Column:
             def spans(offsets: Column) -> Column:
                 def span(v: Column, i: Column) -> Column:
                     start = offsets[i] + F.length(gaps[i])
-                    return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"), F.right(gaps[i], F.lit(CONTEXT_CHARS)).alias("before"), F.left(gaps[i + 1], F.lit(1)).alias("after"))
+                    return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"), F.right(gaps[i], F.lit(CONTEXT_CHARS)).alias("before"), F.left(gaps[i + 1], F.lit(AFTER_CHARS)).alias("after"))
 
                 return F.transform(values, span)
 
@@ -122,28 +133,80 @@ def passes(kind: int, value: Column) -> Column:
 def votes(kind: int, span: Column) -> list[Column]:
     """1 for, -1 against, 0 for no opinion, in the order of LABELERS."""
     value, name = span["value"], KINDS[kind]
+    before, number = F.lower(span["before"]), digits(value)
+    either = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
     yes = lambda c: F.when(c, 1).otherwise(-1)
-    may = lambda c: F.when(c, 1).otherwise(0)
-    before = F.lower(span["before"])
-    context = F.when(before.rlike(CUES[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0)
-    ends = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
-    gazetteer = may(ends.isin(*TLDS)) if name.startswith("email") else F.lit(1) if name == "person" else may(F.substring(value, 1, 2).isin("DE", "FR", "ES", "GB", "IT", "NL", "CH", "AT", "BE")) if name == "iban" else may(value.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-6]|7|8[1246]|9[0-58])")) if name == "phone" else may(value.rlike(r"^[3-6]")) if name == "card" else F.lit(0)
-    structure = {
-        "ip": yes(~value.rlike(r"^(?:0+\.|.*\.0+\.0+\.)")), "card": yes(F.length(digits(value)).between(12, 19)), "iban": yes(mod97(value)), "social": yes(~value.rlike(r"^(?:000|666|9)|-00-|-0000$")),
-        "phone_local": yes(value.rlike(r"^\(?[2-9]")), "email": yes(~value.contains("..")),
-    }.get(name, F.lit(0))
-    border = F.when(F.right(span["before"], F.lit(1)).rlike(r"[\p{L}\p{N}]") | span["after"].rlike(r"[\p{L}\p{N}]"), -1).otherwise(1)
-    return [yes(passes(kind, value)), gazetteer, context, structure, border]
+    none, never = F.lit(0), F.lit(False)
+    ending = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    surname = F.regexp_extract(value, r"(\p{L}+)$", 1)
+    cue, against = before.rlike(CUES[kind]), before.rlike(AGAINST)
+    context = F.when(cue & ~against, 1).when(against & ~cue, -1).otherwise(0)
+
+    if name == "email":
+        pattern = yes(~value.rlike(r"^[^@]{65,}|@(?:-|.*-\.|.*\.-|.*-$)"))
+        gazetteer, structure = either(ending.isin(*TLDS), ending.rlike("^[0-9-]+$")), either(value.rlike("^[^@]*[A-Za-z]"), value.rlike(r"\.\.|^\.|\.@"))
+        placeholder = either(never, F.lower(value).rlike(r"@(?:example|test|domain|invalid)\.|^(?:user|name|you|foo|noreply)@"))
+    elif name == "ip":
+        pattern = yes(passes(kind, value))
+        gazetteer = either(~value.rlike(r"^0"), value.rlike(r"^(?:0|10|127|22[4-9]|2[345][0-9]|192\.168|169\.254)\."))
+        structure, placeholder = either(value.rlike(r"\.[0-9]{2,3}\."), value.rlike(r"(?:^|\.)0[0-9]|\.0\.0$")), either(never, value.isin("1.2.3.4", "0.0.0.0", "1.1.1.1"))
+    elif name == "card":
+        pattern = yes(passes(kind, value))
+        gazetteer = yes(number.rlike(r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12}|3(?:0[0-5]|[68][0-9])[0-9]{11})$"))
+        structure = yes(value.rlike(r"^(?:[0-9]+|[0-9]{4}([\x20-])(?:[0-9]{4}\1)+[0-9]{1,7}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$"))
+        placeholder = either(never, number.rlike(r"^([0-9])\1+$|^4111(?:1)+$|^4242(?:42)+$"))
+    elif name == "phone":
+        pattern = yes(passes(kind, value))
+        gazetteer = yes(number.rlike(r"^(?:1[2-9]|2[07]|3[0-469]|35[0-9]|4[013-9]|42[013]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"))
+        structure, placeholder = either(value.rlike(r"^[^()]*(?:\([0-9\x20]+\)[^()]*)?$"), value.rlike(r"[().-]{3}")), either(never, number.rlike(r"([0-9])\1{6}|1234567|555010"))
+    elif name == "email_spelled":
+        pattern = yes(ending.rlike("^[a-z]{2,12}$"))
+        gazetteer, structure = yes(ending.isin(*TLDS)), either(value.rlike("^[^(\\[]*[A-Za-z]") & (F.length(value) <= 80), never)
+        placeholder = either(never, F.lower(value).rlike(r"[)\]]\x20?(?:example|test|domain|invalid)\b(?!\x20?[(\[]dot[)\]]\x20?com)"))
+    elif name == "phone_local":
+        pattern = yes(value.rlike(r"^\(?[2-9][0-9]{2}\)?.[2-9]"))
+        gazetteer = either(number.rlike("^(?:[2-9]0[1-9]|[2-9]1[02-9]|[2-9][2-79][0-9])"), number.rlike("^(?:555|800|888|877|900|000)"))
+        structure, placeholder = yes(value.rlike(r"^(?:\([0-9]{3}\)\x20[0-9]{3}[\x20.-]|[0-9]{3}([\x20.-])[0-9]{3}\1)[0-9]{4}$")), either(never, number.rlike(r"^([0-9])\1{5}|1234567"))
+    elif name == "social":
+        pattern = yes(~value.rlike(r"^(?:000|666|9)|-00-|-0000$"))
+        gazetteer, structure, placeholder = none, none, either(never, value.isin("078-05-1120", "219-09-9999") | number.rlike(r"^([0-9])\1+$"))
+    elif name == "iban":
+        length, expected = F.length(plain), reduce(lambda c, kv: c.when(F.substring(value, 1, 2) == kv[0], kv[1]), IBAN_LENGTHS.items(), F.when(never, 0))
+        pattern, gazetteer = yes(mod97(value)), F.when(expected.isNull(), 0).otherwise(yes(length == expected))
+        structure, placeholder = either(value.rlike(r"^(?:[A-Z0-9]+|(?:[A-Z0-9]{4}\x20)+[A-Z0-9]{1,4})$"), never), either(never, plain.rlike(r"([A-Z0-9])\1{9}"))
+    else:
+        pattern = F.when(value.rlike(rf"^{TITLES}\b"), 1).otherwise(0)
+        gazetteer = either(F.regexp_extract(value, r"^(\p{L}+)", 1).isin(*NAMES), surname.isin(*NOT_SURNAMES))
+        structure = either(never, span["after"].rlike(rf"^\x20(?:{'|'.join(NOT_SURNAMES)})\b"))
+        placeholder = either(never, value.isin("John Doe", "Jane Doe"))
+    left, right = F.right(span["before"], F.lit(1)), F.left(span["after"], F.lit(1))
+    border = F.when(left.rlike(r"[\p{L}\p{N}]") | right.rlike(r"[\p{L}\p{N}]"), -1).when(left.rlike(r"[/=_#&@.-]") | right.rlike(r"[/=_#&@-]"), 0).otherwise(1)
+    return [pattern, gazetteer, context, structure, border, placeholder]
+
+
+def features(span: Column) -> list[Column]:
+    """Numbers of the values of FEATURES."""
+    value = span["value"]
+    runs = reduce(lambda v, r: F.regexp_replace(v, *r), ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"[0-9]+", "9")), value)
+    bucket = lambda c, name: F.pmod(F.xxhash64(c), F.lit(FEATURES[name])).cast("int")
+    word = lambda side, pattern: F.lower(F.regexp_extract(side, pattern, 1))
+    length = F.length(value)
+    return [
+        F.when(length <= 8, 0).when(length <= 16, 1).when(length <= 32, 2).otherwise(3), bucket(runs, "shape"),
+        bucket(word(span["before"], r"(\p{L}+)[^\p{L}]*$"), "word_before"), bucket(word(span["after"], r"^[^\p{L}]*(\p{L}+)"), "word_after"),
+    ]
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans: start, kind, end, base (a base span) and votes (a number in base 3)."""
+    """doc_id and spans: start, kind, end, base (a base span), votes (a number in base 3) and features."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def of(kind: int) -> Column:
         def judged(span: Column) -> Column:
             code = reduce(lambda s, v: 3 * s + v + 1, reversed(votes(kind, span)), F.lit(0))
-            return F.struct(span["start"].alias("start"), F.lit(kind).alias("kind"), span["end"].alias("end"), (passes(kind, span["value"]) if kind < BASE else F.lit(False)).alias("base"), code.alias("votes"))
+            base = passes(kind, span["value"]) if kind < BASE else F.lit(False)
+            return F.struct(span["start"].alias("start"), F.lit(kind).alias("kind"), span["end"].alias("end"), base.alias("base"), code.alias("votes"), F.array(*features(span)).alias("features"))
 
         return F.transform(finds(F.col("text"), PATTERNS[kind], NEEDS[kind]), judged)
 
@@ -154,46 +217,68 @@ def decode(code: int) -> list[int]:
     return [code // 3**j % 3 - 1 for j in range(len(LABELERS))]
 
 
-def estimate(counts: dict[tuple[int, int], int], rounds: int = 60, prior: float = 20.0) -> tuple[dict, dict[int, float]]:
-    """Expectation-maximisation: the posterior of each (kind, votes), and each labeler's reliability, from the counts."""
-    start = {1: {1: 0.7, 0: 0.2, -1: 0.1}, 0: {1: 0.15, 0: 0.25, -1: 0.6}}
-    tables = [{y: dict(start[y]) for y in start} for _ in LABELERS]
-    share, post = {k: 0.5 for k, _ in counts}, {}
-    for _ in range(rounds):
-        for kind, code in counts:
-            ll = {y: math.log(share[kind] if y else 1 - share[kind]) + sum(math.log(t[y][v]) for t, v in zip(tables, decode(code), strict=True)) for y in start}
-            post[kind, code] = 1 / (1 + math.exp(max(-500.0, min(500.0, ll[0] - ll[1]))))
-        for kind in share:
-            rows = [(n, post[k, c]) for (k, c), n in counts.items() if k == kind]
-            share[kind] = (sum(n * p for n, p in rows) + prior / 2) / (sum(n for n, _ in rows) + prior)
-        for j, t in enumerate(tables):
-            for y in start:
-                mass = {v: prior * start[y][v] for v in (-1, 0, 1)}
-                for (kind, code), n in counts.items():
-                    mass[decode(code)[j]] += n * (post[kind, code] if y else 1 - post[kind, code])
-                total = sum(mass.values())
-                t[y] = {v: m / total for v, m in mass.items()}
-    return post, {name: sum(0.5 * tables[j][y][v] for y, v in ((1, 1), (0, -1))) for j, name in enumerate(LABELERS)}
-
-
-def train(counts: dict[tuple[int, int], int], post: dict, rounds: int = 400, rate: float = 0.5) -> list[float]:
-    """Weights of bias and votes: logistic regression on the posteriors, over the counts of vote patterns."""
-    w, rows = [0.0] * (1 + len(LABELERS)), [([1, *decode(c)], math.log1p(n), post[k, c]) for (k, c), n in sorted(counts.items())]
-    total = sum(n for _, n, _ in rows) or 1
-    for _ in range(rounds):
-        g = [0.002 * x for x in w]
-        for x, n, p in rows:
-            e = n / total * (1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True)))) - p)
-            g = [a + e * b for a, b in zip(g, x, strict=True)]
-        w = [a - rate * b for a, b in zip(w, g, strict=True)]
-    return w
-
-
-def probability(code: Column, weights: list[float]) -> Column:
-    score = F.lit(weights[0])
-    for j, w in enumerate(weights[1:]):
-        score = score + w * (F.pmod(F.floor(code / 3**j).cast("int"), F.lit(3)) - 1)
-    return 1 / (1 + F.exp(-score))
+def estimate(counts: dict[tuple[int, int], int], rounds: int = 60) -> tuple[dict[int, float], dict[int, list[dict]]]:
+    """Expectation-maximisation over counts of (kind, votes): for each kind the share of true spans, and for each labeler
+    the probabilities of its votes on false and true spans. START weighs as much as 20 spans and a fifth of the kind's."""
+    start = [{y: dict(zip((1, 0, -1), row[3 * (1 - y) : 3 * (1 - y) + 3], strict=True)) for y in (0, 1)} for row in START]
+    share, tables = {}, {}
+    for kind in sorted({k for k, _ in counts}):
+        rows = [(decode(c), n) for (k, c), n in counts.items() if k == kind]
+        total = sum(n for _, n in rows)
+        prior, at, now = 20 + total / 5, 0.5, start
+        for _ in range(rounds):
+            post = []
+            for vote, _ in rows:
+                like = [(at if y else 1 - at) * math.prod(t[y][v] for t, v in zip(now, vote, strict=True)) for y in (0, 1)]
+                post.append(like[1] / (like[0] + like[1]))
+            at = (sum(n * p for (_, n), p in zip(rows, post, strict=True)) + prior / 2) / (total + prior)
+            new = []
+            for j, first in enumerate(start):
+                mass = {y: {v: prior * first[y][v] for v in (1, 0, -1)} for y in (0, 1)}
+                for (vote, n), p in zip(rows, post, strict=True):
+                    mass[1][vote[j]] += n * p
+                    mass[0][vote[j]] += n * (1 - p)
+                new.append({y: {v: m / sum(mass[y].values()) for v, m in mass[y].items()} for y in (0, 1)})
+            now = new
+        share[kind], tables[kind] = at, now
+    return share, tables
+
+
+def logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
+def vote_score(span: Column, share: dict[int, float], tables: dict[int, list[dict]]) -> Column:
+    """The log odds that a span is true, given its votes: one number for each kind, labeler and vote."""
+    size = 3 * len(LABELERS)
+    flat = [math.log(tables[k][j][1][v] / tables[k][j][0][v]) if k in tables else 0.0 for k in range(len(KINDS)) for j in range(len(LABELERS)) for v in (-1, 0, 1)]
+    odds, first = F.lit(flat), F.lit([logit(share[k]) if k in share else 0.0 for k in range(len(KINDS))])
+    vote = lambda j: F.pmod(F.floor(span["votes"] / 3**j).cast("int"), F.lit(3))
+    return reduce(lambda s, j: s + odds[span["kind"] * size + 3 * j + vote(j)], range(len(LABELERS)), first[span["kind"]])
+
+
+def feature_odds(spans: DataFrame, share: dict, tables: dict, smoothing: float = 20.0) -> list[float]:
+    """Log odds of each value of each feature, by kind, from the posteriors of all spans; values seen seldom count little."""
+    sizes = list(FEATURES.values())
+    p = 1 / (1 + F.exp(-vote_score(F.col("s"), share, tables)))
+    each = spans.select(F.col("s.kind").alias("kind"), p.alias("p"), F.posexplode("s.features").alias("feature", "value"))
+    rows = each.groupBy("kind", "feature", "value").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false")).collect()  # a row for each kind and value at most
+    totals: dict = {}
+    for r in rows:
+        t = totals.setdefault((r.kind, r.feature), [0.0, 0.0])
+        t[0], t[1] = t[0] + r.true, t[1] + r.false
+    odds = [0.0] * (len(KINDS) * sum(sizes))
+    for r in rows:
+        true, false = totals[r.kind, r.feature]
+        both = true + false
+        odds[r.kind * sum(sizes) + sum(sizes[: r.feature]) + r.value] = math.log((r.true + smoothing * true / both) / (true + smoothing) * (false + smoothing) / (r.false + smoothing * false / both)) if true and false else 0.0
+    return odds
+
+
+def score(span: Column, share: dict, tables: dict, odds: list[float]) -> Column:
+    """The classifier: log odds of votes and features together."""
+    sizes, flat = list(FEATURES.values()), F.lit(odds)
+    return reduce(lambda s, f: s + flat[span["kind"] * sum(sizes) + sum(sizes[:f]) + span["features"][f]], range(len(sizes)), vote_score(span, share, tables))
 
 
 def span_text(spans: Column) -> Column:
@@ -203,10 +288,11 @@ def span_text(spans: Column) -> Column:
 
 def pii_report(docs: DataFrame, *, threshold: float = 0.5, **columns: str) -> DataFrame:
     found = materialize(candidates(docs, **columns), "pii-candidates")
-    seen = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()  # at most kinds x 3^labelers rows
-    counts = {(r[0], r[1]): r[2] for r in seen}
-    weights = train(counts, estimate(counts)[0])
-    added = lambda s: (s["kind"] >= BASE) & (probability(s["votes"], weights) >= threshold)
+    spans = found.select(F.explode("spans").alias("s"))
+    seen = spans.groupBy("s.kind", "s.votes").count().collect()  # at most kinds x 3^labelers rows
+    share, tables = estimate({(r[0], r[1]): r[2] for r in seen})
+    odds = feature_odds(spans, share, tables)
+    added = lambda s: (s["kind"] >= BASE) & (score(s, share, tables, odds) >= logit(threshold))
     base = F.filter("spans", lambda s: s["base"])
     n = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", *[n(k) for k in range(BASE)], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.filter("spans", lambda s: s["base"] | added(s))).alias("spans"))
