@@ -1,8 +1,10 @@
 """Secret scans with structural confirmation.
 
 Base patterns find assignments, access keys and long hex runs. Candidates in base64 (on one line, on consecutive lines or
-in PEM, whose line breaks may be escaped and lines prefixed) or hex are then decoded, and a span is added only where the bytes parse: DER private keys by tags and nested lengths, OpenSSH private keys by their
-length-prefixed fields, signed tokens by their JSON header and payload.
+in PEM, whose line breaks may be escaped and lines prefixed) or hex are then decoded, and a span is added only where the
+bytes parse: DER private keys by tags and nested lengths, down to the key inside an envelope, OpenSSH private keys by
+their length-prefixed fields, signed tokens by their JSON header and payload. Of an encrypted key, the envelope's scheme
+or the armour's headers and the length of the blocks are confirmed.
 
 Defined results: a null text counts as empty and has no span; the digest of no spans is that of the empty string; an
 empty table gives an empty result; repeated rows are scanned one by one; other columns are ignored by the report and
@@ -39,6 +41,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 # Between its marks a PEM key may have anything but another mark: line breaks, their escapes, prefixes of lines.
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----((?:[^-]+|-(?!----))*+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+# Headers of an encrypted key in the older armour.
+ENCRYPTED = re.compile(r"Proc-Type:\s*4,ENCRYPTED[\s\S]*DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
 BREAK = re.compile(r"(?:\\+(?:[nrt]|u000[aAdD])|[\r\n])+")
 # Lines of base64 that follow one another: white space, quotes and marks of comments or quotations may stand between.
 BETWEEN = r"[\x20\t\"',]*(?:\\+[nr]|\r?\n)+(?:[\x20\t>#*;|\"',]|//\x20)*"
@@ -76,21 +80,54 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return items
 
 
+# Object identifiers, as DER has them.
+RSA, EC, DSA, DH = (bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2a8648ce380401", "2a864886f70d010301"))
+RSA_PSS, EDWARDS, PBES = bytes.fromhex("2a864886f70d01010a"), bytes.fromhex("2b65"), (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def is_rsa_key(items: list[tuple[int, bytes]]) -> bool:
+    """PKCS #1: a version and eight numbers."""
+    return len(items) >= 9 and {t for t, _ in items[:9]} == {0x02} and int.from_bytes(items[0][1], "big") in (0, 1)
+
+
+def is_ec_key(items: list[tuple[int, bytes]]) -> bool:
+    """SEC 1: version 1, the key, perhaps parameters and the public key."""
+    return len(items) >= 2 and items[0] == (0x02, b"\1") and items[1][0] == 0x04 and len(items[1][1]) >= 20 and {t for t, _ in items[2:]} <= {0xA0, 0xA1}
+
+
+def fits_algorithm(identifier: bytes, key: bytes) -> bool:
+    """Is this what PKCS #8 holds for the algorithm?"""
+    items = der_items(key)
+    if not items or len(items) != 1:
+        return False
+    tag, value = items[0]
+    if identifier in (RSA, RSA_PSS):
+        return tag == 0x30 and is_rsa_key(der_items(value) or [])
+    if identifier == EC:
+        return tag == 0x30 and is_ec_key(der_items(value) or [])
+    if identifier in (DSA, DH):
+        return tag == 0x02 and len(value) >= 16
+    if identifier.startswith(EDWARDS):
+        return tag == 0x04 and len(value) in (32, 56, 57)
+    return tag in (0x02, 0x04, 0x30) and len(value) >= 16
+
+
 def is_der_key(data: bytes) -> bool:
-    """A PKCS #1, PKCS #8 or SEC 1 private key, by its structure."""
+    """A PKCS #1, PKCS #8 (plain, with the key it holds, or encrypted) or SEC 1 private key, by its structure."""
     if len(data) < 16 or data[0] != 0x30:
         return False
     outer = der_items(data)
     inner = der_items(outer[0][1]) if outer and len(outer) == 1 else None
-    if not inner or inner[0][0] != 0x02:
+    if not inner or len(inner) < 2:
         return False
-    version, tags = int.from_bytes(inner[0][1], "big"), [t for t, _ in inner]
-    if version in (0, 1) and len(inner) >= 9 and set(tags[:9]) == {0x02}:
-        return True
-    if version in (0, 1) and tags[1:3] == [0x30, 0x04]:
+    tags = [t for t, _ in inner]
+    if tags == [0x30, 0x04]:
+        scheme = der_items(inner[0][1])
+        return bool(scheme) and scheme[0][0] == 0x06 and scheme[0][1].startswith(PBES) and len(inner[1][1]) >= 16 and len(inner[1][1]) % 8 == 0
+    if tags[0] == 0x02 and tags[1:3] == [0x30, 0x04] and int.from_bytes(inner[0][1], "big") in (0, 1):
         algorithm = der_items(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == 0x06
-    return version == 1 and tags[1:2] == [0x04] and len(inner[1][1]) >= 20 and set(tags[2:]) <= {0xA0, 0xA1}
+        return bool(algorithm) and algorithm[0][0] == 0x06 and fits_algorithm(algorithm[0][1], inner[2][1])
+    return is_rsa_key(inner) or is_ec_key(inner)
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -134,6 +171,9 @@ def pem_kind(body: str) -> str | None:
     if kind := key_kind(decode64(re.sub(r"\s+", "", BREAK.sub("", body)))):
         return kind
     lines = [x for x in BREAK.split(body) if re.search("[A-Za-z0-9]", x)]
+    if ENCRYPTED.search(body):
+        data = decode64("".join(re.sub(r"^[^A-Za-z0-9+/]+|\s+$", "", x) for x in lines if ":" not in x))
+        return "der" if data and len(data) >= 64 and len(data) % 8 == 0 else None
     prefix = len(re.match(r"(?:.*\s)?[^A-Za-z0-9]*", commonprefix(lines))[0])
     by_marks = [re.sub(r"^[^A-Za-z0-9+/]+", "", x) for x in lines]
     for plain in ([x[prefix:] for x in lines], by_marks):
