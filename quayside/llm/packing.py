@@ -2,7 +2,7 @@
 
 A document's ids, with the end id, are cut at every multiple of the capacity. Full pieces are sequences of their own;
 the rests of a group are taken longest first, and a tournament tree over the free space of the bins finds the first bin
-that holds each in logarithmic time. Groups are dealt by a hash, so that each holds a fair mix of lengths and a bounded
+that holds each in logarithmic time. Groups are dealt by a hash of the piece, so that each holds a fair mix of lengths and a bounded
 number of documents, whatever the input's size.
 
 Defined results: a null or empty text is a document of the end id alone; an empty table gives no pieces; repeated rows
@@ -175,7 +175,8 @@ def pack_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
     pieces = read.mapInArrow(lambda it: pieces_of(it, path, end_id, capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
+    # by content too, so that many rows under one id, or without one, are dealt over all groups
+    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
     return keyed.groupBy("_group").applyInPandas(
         lambda key, pdf: pack_group(key, pdf, capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
