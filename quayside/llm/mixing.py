@@ -23,7 +23,13 @@ from quayside.plans.runtime import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents a leaf of the prefix-sum tree is sized for.
-LEAF_DOCS = 256
+LEAF_DOCS, ORDER_BITS = 256, 60
+
+
+def place(key: Column, text: Column, seed: int) -> Column:
+    """ORDER_BITS bits by which documents are ordered: of the id and the text, so that rows under one id do not meet."""
+    text = F.md5(F.coalesce(text, F.lit("")))
+    return F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")), text)), F.lit(ORDER_BITS // 4)), 16, 10).cast("long")
 
 
 def n_words(text: Column) -> Column:
@@ -68,16 +74,14 @@ def curriculum_mix(
     Only the totals of sources come to the driver; more than max_sources of them is an error. Sources of any size are
     spread over leaves of a two-level tree of prefix sums, so that none is in one task.
     """
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("_row"))
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), place(F.col(id_col), F.col(text_col), seed).alias("_order"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("_row"))
     n = docs.count()
     bits = max(0, math.ceil(math.log2(max(1, n / LEAF_DOCS))))
     hi_bits = bits // 2
-    h = F.xxhash64(F.lit(seed), "_id")
     src = F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n"))
-    keyed = docs.withColumns({
-        "_src": src, "_order": h,
-        "_hi": F.pmod(h, F.lit(1 << hi_bits)), "_lo": F.pmod(F.shiftright(h, 24), F.lit(1 << (bits - hi_bits))),
-    })
+    # leaves are ranges of the order: its first bits, then the bits after them
+    lo = F.shiftright("_order", ORDER_BITS - bits) if bits else F.lit(0).cast("long")
+    keyed = docs.withColumns({"_src": src, "_hi": F.shiftright(lo, bits - hi_bits), "_lo": F.pmod(lo, F.lit(1 << (bits - hi_bits)))})
     leaves = materialize(keyed.groupBy("_src", "_hi", "_lo").agg(F.sum("_size").alias("_leaf")), "mix-leaves")
     found = leaves.groupBy("_src").agg(F.sum("_leaf").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
@@ -113,7 +117,7 @@ def mix_summary(docs: DataFrame, **options) -> DataFrame:
     taken = F.aggregate("_copies", F.lit(0).cast("long"), lambda s, c: s + c["tokens"])
     out = mixed.select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"),
-        taken.alias("taken"), F.get(F.col("_copies"), F.lit(0))["position"].alias("position"), "_order",
+        taken.alias("taken"), F.round(F.get(F.col("_copies"), F.lit(0))["position"], 9).alias("position"), "_order",
     )
     # documents that are not taken have no position: the hash keeps them from meeting in one range
     return out.repartitionByRange(F.col("position").asc_nulls_last(), "_order").sortWithinPartitions(F.col("position").asc_nulls_last(), "_order").drop("_order")

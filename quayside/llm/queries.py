@@ -50,6 +50,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), choose=True)
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base part of op3_secrets that SQL can express."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base part of op8_pii that SQL can express."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,5 +67,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_lm_score, op5_langid, op6_packing, op7_embeddings, op8_pii, op9_minhash, op10_licenses, pipeline)
+    f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_lm_score, op5_langid, op6_packing, op7_embeddings, op8_pii, op9_minhash, op10_licenses, pipeline, secret_base_counts, pii_base_counts)
 }

@@ -42,4 +42,25 @@ OP10 = f"""WITH tp(license, text) AS (VALUES {NOTICES}), tw AS (SELECT license,
  hits AS (SELECT doc_id, ts.license, ds.g, n, i // width - back AS win FROM ds JOIN ts USING (g) JOIN tn ON tn.license = ts.license, (SELECT UNNEST([0, 1]) AS back) WHERE i // width - back >= 0)
  SELECT doc_id, license, ROUND(MAX(share), 6) AS containment FROM (SELECT doc_id, license, win, COUNT(DISTINCT g) / MAX(n) AS share FROM hits GROUP BY 1, 2, 3) WHERE share >= 0.8 GROUP BY 1, 2"""
 
-SQL: dict[str, str] = {"op2_quality": OP2, "op7_embeddings": OP7, "op9_minhash": OP9, "op10_licenses": OP10}
+# sources that are capped are a prefix by cap per weight: what is left is shared by the weights of the rest
+OP1 = rf"""WITH d AS (SELECT doc_id, source, CAST(LEN({WORDS}) AS BIGINT) AS size, SUBSTR(MD5('17:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || MD5(COALESCE(text, ''))), 1, 15) AS h FROM documents),
+ s AS (SELECT source, SUM(size) AS n, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source), w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, SUM(n) OVER () AS total FROM s),
+ f AS (SELECT *, total - COALESCE(SUM(3 * n) OVER before, 0) AS rest, SUM(weight) OVER () - COALESCE(SUM(weight) OVER before, 0) AS share FROM w WINDOW before AS (ORDER BY 3 * n / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ o AS (SELECT *, 3 * n < rest * weight / share AS capped FROM f),
+ t AS (SELECT source, k, CAST(n AS BIGINT) AS source_size, CASE WHEN capped THEN 3.0 * n ELSE CAST(MAX(rest) FILTER (NOT capped) OVER () AS DOUBLE) * weight / MAX(share) FILTER (NOT capped) OVER () END AS target FROM o),
+ p AS (SELECT doc_id, size, source_size, target, CASE WHEN k % 2 = 1 THEN 0.5 ELSE -0.5 END AS a, COALESCE(SUM(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+ q AS (SELECT *, CAST(LIST_SUM(LIST_TRANSFORM([0, 1, 2], lambda i: GREATEST(0, LEAST(size, FLOOR(target + 0.5) - start - i * source_size)))) AS BIGINT) AS taken FROM p)
+ SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN ROUND(ABS(SQRT((1 - a) * (1 - a) + 4 * a * LEAST(1.0, start / target)) - (1 - a)) / ABS(2 * a), 9) END AS position FROM q"""
+
+# the values that spans have; their places are tested against a brute-force version
+SECRET_BASE = rf"""SELECT doc_id, CAST(LEN(LIST_FILTER(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: LENGTH(x) >= 12)) AS BIGINT) AS n_assign,
+ CAST({count('AKIA[A-Z0-9]{14,}')} AS BIGINT) AS n_access, CAST({count('[0-9a-f]{16,}')} AS BIGINT) AS n_hex FROM documents"""
+
+DIGITS = "REGEXP_REPLACE(x, '[^0-9]', '', 'g')"
+PII_BASE = rf"""WITH v AS (SELECT doc_id, {count('[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+')} AS n_email, REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') AS ip,
+ LIST_TRANSFORM(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[0-9](?:[ -]?[0-9])+'), lambda x: {DIGITS}) AS card, LIST_TRANSFORM(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[+][0-9][ ().0-9-]+[0-9]'), lambda x: {DIGITS}) AS phone FROM documents)
+ SELECT doc_id, CAST(n_email AS BIGINT) AS n_email, CAST(LEN(LIST_FILTER(ip, lambda x: LEN(LIST_FILTER(STRING_SPLIT(x, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0)) AS BIGINT) AS n_ip,
+ CAST(LEN(LIST_FILTER(card, lambda x: LENGTH(x) BETWEEN 12 AND 19 AND LIST_SUM(LIST_TRANSFORM(RANGE(LENGTH(x)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(x[LENGTH(x) - i] AS INT) ELSE 2 * CAST(x[LENGTH(x) - i] AS INT) - CASE WHEN CAST(x[LENGTH(x) - i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+ CAST(LEN(LIST_FILTER(phone, lambda x: LENGTH(x) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM v"""
+
+SQL: dict[str, str] = {"op1_mixing": OP1, "secret_base_counts": SECRET_BASE, "pii_base_counts": PII_BASE, "op2_quality": OP2, "op7_embeddings": OP7, "op9_minhash": OP9, "op10_licenses": OP10}
