@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quayside.operators.panel import linear_quantiles, nearest_ranks, value_ranks
+
 
 def long_endpoints(frame: DataFrame, keys: Sequence[str], endpoints: Sequence[str]) -> DataFrame:
     """Wide to long: keys, endpoint, value."""
@@ -45,10 +47,18 @@ def paired_full(results: DataFrame, treatment: str, control: str, endpoint: str)
 
 
 def worst_share(frame: DataFrame, value: str, by: Sequence[str], share: float = 0.1) -> DataFrame:
-    """Rows with the lowest ceil(share n) values of each group."""
-    group = Window.partitionBy(*by)
-    ranked = frame.withColumns({"_rank": F.row_number().over(group.orderBy(value, *[c for c in frame.columns if c not in {value, *by}])), "_n": F.count("*").over(group)})
-    return ranked.where(F.col("_rank") <= F.ceil(F.col("_n") * share)).drop("_rank", "_n")
+    """Rows with the lowest ceil(share n) values of each group; of rows that tie at the cut, the first by their other columns.
+
+    The cut is found among counts of values by ranges; only its ties are numbered in a window.
+    """
+    ranked = value_ranks(frame, value, by)
+    sizes = ranked.groupBy(*by).agg(F.sum("count").alias("_n"))
+    wanted = F.ceil(F.col("_n") * share)
+    cut = ranked.join(sizes, list(by)).where((F.col("before") < wanted) & (F.col("before") + F.col("count") >= wanted)).select(*by, F.col("value").alias("_cut"), (wanted - F.col("before")).alias("_room"))
+    near = frame.join(cut, list(by)).where(F.col(value) <= F.col("_cut"))
+    ties = Window.partitionBy(*by).orderBy(*([c for c in frame.columns if c not in {value, *by}] or [value]))
+    at_cut = near.where(F.col(value) == F.col("_cut")).withColumn("_rank", F.row_number().over(ties)).where("_rank <= _room")
+    return near.where(F.col(value) < F.col("_cut")).select(*frame.columns).unionByName(at_cut.select(*frame.columns))
 
 
 def cvar(frame: DataFrame, value: str, by: Sequence[str], share: float = 0.1) -> DataFrame:
@@ -63,16 +73,19 @@ def relative_lift(treatment: Column, control: Column) -> Column:
 def efficiency(calls: DataFrame) -> DataFrame:
     """Calls, repairs, refusals, tokens, linear percentiles of latency, tokens per accepted call, by arm."""
     accepted = F.count_if(F.col("outcome") == "accepted")
-    return calls.groupBy("arm").agg(
+    counts = calls.groupBy("arm").agg(
         F.count("*").alias("calls"), F.count_if(F.col("outcome") == "repair").alias("repairs"), F.count_if(F.col("outcome") == "refusal").alias("refusals"), F.sum("tokens").alias("tokens"),
-        F.percentile("latency", F.lit(0.5)).alias("p50"), F.percentile("latency", F.lit(0.95)).alias("p95"), F.when(accepted > 0, F.sum("tokens") / accepted).alias("tokens_per_accepted"),
+        F.max("latency").alias("longest"), F.when(accepted > 0, F.sum("tokens") / accepted).alias("tokens_per_accepted"),
     )
+    return counts.join(linear_quantiles(calls, "latency", {"p50": 0.5, "p95": 0.95}, ["arm"]), "arm", "left")
 
 
 def ledger_summary(calls: DataFrame) -> DataFrame:
-    """Charged calls by arm with nearest-rank percentiles."""
-    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by latency)")
-    return calls.where("charged").groupBy("arm").agg(F.count("*").alias("charged"), F.sum("tokens").alias("tokens"), disc(0.5).alias("p50"), disc(0.95).alias("p95"))
+    """Charged calls by arm with nearest-rank percentiles, 0 where there is no latency."""
+    charged = calls.where("charged")
+    counts = charged.groupBy("arm").agg(F.count("*").alias("charged"), F.sum("tokens").alias("tokens"))
+    ranks = nearest_ranks(charged, "latency", {"p50": 0.5, "p95": 0.95}, ["arm"])
+    return counts.join(ranks, "arm", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("p50", "p95")})
 
 
 def macro_f1(pairs: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -92,9 +105,7 @@ def confusion(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Agreement beyond chance of two raters; null where chance alone agrees always."""
     cells = pairs.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("n"))
-    rows, columns = Window.partitionBy("_a"), Window.partitionBy("_b")
-    margins = cells.withColumns({"_row": F.sum("n").over(rows), "_col": F.sum("n").over(columns)})
-    total = margins.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("n")).otherwise(0)).alias("agree"))
+    total = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("n")).otherwise(0)).alias("agree"))
     by = lambda c: cells.groupBy(F.col(c).alias("v")).agg(F.sum("n").alias(f"n{c}"))
     chance = by("_a").join(by("_b"), "v").agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).alias("s"))
     po, pe = F.col("agree") / F.col("n"), F.col("s") / (F.col("n") * F.col("n"))

@@ -56,7 +56,7 @@ def signed_rank(frame: DataFrame, value: str) -> DataFrame:
     ranked = running_total(counts, ["a"], F.col("c"), "before")
     w = ranked.agg(F.sum("c").alias("n"), F.sum(F.col("plus") * (F.col("before") + (F.col("c") + 1) / 2)).alias("w"))
     n = F.col("n")
-    z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    z = F.try_divide(F.col("w") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
     return w.select(n, F.col("w"), F.when(n > 0, two_sided(z)).otherwise(1.0).alias("p_value"))
 
 
@@ -68,8 +68,8 @@ def sign_flip_exact(frame: DataFrame, value: str, limit: int = 20) -> DataFrame:
     masks = values.select("d", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("d")).cast("int") - 1)).alias("mask"))
     signed = lambda x, i: F.when(F.floor(F.col("mask") / F.pow(F.lit(2), i)) % 2 == 1, x).otherwise(-x)
     flip = masks.select("d", F.aggregate(F.transform("d", signed), F.lit(0.0), lambda s, x: s + x).alias("s"), F.aggregate("d", F.lit(0.0), lambda s, x: s + x).alias("t"))
-    exact = flip.agg(F.count("*").alias("flips"), (F.count_if(F.abs("s") >= F.abs("t") - 1e-9) / F.count("*")).alias("exact"))
-    normal = F.when(F.col("same"), F.when(F.col("mean") == 0, 1.0).otherwise(0.0)).otherwise(two_sided(F.col("mean") / (F.col("sd") / F.sqrt("n"))))
+    exact = flip.agg(F.count("*").alias("flips"), F.try_divide(F.count_if(F.abs("s") >= F.abs("t") - 1e-9), F.count("*")).alias("exact"))
+    normal = F.when(F.col("same"), F.when(F.col("mean") == 0, 1.0).otherwise(0.0)).otherwise(two_sided(F.try_divide(F.col("mean") * F.sqrt("n"), F.col("sd"))))
     return exact.join(F.broadcast(moments)).select("flips", F.when(F.col("n") <= limit, F.col("exact")).otherwise(normal).alias("p_value"))
 
 

@@ -122,34 +122,46 @@ def arrival_likelihood(panel: DataFrame, delays: Sequence[float], pause: float,
     return panel.groupBy(key).applyInPandas(run, f"{key} {kind}, log_likelihood double, steps long")
 
 
-def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(at most k successes of n)."""
-    if p <= 0 or p >= 1:
-        return 1.0 if p <= 0 or k >= n else 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
-
-
-def exact_limit(k: int, n: int, level: float, upper: bool) -> float:
-    """One-sided exact limit of a proportion, by bisection on the binomial tail."""
-    if (k >= n) if upper else (k <= 0):
-        return 1.0 if upper else 0.0
-    low, high = 0.0, 1.0
-    for _ in range(80):
-        p = (low + high) / 2
-        above = binomial_tail(k, n, p) > 1 - level if upper else 1 - binomial_tail(k - 1, n, p) < 1 - level
-        low, high = (p, high) if above else (low, p)
-    return (low + high) / 2
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, elementwise, by its continued fraction."""
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    tiny = 1e-300
+    c, d = np.ones_like(y), 1 - (p + q) * y / (p + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    f = d.copy()
+    for m in range(1, 200_000):
+        for top in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 + top * d, 1 + top / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            f = f * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
+            break
+    with np.errstate(divide="ignore"):
+        front = np.exp(LGAMMA(p + q) - LGAMMA(p) - LGAMMA(q) + p * np.log(y) + q * np.log1p(-y))
+    share = np.where(y <= 0, 0.0, front * f / p)
+    return np.where(turned, 1 - share, share)
+
+
+def exact_limits(k: np.ndarray, n: np.ndarray, level: float, upper: bool) -> np.ndarray:
+    """One-sided exact limits of proportions: quantiles of beta laws, by bisection of all rows at once."""
+    k, n = np.asarray(k, float), np.asarray(n, float)
+    ends = k >= n if upper else k <= 0
+    a, b = (k + 1, n - k) if upper else (k, n - k + 1)
+    a, b = np.where(ends, 1.0, a), np.where(ends, 1.0, b)
+    goal = level if upper else 1 - level
+    low, high = np.zeros(len(k)), np.ones(len(k))
+    for _ in range(60):
+        x = (low + high) / 2
+        below = beta_share(x, a, b) < goal
+        low, high = np.where(below, x, low), np.where(below, high, x)
+    return np.where(ends, 1.0 if upper else 0.0, (low + high) / 2)
 
 
 def exact_interval(frame: DataFrame, k: str, n: str, level: float = 0.975) -> DataFrame:
     """frame with exact_low and exact_high."""
 
     def limits(upper: bool):
-        def run(ks: pd.Series, ns: pd.Series) -> pd.Series:
-            return pd.Series([exact_limit(int(a), int(b), level, upper) for a, b in zip(ks, ns, strict=True)])
-
-        return F.pandas_udf(run, "double")
+        return F.pandas_udf(lambda ks, ns: pd.Series(exact_limits(ks.to_numpy(), ns.to_numpy(), level, upper)), "double")
 
     return frame.withColumns({"exact_low": limits(False)(k, n), "exact_high": limits(True)(k, n)})

@@ -61,8 +61,10 @@ def leading_run(panel: DataFrame, flag: Column, keys: Sequence[str]) -> DataFram
 
 
 def first_row(frame: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in order."""
-    return frame.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+    """One row per key, the first in order; combined before the shuffle. order: columns, or pairs of a column and "desc", which must be numbers."""
+    place = F.struct(*[(-F.col(c[0]) if isinstance(c, tuple) else F.col(c)).alias(f"o{k}") for k, c in enumerate(order)])
+    rest = [c for c in frame.columns if c not in keys]
+    return frame.groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("_row")).select(*[c if c in keys else F.col("_row")[c].alias(c) for c in frame.columns])
 
 
 def even_stride(frame: DataFrame, keys: Sequence[str], order: Sequence[str], count: int) -> DataFrame:
@@ -74,6 +76,46 @@ def even_stride(frame: DataFrame, keys: Sequence[str], order: Sequence[str], cou
     return rows.where((F.floor(i * F.col("_n") / count) == F.col("_i")) & (i < count)).drop("_i", "_n")
 
 
+def value_ranks(frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, value, count and before: each value's rows, and the rows of smaller values in its group. Values are counted before they
+    are sorted, and sorted by ranges, so that no task holds a group."""
+    counts = frame.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("count"))
+    ranked = running_total(counts, [*by, "value"], F.col("count"), "_all")
+    if not by:
+        return ranked.withColumnRenamed("_all", "before")
+    starts = ranked.groupBy(*by).agg(F.min("_all").alias("_start"))
+    return ranked.join(starts, list(by)).withColumn("before", F.col("_all") - F.col("_start")).drop("_all", "_start")
+
+
+def at_ranks(ranked: DataFrame, ranks: Sequence[tuple[str, Column]], by: Sequence[str] = ()) -> DataFrame:
+    """by, _n and a column for each named rank (from 0; a Column of _n): the value there. ranked: of value_ranks."""
+    n = ranked.groupBy(*by).agg(F.sum("count").alias("_n"))
+    both = ranked.join(n, list(by)) if by else ranked.join(F.broadcast(n))
+    here = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("count")), F.col("value")))
+    return both.groupBy(*by, "_n").agg(*[here(r).alias(name) for name, r in ranks])
+
+
+def linear_quantiles(frame: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """by and a column for each named share: quantiles interpolated between neighbours."""
+    place = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    ranks = [(f"_{side}_{name}", f(place(q)).cast("long")) for name, q in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = at_ranks(value_ranks(frame, value, by), ranks, by)
+    part = lambda q: place(q) - F.floor(place(q))
+    return found.select(*by, *[(F.col(f"_low_{k}") + part(q) * (F.col(f"_high_{k}") - F.col(f"_low_{k}"))).alias(k) for k, q in shares.items()])
+
+
+def nearest_ranks(frame: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """by and a column for each named share: the smallest value that at least that share of rows does not exceed."""
+    ranks = [(name, F.greatest(F.lit(0), F.ceil(F.lit(float(q)) * F.col("_n") - 1e-9) - 1).cast("long")) for name, q in shares.items()]
+    return at_ranks(value_ranks(frame, value, by), ranks, by).drop("_n")
+
+
+def nearest_rank(frame: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """share and value, over the whole frame."""
+    wide = nearest_ranks(frame, value, {f"q{k}": q for k, q in enumerate(shares)})
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("share"), F.col(f"q{k}").alias("value")) for k, q in enumerate(shares)])).alias("r")).select("r.share", "r.value")
+
+
 def running_total(frame: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
     """frame with the sum of value over all rows before each in a total order, without a task that sees them all.
 

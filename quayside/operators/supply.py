@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quayside.operators.panel import BEFORE, UP_TO, ordered_fold, over
 
@@ -64,15 +65,22 @@ def episode_totals(path: DataFrame, profit: float, holding: float, keys: Sequenc
 
 
 def fifo_ages(orders: DataFrame, receipts: DataFrame, keys: Sequence[str] = ("episode",)) -> DataFrame:
-    """Receipts attributed to the oldest orders: overlaps of the cumulative intervals of both. Exact while no receipt exceeds what is outstanding."""
+    """Receipts attributed to the oldest orders: overlaps of the cumulative intervals of both. Exact while no receipt exceeds what is outstanding.
 
-    def intervals(frame: DataFrame, value: str, name: str) -> DataFrame:
-        end = F.sum(value).over(over(keys, frame=UP_TO))
-        return frame.where(F.col(value) > 0).select(*keys, F.col("period").alias(f"{name}_period"), (end - F.col(value)).alias(f"{name}_from"), end.alias(f"{name}_to"))
+    The ends of both kinds of intervals, in one order, cut the units into pieces; the next end of each kind at or after a
+    piece names its order and its receipt, so that no orders are held against all receipts.
+    """
 
-    o, r = intervals(orders, "ordered", "o"), intervals(receipts, "received", "r")
-    part = F.least("o_to", "r_to") - F.greatest("o_from", "r_from")
-    return o.join(r, list(keys)).where((F.col("o_from") < F.col("r_to")) & (F.col("r_from") < F.col("o_to"))).select(*keys, "o_period", "r_period", part.alias("units"), (F.col("r_period") - F.col("o_period")).alias("age"))
+    def ends(frame: DataFrame, value: str, name: str) -> DataFrame:
+        end = F.sum(value).over(over(keys, frame=UP_TO))
+        rows = frame.withColumn("_end", end).where(F.col(value) > 0)
+        return rows.select(*keys, "_end", *[(F.col("period") if n == name else F.lit(None).cast(frame.schema["period"].dataType)).alias(f"{n}_period") for n in ("o", "r")])
+
+    cuts = ends(orders, "ordered", "o").unionByName(ends(receipts, "received", "r")).groupBy(*keys, "_end").agg(F.max("o_period").alias("o_period"), F.max("r_period").alias("r_period"))
+    w = Window.partitionBy(*keys).orderBy("_end")
+    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    pieces = cuts.select(*keys, *[F.first(c, ignorenulls=True).over(ahead).alias(c) for c in ("o_period", "r_period")], (F.col("_end") - F.coalesce(F.lag("_end").over(w), F.lit(0))).alias("units"))
+    return pieces.where("o_period is not null and r_period is not null").select(*keys, "o_period", "r_period", "units", (F.col("r_period") - F.col("o_period")).alias("age"))
 
 
 def base_stock_path(panel: DataFrame, cover: int, cap: int, keys: Sequence[str] = ("episode",)) -> DataFrame:

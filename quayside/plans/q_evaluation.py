@@ -76,7 +76,7 @@ def weighted_by_field(spark, sf):
     return rounded(E.weighted_mean(episode_results(spark, sf), "lost", ["family"], weights(spark)), 6)
 
 
-@query(with_(CL) + """SELECT arm, COUNT(*) AS calls, COUNT(*) FILTER (outcome = 'repair') AS repairs, COUNT(*) FILTER (outcome = 'refusal') AS refusals, CAST(SUM(tokens) AS BIGINT) AS tokens, ROUND(QUANTILE_CONT(latency, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(latency, 0.95), 6) AS p95,
+@query(with_(CL) + """SELECT arm, COUNT(*) AS calls, COUNT(*) FILTER (outcome = 'repair') AS repairs, COUNT(*) FILTER (outcome = 'refusal') AS refusals, CAST(SUM(tokens) AS BIGINT) AS tokens, ROUND(QUANTILE_CONT(latency, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(latency, 0.95), 6) AS p95, ROUND(MAX(latency), 6) AS longest,
  ROUND(CASE WHEN COUNT(*) FILTER (outcome = 'accepted') > 0 THEN SUM(tokens) / COUNT(*) FILTER (outcome = 'accepted') END, 6) AS tokens_per_accepted FROM cl GROUP BY arm""")
 def efficiency_by_arm(spark, sf):
     return rounded(E.efficiency(call_log(spark, sf)), 6)

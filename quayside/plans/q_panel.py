@@ -81,7 +81,7 @@ def fifo_age(spark, sf):
 @query("WITH RECURSIVE " + DP + """, bs AS (SELECT episode, 0 AS period, 0::BIGINT AS stock, 0::BIGINT AS total, 0::BIGINT AS ordered, 0::BIGINT AS sold FROM dp WHERE period = 1
  UNION ALL SELECT episode, period, stock + q - LEAST(demand, stock + q), total + demand, ordered + q, sold + LEAST(demand, stock + q) FROM (SELECT d.episode, d.period, d.demand, b.stock, b.total, b.ordered, b.sold,
  CAST(LEAST(GREATEST(0, (CASE WHEN b.period = 0 THEN 0 ELSE CEIL(2 * b.total / b.period) END) - b.stock), 5000) AS BIGINT) AS q FROM bs b JOIN dp d ON d.episode = b.episode AND d.period = b.period + 1))
- SELECT episode, stock, ordered, sold FROM bs WHERE period = 83""")
+ SELECT episode, stock, ordered, sold FROM bs WHERE period = (SELECT MAX(period) FROM dp)""")
 def base_stock_order_path(spark, sf):
     return U.base_stock_path(demand_panel(spark, sf), 2, 5000)
 
@@ -116,18 +116,20 @@ def observation_lag(spark, sf):
     return P.observation_lag(supply_panel(spark, sf), ["episode"], ["demand", "ordered"]).select("episode", "period", "prev_demand", "prev_ordered")
 
 
-@query(with_(DP) + "SELECT episode, ROUND(SUM(POW(0.8, 83 - period) * demand) / SUM(POW(0.8, 83 - period)), 6) AS ewma FROM dp GROUP BY 1")
+@query(with_(DP) + "SELECT episode, ROUND(SUM(POW(0.8, (SELECT MAX(period) FROM dp) - period) * demand) / SUM(POW(0.8, (SELECT MAX(period) FROM dp) - period)), 6) AS ewma FROM dp GROUP BY 1")
 def ewma_last(spark, sf):
     return rounded(P.ewma_last(demand_panel(spark, sf), "demand", ["episode"], 0.8), 6)
 
 
-@query(PATH + "SELECT episode, CAST(COALESCE(MIN(period) FILTER (sold > 0), 84) - 1 AS INT) AS run FROM ls GROUP BY 1")
+@query(PATH + "SELECT episode, CAST(COALESCE(MIN(period) FILTER (sold > 0), (SELECT MAX(period) FROM dp) + 1) - 1 AS INT) AS run FROM ls GROUP BY 1")
 def leading_zero_run(spark, sf):
     return P.leading_run(path(spark, sf), F.col("sold") > 0, ["episode"])
 
 
-CU = f"""WITH RECURSIVE {DP}, cu AS (SELECT episode, 0 AS period, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM dp WHERE period = 1
- UNION ALL SELECT d.episode, d.period, GREATEST(0, up + d.demand - {MU} - {SD / 2}), GREATEST(0, down + {MU} - d.demand - {SD / 2}) FROM cu JOIN dp d ON d.episode = cu.episode AND d.period = cu.period + 1)"""
+# the value of the period before enters; none does in the first
+DL = "dl AS (SELECT episode, period, LAG(demand) OVER (PARTITION BY episode ORDER BY period) AS x FROM dp)"
+CU = f"""WITH RECURSIVE {DP}, {DL}, cu AS (SELECT episode, 0 AS period, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM dp WHERE period = 1
+ UNION ALL SELECT d.episode, d.period, GREATEST(0, up + COALESCE(d.x - {MU} - {SD / 2}, 0)), GREATEST(0, down + COALESCE({MU} - d.x - {SD / 2}, 0)) FROM cu JOIN dl d ON d.episode = cu.episode AND d.period = cu.period + 1)"""
 
 
 def cusum(spark, sf):
@@ -139,24 +141,39 @@ def cusum_path(spark, sf):
     return cusum(spark, sf).select("episode", "period", "up", "down")
 
 
-@query(f"WITH {DP}, s AS (SELECT episode, period, SUM(demand - {MU} - 100) OVER w AS u, SUM(demand - {MU} + 100) OVER w AS l FROM dp WINDOW w AS (PARTITION BY episode ORDER BY period)) SELECT episode, period, u - LEAST(0, MIN(u) OVER w) AS up, GREATEST(0, MAX(l) OVER w) - l AS down FROM s WINDOW w AS (PARTITION BY episode ORDER BY period)")
+@query(f"WITH {DP}, {DL}, s AS (SELECT episode, period, SUM(COALESCE(x - {MU} - 100, 0)) OVER w AS u, SUM(COALESCE(x - {MU} + 100, 0)) OVER w AS l FROM dl WINDOW w AS (PARTITION BY episode ORDER BY period)) SELECT episode, period, u - LEAST(0, MIN(u) OVER w) AS up, GREATEST(0, MAX(l) OVER w) - l AS down FROM s WINDOW w AS (PARTITION BY episode ORDER BY period)")
 def page_hinkley_path(spark, sf):
     return D.page_hinkley_path(demand_panel(spark, sf), "demand", F.lit(MU), F.lit(100.0)).select("episode", "period", "up", "down")
 
 
-@query(CU + f" SELECT episode, MIN(period) FILTER (GREATEST(up, down) > {4 * SD}) AS period FROM cu GROUP BY 1")
+@query(CU + f" SELECT episode, MIN(period) AS period, MIN_BY(CASE WHEN up >= down THEN 'cusum_up' ELSE 'cusum_down' END, period) AS rule FROM cu WHERE GREATEST(up, down) > {4 * SD} GROUP BY 1 UNION ALL SELECT episode, NULL, NULL FROM cu GROUP BY 1 HAVING MAX(GREATEST(up, down)) <= {4 * SD}")
 def cusum_first_fire(spark, sf):
-    return D.first_fire(cusum(spark, sf), F.lit(4 * SD)).select("episode", "period")
+    return D.first_fire(cusum(spark, sf), F.lit(4 * SD)).select("episode", "period", "rule")
 
 
-@query(f"""WITH RECURSIVE {DP}, st AS (SELECT episode, 0 AS period, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, NULL::INT AS last, 0 AS fires, false AS fire, 0.0::DOUBLE AS statistic FROM dp WHERE period = 1
- UNION ALL SELECT episode, period, CASE WHEN fire THEN 0 ELSE u END, CASE WHEN fire THEN 0 ELSE d END, CASE WHEN fire THEN period ELSE last END, fires + CASE WHEN fire THEN 1 ELSE 0 END, fire, GREATEST(u, d) FROM (
- SELECT *, GREATEST(u, d) > {2 * SD} AND (last IS NULL OR period - last > 5) AND fires < 4 AS fire FROM (SELECT x.episode, x.period, st.last, st.fires, GREATEST(0, st.up + (x.demand - {MU} - {SD / 2})) AS u, GREATEST(0, st.down + ({MU} - x.demand - {SD / 2})) AS d FROM st JOIN dp x ON x.episode = st.episode AND x.period = st.period + 1)))
- SELECT episode, period, statistic FROM st WHERE fire""")
+def restarts(slack: float, threshold: float, rule: str) -> str:
+    """The detector with its suppression as a recursion over periods."""
+    return f"""WITH RECURSIVE {DP}, {DL}, st AS (SELECT episode, 0 AS period, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, NULL::INT AS last, 0 AS fires, false AS fire, false AS withheld, 0.0::DOUBLE AS statistic, '' AS rule FROM dp WHERE period = 1
+ UNION ALL SELECT episode, period, CASE WHEN fire THEN 0 ELSE u END, CASE WHEN fire THEN 0 ELSE d END, CASE WHEN fire THEN period ELSE last END, fires + CASE WHEN fire THEN 1 ELSE 0 END, fire, GREATEST(u, d) > {threshold} AND NOT fire, GREATEST(u, d), CASE WHEN u >= d THEN '{rule}_up' ELSE '{rule}_down' END FROM (
+ SELECT *, GREATEST(u, d) > {threshold} AND (last IS NULL OR period - last > 5) AND fires < 4 AS fire FROM (SELECT e.episode, e.period, st.last, st.fires, GREATEST(0, st.up + COALESCE(e.x - {MU} - {slack}, 0)) AS u, GREATEST(0, st.down + COALESCE({MU} - e.x - {slack}, 0)) AS d FROM st JOIN dl e ON e.episode = st.episode AND e.period = st.period + 1)))"""
+
+
+@query(restarts(SD / 2, 2 * SD, "cusum") + " SELECT episode, period, rule, statistic FROM st WHERE fire")
 def max_proposals(spark, sf):
     return D.suppressed_cusum(demand_panel(spark, sf), "demand", MU, SD / 2, 2 * SD, 5, 4)
 
 
+@query(restarts(100.0, 3 * SD, "page_hinkley") + " SELECT episode, period, rule, statistic FROM st WHERE fire")
+def page_hinkley_proposals(spark, sf):
+    return D.suppressed_page_hinkley(demand_panel(spark, sf), "demand", MU, 100.0, 3 * SD, 5, 4)
+
+
+@query(restarts(SD / 2, 2 * SD, "cusum") + " SELECT episode, COUNT(*) FILTER (fire) AS permitted, COUNT(*) FILTER (withheld) AS suppressed FROM st GROUP BY 1")
+def suppressed_firings(spark, sf):
+    folded = D.with_restarts(demand_panel(spark, sf), "demand", "cusum", MU, SD / 2, 2 * SD, 5, 4)
+    return folded.select("episode", F.size("fires").cast("long").alias("permitted"), F.col("suppressed").cast("long").alias("suppressed"))
+
+
 HI = f"hi AS (SELECT episode, period FROM dp WHERE demand > {MU})"
 
 
@@ -199,7 +216,7 @@ def eprocess_path(spark, sf):
 @query(f"""WITH RECURSIVE {DP}, {EP}, lc AS (SELECT episode, 0 AS period, 'proposed' AS state, NULL::INT AS changed_at, 0 AS low FROM ep WHERE period = 1 UNION ALL SELECT episode, period, new, CASE WHEN new <> state THEN period ELSE changed_at END, low FROM (
  SELECT *, CASE WHEN state NOT IN ('proposed', 'active') THEN state WHEN period - 1 >= 60 THEN 'expired' WHEN state = 'proposed' AND log_e >= {math.log(40)} THEN 'active' WHEN low >= 3 THEN 'refuted' ELSE state END AS new FROM (
  SELECT e.episode, e.period, lc.state, lc.changed_at, e.log_e, CASE WHEN e.log_e < -1.0 THEN lc.low + 1 ELSE 0 END AS low FROM lc JOIN ep e ON e.episode = lc.episode AND e.period = lc.period + 1)))
- SELECT episode, state, changed_at FROM lc WHERE period = 83""")
+ SELECT episode, state, changed_at FROM lc WHERE period = (SELECT MAX(period) FROM dp)""")
 def lifecycle_states(spark, sf):
     return S.lifecycle(eprocess(spark, sf), 0.025, -1.0, 3, 60)
 
@@ -217,7 +234,7 @@ def rollback_streak(spark, sf):
 
 @query(f"""WITH RECURSIVE {DP}, hf AS (SELECT episode, 0 AS period, 0.05::DOUBLE AS p, 0.05::DOUBLE AS top FROM dp WHERE period = 1 UNION ALL SELECT episode, period, q, GREATEST(top, q) FROM (SELECT episode, period, top, CASE WHEN a + b > 0 THEN b / (a + b) ELSE ahead END AS q FROM (
  SELECT *, (1 - ahead) * EXP(-POW((demand - {MU}) / {SD}, 2) / 2) / {SD} AS a, ahead * EXP(-POW((demand - {MU * 1.5}) / {SD * 1.5}, 2) / 2) / {SD * 1.5} AS b FROM (SELECT d.episode, d.period, d.demand, hf.top, hf.p * 0.9 + (1 - hf.p) * 0.05 AS ahead FROM hf JOIN dp d ON d.episode = hf.episode AND d.period = hf.period + 1))))
- SELECT episode, ROUND(p, 6) AS last_p, ROUND(top, 6) AS max_p FROM hf WHERE period = 83""")
+ SELECT episode, ROUND(p, 6) AS last_p, ROUND(top, 6) AS max_p FROM hf WHERE period = (SELECT MAX(period) FROM dp)""")
 def hmm_filter(spark, sf):
     return rounded(S.regime_filter(demand_panel(spark, sf), "demand", (MU, MU * 1.5), (SD, SD * 1.5), (0.95, 0.9)), 6)
 
@@ -247,7 +264,7 @@ def demand_shock_apply(spark, sf):
 
 @query(with_(DP) + "SELECT episode, period, demand FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY episode ORDER BY demand DESC, period) AS r FROM dp) WHERE r = 1")
 def first_row_per_key(spark, sf):
-    return P.first_row(demand_panel(spark, sf), ["episode"], [F.desc("demand"), "period"])
+    return P.first_row(demand_panel(spark, sf), ["episode"], [("demand", "desc"), "period"])
 
 
 @query(with_(DP) + "SELECT DISTINCT d.episode, d.period, d.demand FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY episode ORDER BY period) - 1 AS i, COUNT(*) OVER (PARTITION BY episode) AS n FROM dp) d JOIN range(7) k ON d.i = k.range * d.n // 7")

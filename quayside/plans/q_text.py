@@ -28,12 +28,12 @@ def query(sql: str | None):
 
 
 # one alert text per event, from its fields
-AL = f"al AS (SELECT event_id, CONCAT('Alert ', event_id, ': ', event_type, ' for ', CAST(FLOOR(value) AS INT), ' days at period ', user_id, CASE WHEN event_id % 5 = 0 THEN ', possible shipment loss' WHEN event_id % 5 = 1 THEN ', demand surge ahead' WHEN event_id % 5 = 2 THEN ', supplier delay' ELSE '' END) AS text FROM events)"
+AL = f"al AS (SELECT event_id, CONCAT('Alert ', event_id, ': ', event_type, ' for ', CAST(FLOOR(value) AS INT), ' days at period ', user_id, CASE WHEN event_id % 5 = 0 THEN ', possible shipment loss' WHEN event_id % 5 = 1 THEN ', demand surge ahead' WHEN event_id % 5 = 2 THEN ', supplier delay' WHEN event_id % 5 = 3 THEN ', up by 20% or 1.5 times' ELSE '' END) AS text FROM events)"
 
 
 def alerts(spark, sf):
     e = F.col("event_id") % 5
-    tail = F.when(e == 0, ", possible shipment loss").when(e == 1, ", demand surge ahead").when(e == 2, ", supplier delay").otherwise("")
+    tail = F.when(e == 0, ", possible shipment loss").when(e == 1, ", demand surge ahead").when(e == 2, ", supplier delay").when(e == 3, ", up by 20% or 1.5 times").otherwise("")
     text = F.concat(F.lit("Alert "), F.col("event_id"), F.lit(": "), F.col("event_type"), F.lit(" for "), F.floor("value").cast("int"), F.lit(" days at period "), F.col("user_id"), tail)
     return table(spark, sf, "events").select("event_id", text.alias("text"))
 
@@ -41,7 +41,8 @@ def alerts(spark, sf):
 RULES = [("shipment_loss", ("loss", "lost")), ("demand_level", ("surge", "spike")), ("lead_time_shift", ("delay", "late"))]
 
 
-@query(with_(AL) + """SELECT event_id, 'family_name' AS rule, UNNEST(REGEXP_EXTRACT_ALL(text, '(?i)\\b(?:demand[_\\s-]+level|temporary[_\\s-]+pulse|lead[_\\s-]+time[_\\s-]+shift|shipment[_\\s-]+loss|transit[_\\s-]+pause|compound|no[_\\s-]+change|level[_\\s-]+shift)\\b')) AS match FROM al
+@query(with_(AL) + """SELECT event_id, 'exact_multiplier' AS rule, UNNEST(REGEXP_EXTRACT_ALL(text, '(?i)(?:^|\\W)(\\d+(?:\\.\\d+)?\\s*%|\\d+(?:\\.\\d+)?\\s*(?:x\\b|×|times\\b|percent\\b)|\\d+\\.\\d+\\b|half\\b)', 1)) AS match FROM al
+ UNION ALL SELECT event_id, 'latent_family', UNNEST(REGEXP_EXTRACT_ALL(text, '(?i)\\b(?:demand[_\\s-]+level|temporary[_\\s-]+pulse|lead[_\\s-]+time[_\\s-]+shift|shipment[_\\s-]+loss|transit[_\\s-]+pause|compound|no[_\\s-]+change|level[_\\s-]+shift)\\b')) FROM al
  UNION ALL SELECT event_id, 'exact_onset', UNNEST(REGEXP_EXTRACT_ALL(text, '(?i)\\b(?:period|week|day|step)\\s*(?:#\\s*)?\\d+\\b|\\bt\\s*=\\s*\\d+\\b')) FROM al
  UNION ALL SELECT event_id, 'exact_duration', UNNEST(REGEXP_EXTRACT_ALL(text, '(?i)\\b(?:for|lasting|lasts|duration(?:\\s+of)?)\\s+(?:exactly\\s+)?(?:\\d+(?:\\.\\d+)?|one|two|three|four|five|six|seven|eight|nine|ten)\\s+(?:periods?|weeks?|days?|steps?)\\b')) FROM al""")
 def leakage_scan(spark, sf):

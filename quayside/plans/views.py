@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from quayside.plans.runtime import table
 
-EPISODES, PERIODS = 50, 83
+#: Episodes of a small table, and lines to an episode of a large one.
+EPISODES, LINES = 50, 24_000
 
 
 def money(column: str):
@@ -33,17 +34,25 @@ ER = """er AS (SELECT *, demand - lost AS sold FROM (SELECT o_custkey AS unit, o
 
 
 def demand_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """episode, period, demand: monthly quantities, gaps filled with zero."""
+    """episode, period, demand: quantities of each month from the first to the last that has any, gaps filled with zero.
+
+    Episodes are parts modulo their number, which grows with the table.
+    """
     lines = table(spark, sf, "lineitem")
-    period = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
-    seen = lines.groupBy((F.col("l_partkey") % EPISODES).alias("episode"), period.cast("int").alias("period")).agg(F.sum(F.col("l_quantity").cast("long")).alias("demand"))
-    grid = spark.range(EPISODES).select(F.col("id").alias("episode"), F.explode(F.sequence(F.lit(1), F.lit(PERIODS))).alias("period"))
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    bounds = lines.agg(F.greatest(F.lit(EPISODES), F.floor(F.count("*") / LINES)).alias("episodes"), F.min(month).alias("first"), F.max(month).alias("last"))  # one row
+    keyed = lines.join(F.broadcast(bounds)).select((F.col("l_partkey") % F.col("episodes")).alias("episode"), (month - F.col("first") + 1).cast("int").alias("period"), F.col("l_quantity").cast("long").alias("q"))
+    seen = keyed.groupBy("episode", "period").agg(F.sum("q").alias("demand"))
+    grid = bounds.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("episodes") - 1)).alias("episode"), "first", "last")
+    grid = grid.select("episode", F.explode(F.sequence(F.lit(1), F.col("last") - F.col("first") + 1)).alias("period"))
     return grid.join(seen, ["episode", "period"], "left").select("episode", "period", F.coalesce("demand", F.lit(0)).alias("demand"))
 
 
-DP = f"""dp AS (SELECT g.episode, g.period, COALESCE(s.demand, 0) AS demand FROM (SELECT e.range AS episode, p.range AS period FROM range({EPISODES}) e, range(1, {PERIODS + 1}) p) g
- LEFT JOIN (SELECT l_partkey % {EPISODES} AS episode, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS period, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS demand FROM lineitem GROUP BY 1, 2) s
+LB = f"(SELECT GREATEST({EPISODES}, COUNT(*) // {LINES}) AS episodes, MIN(year(l_shipdate) * 12 + month(l_shipdate)) AS first, MAX(year(l_shipdate) * 12 + month(l_shipdate)) AS last FROM lineitem)"
+DP = f"""dp AS (SELECT g.episode, g.period, COALESCE(s.demand, 0) AS demand FROM (SELECT episode, CAST(UNNEST(RANGE(1, last - first + 2)) AS INT) AS period FROM (SELECT UNNEST(RANGE(episodes)) AS episode, first, last FROM {LB})) g
+ LEFT JOIN (SELECT l_partkey % episodes AS episode, year(l_shipdate) * 12 + month(l_shipdate) - first + 1 AS period, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS demand FROM lineitem, {LB} GROUP BY 1, 2) s
  ON g.episode = s.episode AND g.period = s.period)"""
+LAST = "(SELECT MAX(period) FROM dp)"
 
 
 def supply_panel(spark: SparkSession, sf: str) -> DataFrame:

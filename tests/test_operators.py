@@ -44,9 +44,48 @@ def test_sign_flip(spark, values, expected):
     assert inference.sign_flip_exact(df, "d").first().p_value == expected
 
 
-def test_suppressed_cusum_restarts_only_after_permitted_firings(spark):
-    fired = detectors.suppressed_cusum(path(spark, [100] * 9 + [50] * 41), "demand", 100.0, 12.5, 100.0, 50, 2)
-    assert rows(fired) == [(1, 12, 112.5)]
+@pytest.mark.parametrize("detector, rule", [(detectors.suppressed_cusum, "cusum"), (detectors.suppressed_page_hinkley, "page_hinkley")])
+def test_detectors_see_the_period_before(spark, detector, rule):
+    """The value of period t - 1 enters at t; only a permitted firing restarts the sums."""
+    assert rows(detector(path(spark, [100] * 9 + [50] * 41), "demand", 100.0, 12.5, 100.0, 50, 2)) == [(1, 13, f"{rule}_down", 112.5)]
+    assert rows(detector(path(spark, [100] * 9 + [150] * 41), "demand", 100.0, 12.5, 100.0, 50, 2)) == [(1, 13, f"{rule}_up", 112.5)]
+    twice = path(spark, [100] * 9 + [150] * 11)
+    assert rows(detector(twice, "demand", 100.0, 12.5, 100.0, 5, 2)) == [(1, 13, f"{rule}_up", 112.5), (1, 19, f"{rule}_up", 225.0)]
+    assert detectors.with_restarts(twice, "demand", rule, 100.0, 12.5, 100.0, 5, 2).first().suppressed == 3
+
+
+def test_paths_fire_where_restarts_first_do(spark):
+    for values, side in (([100] * 9 + [50] * 41, "down"), ([100] * 9 + [150] * 41, "up")):
+        data = path(spark, values)
+        c, p = detectors.cusum_path(data, "demand", F.lit(100.0), F.lit(12.5)), detectors.page_hinkley_path(data, "demand", F.lit(100.0), F.lit(12.5))
+        assert rows(detectors.first_fire(c, F.lit(100.0))) == [(1, 13, f"cusum_{side}", 112.5)]
+        assert rows(detectors.first_fire(p, F.lit(100.0), "page_hinkley")) == [(1, 13, f"page_hinkley_{side}", 112.5)]
+
+
+def test_recovery_and_excess(spark):
+    from quayside.operators import pilot
+
+    sold, stock = [100, 70, 95, 94, 96, 97, 98], [10, 12, 30, 40, 50, 60, 70]
+    data = spark.createDataFrame([(1, "a", k, 100, s, h) for k, (s, h) in enumerate(zip(sold, stock, strict=True), 1)], "episode long, arm string, period int, demand long, sold long, on_hand_end long")
+    got = pilot.recoveries(data, F.lit(2)).first()
+    assert (got.recovery, got.excess - 10) == (3, 50.0)
+    assert pilot.recoveries(data.withColumn("sold", F.lit(80)), F.lit(2)).first().recovery is None
+
+
+def test_quantiles_by_ranges(spark):
+    import numpy as np
+
+    from quayside.operators import panel
+
+    rng = np.random.default_rng(2)
+    values = {g: rng.integers(0, 30, n).astype(float) for g, n in (("a", 1), ("b", 40), ("c", 333))}
+    frame = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("b", None)], "g string, v double").repartition(7)
+    got = {r.g: r for r in panel.linear_quantiles(frame, "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, ["g"]).collect()}
+    for g, vs in values.items():
+        assert np.allclose([got[g].p5, got[g].p50, got[g].p95], np.quantile(vs, [0.05, 0.5, 0.95]))
+    near = {r.g: r for r in panel.nearest_ranks(frame, "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, ["g"]).collect()}
+    for g, vs in values.items():
+        assert [near[g].p5, near[g].p50, near[g].p95] == [sorted(vs)[max(0, int(np.ceil(q * len(vs) - 1e-9)) - 1)] for q in (0.05, 0.5, 0.95)]
 
 
 def test_fifo(spark):
@@ -161,10 +200,14 @@ def test_demand_laws_sum_to_one():
 
 
 def test_exact_limits():
-    from quayside.operators.laws import exact_limit
+    from quayside.operators.laws import exact_limits
+
+    def exact_limit(k, n, level, upper):
+        return exact_limits([k], [n], level, upper)[0]
 
     assert abs(exact_limit(0, 20, 0.95, True) - (1 - 0.05 ** (1 / 20))) < 1e-9
     assert abs(exact_limit(20, 20, 0.95, False) - 0.05 ** (1 / 20)) < 1e-9
+    assert 0.1 < exact_limit(150_000, 1_000_000, 0.975, True) - 0.05 < 0.1008
     assert exact_limit(0, 5, 0.95, False) == 0.0 and exact_limit(5, 5, 0.95, True) == 1.0
 
 
