@@ -115,7 +115,8 @@ def ordered(measured: DataFrame, rules: list[Rule]) -> list[Rule]:
     """rules in the cascade's order, by costs and rejections on a sample of about SAMPLE_ROWS rows."""
     n = max(1, measured.count())
     spot = F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / n) * (1 << 30))
-    sample = materialize(measured.where(spot & ~base_failed()).limit(4 * SAMPLE_ROWS), "quality-sample").coalesce(1).cache()
+    # the base test is made on the sample alone: before it, it would be made on all rows
+    sample = materialize(measured.where(spot).limit(4 * SAMPLE_ROWS), "quality-sample").where(~base_failed()).coalesce(1).cache()
     bits = reduce(lambda s, kr: s + F.when(kr[1].rejects, 1 << kr[0]).otherwise(0), enumerate(rules), F.lit(0))
     rows = [(r.bits, r["count"]) for r in sample.select(bits.alias("bits")).groupBy("bits").count().collect()]  # at most 2^rules
     again = sample.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
