@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quayside.plans import q_control, q_evaluation, q_hypotheses, q_panel, q_pilot, q_policy, q_text
+from quayside.plans import q_control, q_evaluation, q_hypotheses, q_panel, q_pilot, q_policy, q_records, q_text
 
 FLAGSHIP = "stratum_weighted_interval"
-QUERIES: dict = dict(q_evaluation.QUERIES) | q_panel.QUERIES | q_text.QUERIES | q_policy.QUERIES | q_hypotheses.QUERIES | q_pilot.QUERIES | q_control.QUERIES
-SQL: dict = dict(q_evaluation.SQL) | q_panel.SQL | q_text.SQL | q_policy.SQL | q_hypotheses.SQL | q_pilot.SQL | q_control.SQL
+QUERIES: dict = dict(q_evaluation.QUERIES) | q_panel.QUERIES | q_text.QUERIES | q_policy.QUERIES | q_hypotheses.QUERIES | q_pilot.QUERIES | q_control.QUERIES | q_records.QUERIES
+SQL: dict = dict(q_evaluation.SQL) | q_panel.SQL | q_text.SQL | q_policy.SQL | q_hypotheses.SQL | q_pilot.SQL | q_control.SQL | q_records.SQL
