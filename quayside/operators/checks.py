@@ -57,3 +57,42 @@ def decision(verdict: DataFrame) -> DataFrame:
     kill = F.bool_or(F.col("met") & (F.col("kind") == "kill"))
     go = F.bool_and(F.col("met") | (F.col("kind") != "go"))
     return verdict.agg(F.when(kill, "kill").when(go, "go").otherwise("hold").alias("decision"))
+
+
+def labelled(analyses: DataFrame, registered: DataFrame) -> DataFrame:
+    """analyses (id, label, family_level, metric) with the effective label, tails of single families being exploratory always,
+    and whether it is confirmatory without a registration."""
+    effective = F.when(F.col("family_level") & F.col("metric").isin("cvar10", "worst_decile"), "exploratory").otherwise(F.col("label"))
+    rows = analyses.withColumn("effective", effective).join(registered.select("id", F.lit(True).alias("_known")), "id", "left")
+    return rows.withColumn("unregistered", (F.col("effective") == "confirmatory") & F.col("_known").isNull()).drop("_known")
+
+
+def registration_faults(entries: DataFrame, sections: Sequence[str]) -> DataFrame:
+    """entries (section, name, value): weights that do not sum to 1, values left to be filled in, sections without entries."""
+    total = F.sum(F.when(F.col("section") == "weight", F.col("value").try_cast("double")))
+    weights = entries.agg(F.round(total, 6).alias("w")).where("abs(w - 1) > 1e-9").select(F.lit("weights").alias("fault"), F.format_string("%.2f", "w").alias("detail"))
+    open_ = entries.where(F.upper("value").isin("TBD", "TODO", "FIXME", "XXX") | (F.trim("value") == "")).select(F.lit("placeholder").alias("fault"), F.col("name").alias("detail"))
+    named = entries.sparkSession.createDataFrame([(s,) for s in sections], "section string")
+    absent = named.join(entries.select("section").distinct(), "section", "left_anti").select(F.lit("missing").alias("fault"), F.col("section").alias("detail"))
+    return weights.unionByName(open_).unionByName(absent)
+
+
+def reachable_fields(schema, hidden: Sequence[str], path: str = "") -> list[str]:
+    """Fields of a schema, at any depth, whose names are hidden from policies."""
+    found = []
+    for field in getattr(schema, "fields", []):
+        here = f"{path}{field.name}"
+        if field.name in hidden:
+            found.append(here)
+        inner = field.dataType
+        while hasattr(inner, "elementType") or hasattr(inner, "valueType"):
+            inner = getattr(inner, "elementType", None) or inner.valueType
+        found += reachable_fields(inner, hidden, f"{here}.")
+    return found
+
+
+def require_hidden(frame: DataFrame, hidden: Sequence[str], name: str) -> None:
+    """Raise if a frame that a policy sees holds a hidden field at any depth."""
+    found = reachable_fields(frame.schema, hidden)
+    if found:
+        raise Violation(f"{name}: {found}")
