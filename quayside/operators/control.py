@@ -242,3 +242,44 @@ def active_spans(panel: DataFrame, spans: DataFrame, keys: Sequence[str] = ("epi
     started = F.max("_start").over(w)
     ended = F.array_distinct(F.flatten(F.collect_list(F.coalesce("_ends", F.array().cast(changes.schema["_ends"].dataType))).over(w)))
     return joined.withColumn("_s", started).withColumn("proposal", F.when(~F.array_contains(ended, F.col("_s")), F.col("_s"))).drop("_s", "_start", "_ends")
+
+
+# The clairvoyant bound.
+
+
+def landing_room(panel: DataFrame, landings: DataFrame, room: Column, keys: Sequence[str] = ("episode",)) -> DataFrame:
+    """keys, period and room: what could land in each period if every order were as large as allowed. landings: keys, period, landing."""
+    sent = panel.join(landings.where("landing is not null"), [*keys, "period"]).groupBy(*keys, F.col("landing").alias("period")).agg(F.sum(room).alias("room"))
+    return panel.select(*keys, "period", "demand").join(sent, [*keys, "period"], "left").withColumn("room", F.coalesce("room", F.lit(0)).cast("double"))
+
+
+def clairvoyant(rows: DataFrame, profit: float, holding: float, keys: Sequence[str] = ("episode",)) -> DataFrame:
+    """keys, value and sold of the best plan that knows demand and landings: profit of units sold less holding of what lies over.
+
+    rows: period, demand, room (what may land), fixed (what lands anyway, or 0). Fixed stock serves first; the rest of a
+    period's demand is served from the latest room that is left, and only while a unit earns more than it costs to hold.
+    Pairing the same landings and sales otherwise changes no sum, so that this is the optimum. holding 0 gives the gross bound.
+    """
+    t = "struct<stock:double,stack:array<struct<at:int,left:double>>,value:double,sold:double>"
+    zero = F.lit(0.0)
+    init = F.struct(zero.alias("stock"), F.array().alias("stack"), zero.alias("value"), zero.alias("sold")).cast(t)
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def step(s: Column, row: Column) -> Column:
+        now, have = row["period"].cast("int"), s["stock"] + row["fixed"]
+        own = F.least(row["demand"].cast("double"), have)
+        pushed = F.concat(F.array(F.struct(now.alias("at"), row["room"].alias("left"))), s["stack"])  # the latest first
+        begin = F.struct((row["demand"] - own).alias("need"), zero.alias("earned"), zero.alias("sold"), F.array().cast("array<struct<at:int,left:double>>").alias("kept"))
+
+        def take(a: Column, x: Column) -> Column:
+            worth = profit - holding * (now - x["at"])
+            q = F.when(worth > 0, F.least(a["need"], x["left"])).otherwise(zero)
+            return once(q, lambda q: F.struct((a["need"] - q).alias("need"), (a["earned"] + q * worth).alias("earned"), (a["sold"] + q).alias("sold"), F.concat(a["kept"], F.array(F.struct(x["at"].alias("at"), (x["left"] - q).alias("left")))).alias("kept")))
+
+        def after(a: Column) -> Column:
+            left = F.filter(a["kept"], lambda x: (x["left"] > 0) & (profit - holding * (now + 1 - x["at"]) > 0))
+            return F.struct((have - own).alias("stock"), left.alias("stack"), (s["value"] + profit * own - holding * (have - own) + a["earned"]).alias("value"), (s["sold"] + own + a["sold"]).alias("sold")).cast(t)
+
+        return once(F.aggregate(pushed, begin, take), after)
+
+    return ordered_fold(rows, keys, ["demand", "room", "fixed"], init, step).select(*keys, "result.value", "result.sold")

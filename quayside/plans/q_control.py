@@ -220,3 +220,38 @@ def parameter_policies(spark, sf):
         out = part if out is None else out.unionByName(part)
     path = C.closed_loop(out)
     return rounded(path.groupBy("arm").agg((F.sum("sold") / F.sum(F.col("sold") + F.col("lost"))).alias("fill"), F.count("*").alias("rows")), 3)
+
+
+CK = "ck AS (SELECT *, COALESCE(SUM(CASE WHEN pause THEN 0 ELSE 1 END) OVER (PARTITION BY episode ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clock FROM sp), ld AS (SELECT o.episode, o.period, (SELECT MIN(u.period) FROM ck u WHERE u.episode = o.episode AND u.period >= o.period AND u.clock = o.clock + o.lead_time) AS landing FROM ck o WHERE lead_time IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE {DP}, {SP}, {FK}, {CK}, rm AS (SELECT d.episode, d.period, d.demand, COALESCE(r.room, 0) AS room FROM dp d LEFT JOIN (SELECT ld.episode, landing AS period, SUM(COALESCE(CEIL(mean + {C.CAP_Z} * sd), 0)) AS room FROM ld JOIN fk USING (episode, period) WHERE landing IS NOT NULL GROUP BY 1, 2) r USING (episode, period)),
+ mx AS (SELECT episode, 0 AS period, 0.0::DOUBLE AS stock, 0.0::DOUBLE AS sold FROM dp WHERE period = 1 UNION ALL SELECT r.episode, r.period, GREATEST(0, stock + room - demand), sold + LEAST(demand, stock + room) FROM mx JOIN rm r ON r.episode = mx.episode AND r.period = mx.period + 1)
+ SELECT episode, 4 * sold AS gross, sold FROM mx WHERE period = (SELECT MAX(period) FROM dp)""")
+def clairvoyant_gross(spark, sf):
+    """The capped gross bound; as sales grow with orders, ordering the cap in every period attains it, which is its SQL."""
+    rows = room_rows(spark, sf)
+    return C.clairvoyant(rows, 4.0, 0.0).select("episode", F.col("value").alias("gross"), "sold")
+
+
+def room_rows(spark, sf, capped=True):
+    from quayside.operators.supply import landing_with_pause
+
+    panel = forecasts(spark, sf)
+    cap = F.coalesce(F.ceil(F.col("mean") + C.CAP_Z * F.col("sd")), F.lit(0)) if capped else F.lit(1e12)
+    return C.landing_room(panel, landing_with_pause(supply_panel(spark, sf)), cap).withColumn("fixed", F.lit(0.0))
+
+
+@query(f"""WITH {DP}, {SP}, {CK}, un AS (SELECT d.episode, d.demand, (SELECT MAX(landing) FROM ld WHERE ld.episode = d.episode AND landing <= d.period) AS landed, d.period FROM dp d)
+ SELECT episode, ROUND(SUM(CASE WHEN 4 - 0.25 * (period - landed) > 0 THEN demand * (4 - 0.25 * (period - landed)) ELSE 0 END), 4) AS net FROM un GROUP BY 1""")
+def clairvoyant_net_uncapped(spark, sf):
+    """Without a cap each unit comes with the latest landing before it, if that pays."""
+    return rounded(C.clairvoyant(room_rows(spark, sf, capped=False), 4.0, 0.25).select("episode", F.col("value").alias("net")))
+
+
+@query(None)
+def clairvoyant_net(spark, sf):
+    """The capped net bound, and the share of it that the base stock reaches."""
+    bound = C.clairvoyant(room_rows(spark, sf), 4.0, 0.25)
+    base = C.arm_totals(C.closed_loop(C.base_targets(forecasts(spark, sf), Z8, lead=F.lit(LEAD)).withColumn("arm", F.lit("arm1"))), 4.0, 0.25)
+    return rounded(bound.join(base.select("episode", "reward"), "episode").select("episode", "value", "reward", (F.col("reward") / F.col("value")).alias("share")))

@@ -149,3 +149,22 @@ def proposal_attempts(spark, sf):
 @query(FACTS + " SELECT arm, episode, COUNT(*) AS periods, COUNT(active_family) AS active_periods FROM rr GROUP BY 1, 2")
 def active_periods(spark, sf):
     return run_records(spark, sf).groupBy("arm", "episode").agg(F.count("*").alias("periods"), F.count("active_family").alias("active_periods"))
+
+
+@query(None)
+def exposure_ratio(spark, sf):
+    """Lost units of one arm over another's, with an interval over episodes."""
+    from quayside.operators import resampling
+
+    side = lambda arm: F.sum(F.when(F.col("arm") == arm, F.col("lost")))
+    wide = facts(spark, sf).groupBy("episode").agg(side("arm10").alias("a"), side("arm1").alias("b"))
+    return rounded(resampling.ratio_interval(wide, "a", "b", "episode"), 6)
+
+
+@query(None)
+def frontier_membership(spark, sf):
+    from quayside.operators import resampling
+
+    cost = run_calls(spark, sf).groupBy("episode", "arm").agg(F.sum("usd").alias("cost"))
+    units = facts(spark, sf).select("episode", "arm", F.col("profit").alias("reward")).join(cost, ["episode", "arm"], "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    return resampling.frontier_membership(units, ["arm1", "arm8", "arm10"], "arm10", "episode")

@@ -96,11 +96,11 @@ def ratio_by_stratum(spark, sf):
 
 @query(None)
 def null_calibration(spark, sf):
-    """False activations of three registered null laws, 2,000 paths of 50 periods each."""
+    """False activations of four registered null laws, 2,000 paths of 50 periods each."""
     from quayside.operators.calibration import null_calibration as run
 
     out = None
-    for kind in ("iid", "seasonal", "negbin"):
+    for kind in ("iid", "seasonal", "negbin", "ar1"):
         part = run(spark, kind, 2000, 50, 20, 0.025)
         out = part if out is None else out.unionByName(part)
     return rounded(out, 6)
