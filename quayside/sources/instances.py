@@ -104,3 +104,95 @@ def read_ratings(spark: SparkSession, path: str, samples: DataFrame) -> tuple[Da
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """A list of ids, one a line, without comments and blank lines."""
     return spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("id")).where("id <> ''")
+
+
+class BadInput(ValueError):
+    """A file that cannot be what it should be."""
+
+
+def empty_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Files of that name without a row after the header; must be empty."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = F.size(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""))
+    return files.where(lines < 2).select("path")
+
+
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """path, line (from 1) and text of JSON lines that do not parse; blank lines count as lines. Files are read whole, one task each."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "text"))
+    whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = files.where(F.trim("text") != "").withColumn("r", F.from_json("text", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return parsed.where("r._bad is not null").select("path", (F.col("at") + 1).alias("line"), "text")
+
+
+def versioned(records: DataFrame, version: int, enums: dict[str, list[str]] | None = None) -> DataFrame:
+    """records, failing at run time on a schema_version other than version or a value outside its list."""
+    ok = F.col("schema_version") == version
+    for column, values in (enums or {}).items():
+        ok = ok & (F.col(column).isNull() | F.col(column).isin(*values))
+    return records.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("record "), F.to_json(F.struct("*")))).cast("boolean")))
+
+
+def by_key(records: DataFrame, key: str) -> DataFrame:
+    """records, failing at run time if a key occurs twice."""
+    from pyspark.sql.window import Window
+
+    rows = records.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    return rows.where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.concat(F.lit(f"repeated {key} "), F.col(key).cast("string"))).cast("boolean"))).drop("_n")
+
+
+#: The parts of a run's folder, and whether a run may lack them.
+RUN_PARTS = {"records.jsonl.gz": False, "proposals.jsonl": True, "alerts.jsonl": True, "ledger.csv": False, "spend_log.jsonl": True}
+
+
+def read_run(spark: SparkSession, root: str, partial: bool = False) -> dict[str, DataFrame]:
+    """The parts of a run by name; a manifest that is not complete is refused unless partial."""
+    manifest = spark.read.json(f"{root}/manifest.json", multiLine=True).first()
+    if not partial and not manifest["complete"]:
+        raise BadInput(f"{root} is a partial run")
+    found = {r.path.rsplit("/", 1)[-1] for r in spark.read.format("binaryFile").load(root).select("path").collect()}  # a folder's few files
+    missing = [name for name, optional in RUN_PARTS.items() if name not in found and not optional]
+    if missing:
+        raise BadInput(f"{root} lacks {missing}")
+    read = lambda name: spark.read.csv(f"{root}/{name}", header=True, inferSchema=True) if name.endswith(".csv") else spark.read.json(f"{root}/{name}")
+    return {name.split(".")[0]: read(name) for name in RUN_PARTS if name in found}
+
+
+def read_bank(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+    """The templates of several YAML files, each a mapping with split and templates, in one frame."""
+    from quayside.sources.reports import read_yaml
+
+    rows = []
+    for name, text in sorted(texts.items()):
+        data = read_yaml(text)
+        for t in data["templates"]:
+            rows.append((t["template_id"], data["split"], t["family"], t["kind"], t["wording_family"], t["text"], {k: list(v) for k, v in t.get("slots", {}).items()}))
+    return spark.createDataFrame(rows, "template_id string, split string, family string, kind string, wording string, text string, slots map<string,array<string>>")
+
+
+def file_digests(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """instance and the SHA-256 of its file of that name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select(F.regexp_extract("path", r"^(?:file:)?/*(.*)/[^/]*$", 1).alias("instance"), F.sha2("content", 256).alias("sha256"))
+
+
+def instance_profile(spark: SparkSession, root: str) -> DataFrame:
+    """The catalogue with training rows, distinct lead times and digests of both files."""
+    test = instance_catalogue(spark, root)
+    leads = read_periods(spark, root).groupBy("instance").agg(F.sort_array(F.collect_set("lead_time")).alias("lead_times"), (F.count_distinct("profit") == 1).alias("constant_profit"), (F.count_distinct("holding") == 1).alias("constant_holding"))
+    train = read_train(spark, root).groupBy("instance").agg(F.count("*").alias("train_rows"))
+    plain = lambda df: df.withColumn("instance", F.regexp_replace("instance", "^file:/*", ""))
+    out = plain(test).join(plain(leads), "instance").join(plain(train), "instance", "left")
+    for name in ("test", "train"):
+        out = out.join(plain(file_digests(spark, root, f"{name}.csv")).withColumnRenamed("sha256", f"{name}_sha256"), "instance", "left")
+    return out
+
+
+def read_orders(spark: SparkSession, root: str) -> DataFrame:
+    """instance, period and order_quantity of published order sheets, a folder for each instance."""
+    return spark.read.option("recursiveFileLookup", "false").csv(root, header=True, schema="period int, order_quantity bigint")
+
+
+def replay_answers(proposals: DataFrame) -> DataFrame:
+    """arm, episode, period and the answer of the last attempt."""
+    return proposals.groupBy("arm", "episode", "period").agg(F.max_by("answer", "attempt").alias("answer"))
