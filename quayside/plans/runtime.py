@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Folders of the tables written so far, in order.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,13 +34,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quayside/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written() -> int:
+    """How many tables have been written so far: a mark for discard."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int, keep_last: bool = True) -> None:
+    """Delete the tables written since a mark, but for the last one; frames that still read them are lost with them."""
+    gone = _WRITTEN[since:-1] if keep_last else _WRITTEN[since:]
+    for path in gone:
+        remove(spark, path)
+    _WRITTEN[since:] = _WRITTEN[-1:] if keep_last and _WRITTEN[since:] else []
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results that were not written yet are lost with them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/quayside/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark).rstrip('/')}/quayside/{spark.sparkContext.applicationId}")
+    _WRITTEN.clear()
 
 
 def let(value: Column, body) -> Column:
