@@ -215,8 +215,8 @@ def validity(spark: SparkSession) -> DataFrame:
     # Fixed values.
     rows = [
         ("demand_level_up", "demand", "discrete_mixture_lr", "anytime_valid"), ("demand_level_down", "demand", "discrete_mixture_lr", "anytime_valid"), ("temporary_pulse", "demand", "bounded_duration_mixture_lr", "anytime_valid_low_power"),
-        ("lead_time_shift", "arrival", "finite_state_forward", "anytime_valid_collie_shockspec_only"), ("shipment_loss", "arrival", "finite_state_forward_absorbing_loss", "anytime_valid_collie_shockspec_only"),
-        ("transit_pause", "arrival", "finite_state_forward_frozen_counters", "anytime_valid_collie_shockspec_only"), ("compound", "both", "separate_eprocesses_alpha_split", "anytime_valid_via_splitting"),
+        ("lead_time_shift", "arrival", "finite_state_forward", "anytime_valid_own_source_only"), ("shipment_loss", "arrival", "finite_state_forward_absorbing_loss", "anytime_valid_own_source_only"),
+        ("transit_pause", "arrival", "finite_state_forward_frozen_counters", "anytime_valid_own_source_only"), ("compound", "both", "separate_eprocesses_alpha_split", "anytime_valid_via_splitting"),
     ]
     return spark.createDataFrame(rows, "construction string, stream string, method string, status string")
 

@@ -214,7 +214,7 @@ def arrival_calibration(spark, sf):
     return rounded(out, 6)
 
 
-@query("SELECT * FROM (VALUES ('demand_level_up', 'demand', 'discrete_mixture_lr', 'anytime_valid'), ('demand_level_down', 'demand', 'discrete_mixture_lr', 'anytime_valid'), ('temporary_pulse', 'demand', 'bounded_duration_mixture_lr', 'anytime_valid_low_power'), ('lead_time_shift', 'arrival', 'finite_state_forward', 'anytime_valid_collie_shockspec_only'), ('shipment_loss', 'arrival', 'finite_state_forward_absorbing_loss', 'anytime_valid_collie_shockspec_only'), ('transit_pause', 'arrival', 'finite_state_forward_frozen_counters', 'anytime_valid_collie_shockspec_only'), ('compound', 'both', 'separate_eprocesses_alpha_split', 'anytime_valid_via_splitting')) v(construction, stream, method, status)")
+@query("SELECT * FROM (VALUES ('demand_level_up', 'demand', 'discrete_mixture_lr', 'anytime_valid'), ('demand_level_down', 'demand', 'discrete_mixture_lr', 'anytime_valid'), ('temporary_pulse', 'demand', 'bounded_duration_mixture_lr', 'anytime_valid_low_power'), ('lead_time_shift', 'arrival', 'finite_state_forward', 'anytime_valid_own_source_only'), ('shipment_loss', 'arrival', 'finite_state_forward_absorbing_loss', 'anytime_valid_own_source_only'), ('transit_pause', 'arrival', 'finite_state_forward_frozen_counters', 'anytime_valid_own_source_only'), ('compound', 'both', 'separate_eprocesses_alpha_split', 'anytime_valid_via_splitting')) v(construction, stream, method, status)")
 def validity_flags(spark, sf):
     return A.validity(spark)
 
