@@ -255,3 +255,12 @@ def clairvoyant_net(spark, sf):
     bound = C.clairvoyant(room_rows(spark, sf), 4.0, 0.25)
     base = C.arm_totals(C.closed_loop(C.base_targets(forecasts(spark, sf), Z8, lead=F.lit(LEAD)).withColumn("arm", F.lit("arm1"))), 4.0, 0.25)
     return rounded(bound.join(base.select("episode", "reward"), "episode").select("episode", "value", "reward", (F.col("reward") / F.col("value")).alias("share")))
+
+
+@query(f"WITH {DP}, {PL}, bi AS (SELECT episode, CAST(tau AS INT) AS period, POW(0.5, proposal) AS step FROM pl UNION ALL SELECT episode, CAST(tau + lifetime AS INT), -POW(0.5, proposal) FROM pl) SELECT dp.episode, dp.period, SUM(COALESCE(b.step, 0.0)) OVER (PARTITION BY dp.episode ORDER BY dp.period) AS live FROM dp LEFT JOIN (SELECT episode, period, SUM(step) AS step FROM bi GROUP BY 1, 2) b ON b.episode = dp.episode AND b.period = dp.period")
+def budget_path(spark, sf):
+    """The prior budget of live proposals by period: half as much for each further one, given back when its lifetime ends."""
+    p, share = plans(spark, sf), F.pow(F.lit(0.5), F.col("proposal"))
+    steps = p.select("episode", F.col("tau").alias("period"), share.alias("step")).unionByName(p.select("episode", (F.col("tau") + F.col("lifetime")).alias("period"), (-share).alias("step")))
+    rows = demand_panel(spark, sf).join(steps.groupBy("episode", "period").agg(F.sum("step").alias("step")), ["episode", "period"], "left")
+    return rows.select("episode", "period", F.sum(F.coalesce("step", F.lit(0.0))).over(C.over(["episode"], frame=C.UP_TO)).alias("live"))

@@ -480,3 +480,32 @@ def split_or_all(spark, sf):
     sizes = wanted.join(rows.groupBy("split").count(), F.col("wanted") == F.col("split"), "left").select("wanted", F.coalesce("count", F.lit(0)).alias("n"))
     total = rows.agg(F.count("*").alias("all"))
     return sizes.join(F.broadcast(total)).select("wanted", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("all")).alias("rows"))
+
+
+@query(KNOWN + f", {CLS} SELECT LIST(DISTINCT 1000000 + episode ORDER BY 1000000 + episode) AS seeds, LIST(DISTINCT family || '/' || condition ORDER BY family || '/' || condition) AS templates, COUNT(*) AS episodes FROM kc")
+def pilot_manifest(spark, sf):
+    """The seeds and templates that a pilot used, in order: a registered few hundred."""
+    rows = classified(spark, sf)
+    distinct = lambda c: F.sort_array(F.collect_set(c))
+    return rows.agg(distinct(1_000_000 + F.col("episode")).alias("seeds"), distinct(F.concat_ws("/", "family", "condition")).alias("templates"), F.count("*").alias("episodes"))
+
+
+@query(KNOWN + f", {CLS}, ce AS (SELECT family, condition, AVG(gap_profit) AS m, STDDEV_SAMP(gap_profit) / SQRT(COUNT(*)) AS se FROM kc GROUP BY 1, 2) SELECT family, COUNT(*) AS cells, COUNT(*) FILTER (m - 1.96 * se > 0) AS clear, COUNT(*) FILTER (m > 0 AND NOT COALESCE(m - 1.96 * se > 0, false)) AS point FROM ce GROUP BY 1")
+def flags_by_family(spark, sf):
+    """Cells whose gap is clear of zero, above it, or neither, by family."""
+    from quayside.operators.hypotheses import flag
+
+    cells = classified(spark, sf).groupBy("family", "condition").agg(F.avg("gap_profit").alias("m"), (F.stddev_samp("gap_profit") / F.sqrt(F.count("*"))).alias("se"))
+    flags = cells.withColumn("flag", flag(F.col("m"), F.col("se"), 0.0))
+    return flags.groupBy("family").agg(F.count("*").alias("cells"), F.count_if(F.col("flag") == "clear").alias("clear"), F.count_if(F.col("flag") == "point").alias("point"))
+
+
+@query(KNOWN + f", {CLS}, dv AS (SELECT is_null, CAST(category = 'activated' AS INT) AS hit, episode // 6 AS cluster FROM kc) SELECT is_null, COUNT(*) AS n, SUM(hit)::BIGINT AS k, ROUND(AVG(hit), 6) AS estimate, ROUND(AVG(hit) - COALESCE({Z} * STDDEV_SAMP(hit) / SQRT(COUNT(*)), 0), 6) AS normal_low, ROUND(AVG(hit) + COALESCE({Z} * STDDEV_SAMP(hit) / SQRT(COUNT(*)), 0), 6) AS normal_high, ROUND((AVG(hit) + {Z * Z} / (2 * COUNT(*)) - {Z} * SQRT(AVG(hit) * (1 - AVG(hit)) / COUNT(*) + {Z * Z} / (4 * COUNT(*) * COUNT(*)))) / (1 + {Z * Z} / COUNT(*)), 6) AS wilson_low, ROUND((AVG(hit) + {Z * Z} / (2 * COUNT(*)) + {Z} * SQRT(AVG(hit) * (1 - AVG(hit)) / COUNT(*) + {Z * Z} / (4 * COUNT(*) * COUNT(*)))) / (1 + {Z * Z} / COUNT(*)), 6) AS wilson_high, COUNT(DISTINCT cluster) AS clusters FROM dv GROUP BY 1")
+def activation_intervals(spark, sf):
+    """Activation rates with normal and score intervals; resampled ones are exposure_ratio's and unit_bootstrap_ci's."""
+    hit = (F.col("category") == "activated").cast("int")
+    rows = classified(spark, sf).withColumns({"hit": hit, "cluster": F.floor(F.col("episode") / 6)})
+    n, p = F.count("*"), F.avg("hit")
+    half = F.coalesce(Z * F.stddev_samp("hit") / F.sqrt(n), F.lit(0.0))
+    low, high = I.wilson(F.sum("hit"), n)
+    return rounded(rows.groupBy("is_null").agg(n.alias("n"), F.sum("hit").alias("k"), p.alias("estimate"), (p - half).alias("normal_low"), (p + half).alias("normal_high"), low.alias("wilson_low"), high.alias("wilson_high"), F.count_distinct("cluster").alias("clusters")), 6)

@@ -3,6 +3,8 @@
 import pytest
 
 from quayside import catalog
+from quayside.plans import q_pilot, q_records, records_view
+from quayside.plans.runtime import materialize
 from tests.parity import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -13,6 +15,17 @@ def con():
     return connect(SF)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def records_made_once(spark):
+    """Period records and facts, as the queries make them, once for all that read them."""
+    made = {"run_records": materialize(records_view.run_records(spark, SF), "records"), "facts": records_view.facts(spark, SF)}
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (records_view, q_pilot, q_records):
+            for name, frame in made.items():
+                patch.setattr(module, name, lambda spark, sf, frame=frame: frame)
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, con, name):
     assert differences(spark, con, catalog.QUERIES[name], catalog.SQL[name], SF) == ""
