@@ -248,3 +248,15 @@ def test_null_calibration_keeps_alpha(spark, kind):
 
     row = null_calibration(spark, kind, 300, 40, 10, 0.05).first()
     assert row.replications == 300 and row.low < 0.05 and row.rate <= 0.06
+
+
+def test_leakage_rules_and_literals(spark):
+    from quayside.functions import text
+
+    rows = [(1, "Demand-Level up 20 % and 1.5x, HALF of it; period 7, for two weeks"), (2, "Über-Nord (SKU 7) hits übernord; sku 77"), (3, "nothing")]
+    found = text.leakage(spark.createDataFrame(rows, "k long, t string"), "k", "t", ["SKU 7", "SKU 77", "über-nord"])
+    got = sorted(map(tuple, found.collect()))
+    assert [(k, r, m) for k, r, m in got if k == 1] == sorted([(1, "latent_family", "Demand-Level"), (1, "exact_multiplier", "20 %"), (1, "exact_multiplier", "1.5x"), (1, "exact_multiplier", "HALF"), (1, "exact_onset", "period 7"), (1, "exact_duration", "for two weeks")])
+    assert [(k, r, m) for k, r, m in got if k > 1] == sorted([(2, "forbidden_literal", "Über-Nord"), (2, "forbidden_literal", "SKU 7"), (2, "forbidden_literal", "sku 77")])
+    with pytest.raises(ValueError):
+        text.any_of(["a", " "])
