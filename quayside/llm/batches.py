@@ -20,3 +20,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
             stop = max(start + 1, int(np.searchsorted(ends, seen + SLICE_BYTES, side="right")))
             yield batch.slice(start, stop - start)
             start, seen = stop, int(ends[stop - 1])
+
+
+def words_in(text: bytes, table: bytes, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about size bytes; table maps each byte to itself, to another or to a space."""
+    text, at = text.translate(table), 0
+    while len(text) - at > size:
+        cut = text.rfind(b" ", at, at + size)
+        cut = cut if cut > at else text.find(b" ", at + size)
+        if cut < 0:
+            break
+        yield text[at:cut].split()
+        at = cut
+    yield text[at:].split() if at else text.split()

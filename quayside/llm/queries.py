@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import embeddings, langid, license_scan, lm_score, minhash, mixing, packing, pii, quality, secrets
+from quayside.llm import decontaminate, divergence, embeddings, langid, license_scan, lm_score, minhash, mixing, packing, pii, quality, secrets, target_sampling
 from quayside.plans.runtime import table
 
 
@@ -50,6 +50,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), choose=True)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base part of op3_secrets that SQL can express."""
     return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -67,5 +79,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_lm_score, op5_langid, op6_packing, op7_embeddings, op8_pii, op9_minhash, op10_licenses, pipeline, secret_base_counts, pii_base_counts)
+    f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_lm_score, op5_langid, op6_packing, op7_embeddings, op8_pii, op9_minhash, op10_licenses, op11_divergence, op12_importance, op13_decontamination, pipeline, secret_base_counts, pii_base_counts)
 }

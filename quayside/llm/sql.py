@@ -63,4 +63,24 @@ PII_BASE = rf"""WITH v AS (SELECT doc_id, {count('[A-Za-z0-9._%+-]+@[A-Za-z0-9-]
  CAST(LEN(LIST_FILTER(card, lambda x: LENGTH(x) BETWEEN 12 AND 19 AND LIST_SUM(LIST_TRANSFORM(RANGE(LENGTH(x)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(x[LENGTH(x) - i] AS INT) ELSE 2 * CAST(x[LENGTH(x) - i] AS INT) - CASE WHEN CAST(x[LENGTH(x) - i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
  CAST(LEN(LIST_FILTER(phone, lambda x: LENGTH(x) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM v"""
 
-SQL: dict[str, str] = {"op1_mixing": OP1, "secret_base_counts": SECRET_BASE, "pii_base_counts": PII_BASE, "op2_quality": OP2, "op7_embeddings": OP7, "op9_minhash": OP9, "op10_licenses": OP10}
+LOW_TEXT = "TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# every group times every kept term of its language; shares are integer division in 128 bits
+OP11 = rf"""WITH d AS (SELECT COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, ROW_NUMBER() OVER () AS i, REGEXP_EXTRACT_ALL({LOW_TEXT}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+ t AS (SELECT lang, source, i, UNNEST(ws) AS term FROM d), kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING COUNT(DISTINCT i) >= 30), v AS (SELECT lang, COUNT(*) AS v FROM kept GROUP BY 1),
+ c AS (SELECT lang, source, term, COUNT(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3), g AS (SELECT DISTINCT lang, source FROM d),
+ m AS (SELECT g.lang, g.source, kept.term, COALESCE(c.n, 0) AS n, v FROM g JOIN kept ON kept.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+ share AS (SELECT lang, source, term, n, v, SUM(n) OVER (PARTITION BY lang, source) AS g_all, SUM(n) OVER (PARTITION BY lang, term) AS l_n, SUM(n) OVER (PARTITION BY lang) AS l_all FROM m),
+ p AS (SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (g_all + 5 * v) AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (l_n + 5)) // (l_all + 5 * v) AS BIGINT) AS q FROM share),
+ f AS (SELECT a.lang, a.source, b.source AS item, CAST(SUM(ABS(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3),
+ o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM o) SELECT * FROM r WHERE part = 'pair' OR rank <= 50"""
+
+# a passage at a place covers its words; the empty list has a digest too
+OP13 = rf"""WITH d AS (SELECT doc_id, ROW_NUMBER() OVER () AS k, REGEXP_EXTRACT_ALL({LOW_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents), b AS (SELECT item_id, REGEXP_EXTRACT_ALL({LOW_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+ w AS (SELECT DISTINCT item_id, n, ARRAY_TO_STRING(ws[i + 1 : i + n], ' ') AS g FROM (SELECT *, UNNEST(RANGE(LEN(ws) - n + 1)) AS i FROM (SELECT item_id, ws, LEAST(10, LEN(ws)) AS n FROM b WHERE LEN(ws) > 0))),
+ p AS (SELECT k, i, n, ARRAY_TO_STRING(ws[i + 1 : i + n], ' ') AS g FROM (SELECT k, ws, n, UNNEST(RANGE(LEN(ws) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM w) WHERE LEN(ws) >= n)), h AS (SELECT p.k, p.i, w.n, w.item_id FROM p JOIN w ON w.g = p.g AND w.n = p.n),
+ c AS (SELECT k, COUNT(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT k, i, n FROM h), (SELECT UNNEST(RANGE(10)) AS j) WHERE j < n GROUP BY k), l AS (SELECT k, COUNT(*) AS n_items, STRING_AGG(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY k)
+ SELECT doc_id, CAST(LEN(ws) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, SHA256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c ON c.k = d.k LEFT JOIN l ON l.k = d.k"""
+
+SQL: dict[str, str] = {"op1_mixing": OP1, "secret_base_counts": SECRET_BASE, "pii_base_counts": PII_BASE, "op2_quality": OP2, "op7_embeddings": OP7, "op9_minhash": OP9, "op10_licenses": OP10, "op11_divergence": OP11, "op13_decontamination": OP13}
