@@ -65,7 +65,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def chunked(batches: Iterator[pa.RecordBatch], chunk_terms: int) -> Iterator[pa.RecordBatch]:
     """Rows (lang, term, source, n) in order of lang and term → a dictionary row and dense vectors of each chunk."""
     task, made = TaskContext.get().partitionId(), 0
     lang, terms, sources, n, distinct = None, [], [], [], 0
@@ -87,7 +87,7 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, term, source, k in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             fresh = at != lang or not terms or term != terms[-1]
-            if terms and (at != lang or fresh and distinct == CHUNK):
+            if terms and (at != lang or fresh and distinct == chunk_terms):
                 yield flush()
                 made, terms, sources, n, distinct = made + 1, [], [], [], 0
             lang, distinct = at, distinct + fresh
@@ -111,10 +111,10 @@ def share(count: np.ndarray, n: np.ndarray, kept: np.ndarray) -> np.ndarray:
 def compared(key: tuple, table: pa.Table, top: int) -> pa.Table:
     """Parts of one chunk and pair of tiles: sums of differences of pairs, and on the diagonal the sources' first terms."""
     lang, _, low, high = (k.as_py() for k in key)
-    rows = table.select(["source", "tile", "terms", "counts", "n", "lang_n", "kept"]).to_pylist()
+    rows = table.select(["source", "tile", "terms", "counts", "size", "n", "lang_n", "kept"]).to_pylist()
     book, groups = next((r for r in rows if r["terms"] is not None), None), [r for r in rows if r["source"] is not None]
     out: list[tuple] = []
-    size = len(book["terms"]) if book else 0
+    size = rows[0]["size"]
     counts = np.array([r["counts"] or [0] * size for r in groups], "int64").reshape(len(groups), size)
     column = lambda name: np.array([[r[name]] for r in groups], "int64").reshape(len(groups), 1)
     p = share(counts, column("n"), column("kept")) if size else counts
@@ -136,30 +136,30 @@ def compared(key: tuple, table: pa.Table, top: int) -> pa.Table:
     return pa.table([pa.array(c, pa.int64() if k == 4 else pa.string()) for k, c in enumerate(columns)], ["lang", "source", "part", "item", "value"])
 
 
-def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 30, top: int = 50) -> DataFrame:
+def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 30, top: int = 50, chunk: int = CHUNK, tile: int = TILE) -> DataFrame:
     """lang, source, part, item, value, rank: other sources by distance, and the first terms of each source."""
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     counts = materialize(read.mapInArrow(gathered, COUNTS).groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "term-counts")
     kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
     coded = materialize(counts.where("term <> ''").join(kept, ["lang", "term"]).select("lang", "term", "source", "n"), "kept-counts")
     ranges = coded.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source")
-    chunks = materialize(ranges.mapInArrow(chunked, CHUNKS), "term-chunks")
+    chunks = materialize(ranges.mapInArrow(lambda it: chunked(it, chunk), CHUNKS), "term-chunks")
 
     books = chunks.where("terms is not null")
     sizes = books.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept"), F.sum("total").alias("lang_n"))
     totals = chunks.where("terms is null").groupBy("lang", "source").agg(F.sum("total").alias("n"))
     groups = counts.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    groups = groups.na.fill(0, ["n", "kept", "lang_n"]).withColumn("tile", F.floor(place / TILE).cast("int"))
+    groups = groups.na.fill(0, ["n", "kept", "lang_n"]).withColumn("tile", F.floor(place / tile).cast("int"))
     groups = materialize(groups.withColumn("tiles", F.max("tile").over(Window.partitionBy("lang")) + 1), "sources")
 
     # every source meets every chunk of its language, and a language without one an empty one
-    members = groups.join(books.select("lang", "chunk"), "lang", "left").join(chunks.where("terms is null").select("lang", "chunk", "source", "counts"), ["lang", "chunk", "source"], "left")
+    members = groups.join(books.select("lang", "chunk", F.size("terms").alias("size")), "lang", "left").na.fill(0, ["size"]).join(chunks.where("terms is null").select("lang", "chunk", "source", "counts"), ["lang", "chunk", "source"], "left")
     others = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    shown = others.select("lang", "chunk", F.least("tile", "_other").alias("low"), F.greatest("tile", "_other").alias("high"), "source", "tile", F.lit(None).cast("array<string>").alias("terms"), "counts", "n", "lang_n", "kept")
+    shown = others.select("lang", "chunk", F.least("tile", "_other").alias("low"), F.greatest("tile", "_other").alias("high"), "source", "tile", F.lit(None).cast("array<string>").alias("terms"), "counts", "size", "n", "lang_n", "kept")
     tiles = groups.groupBy("lang").agg(F.max("tiles").alias("tiles"))
     pages = books.join(tiles, "lang").join(sizes, "lang").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    shown = shown.unionByName(pages.select("lang", "chunk", F.col("tile").alias("low"), F.col("tile").alias("high"), F.lit(None).cast("string").alias("source"), "tile", "terms", "counts", F.lit(0).cast("long").alias("n"), "lang_n", "kept"))
+    shown = shown.unionByName(pages.select("lang", "chunk", F.col("tile").alias("low"), F.col("tile").alias("high"), F.lit(None).cast("string").alias("source"), "tile", "terms", "counts", F.size("terms").alias("size"), F.lit(0).cast("long").alias("n"), "lang_n", "kept"))
     parts = materialize(shown.groupBy("lang", "chunk", "low", "high").applyInArrow(lambda key, table: compared(key, table, top), PARTS), "parts")
 
     pairs = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))

@@ -60,8 +60,14 @@ class Features:
                 rows.append((row, len(part)))
                 if len(words) >= BLOCK_WORDS:
                     yield self.codes(words), np.repeat(*np.array(rows).T), carried
-                    words, carried = words[-min(rows[-1][1], self.longest - 1) :] if self.longest > 1 else [], 0
-                    rows, carried = [(row, len(words))], len(words)
+                    own = 0
+                    for at, n in reversed(rows):
+                        if at != row or own >= self.longest - 1:
+                            break
+                        own += n
+                    carried = min(own, self.longest - 1)
+                    words = words[len(words) - carried :]
+                    rows = [(row, carried)]
         if len(words) > carried:
             yield self.codes(words), np.repeat(*np.array(rows).T), carried
 
