@@ -12,7 +12,9 @@ reaches inside the task: never the pairs themselves.
 
 Defined results: a vector that is null, empty or zero, or holds null or non-finite components, or has no label, links
 with nothing, and vectors of different lengths do not link; very large and very small components are scaled first; an
-empty table gives an empty result; repeated rows are copies; other columns are ignored.
+empty table gives an empty result; repeated rows are copies; a vector without an id links and is counted like any other,
+and names a group only where nothing in it has an id (then null); an id that stands for several vectors is judged vector by
+vector; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,8 +160,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     read = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
-    classes = read.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes.where("rep is not null").withColumn("size", F.size("embedding")), "vector-classes")
+    classes = read.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    # a class has a number of its own: ids may be missing, or stand for several vectors
+    classes = materialize(classes.withColumns({"size": F.size("embedding"), "rep": F.monotonically_increasing_id()}), "vector-classes")
 
     sizes = classes.groupBy("label", "size").agg(F.count("*").alias("n"))
     centres = chosen_centres(classes, sizes)
@@ -186,9 +189,11 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.join(counts.hint("merge"), "rep", "left").join(linked.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
-    named = named.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = materialize(named.select("label", "embedding", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group")), "named")
+    lowest = named.groupBy("group").agg(F.min("low").alias("component"))
+    named = named.join(lowest.hint("merge"), "group").select("label", "embedding", "n_links", "component", F.lit(True).alias("met"))
     # an unusable vector meets no class: its key is null
     keyed = read.select("vec_id", F.when(usable, F.col("label")).alias("label"), "embedding")
     out = keyed.join(named.hint("merge"), ["label", "embedding"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.when(F.col("met"), F.col("component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

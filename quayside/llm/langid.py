@@ -177,7 +177,8 @@ class Network:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 5) -> Network:
-    """Learn from a bounded sample: a hash keeps about SAMPLE_DOCS documents of each language outside the held-out quarter."""
+    """Learn from a bounded sample: a hash of id and text keeps about SAMPLE_DOCS documents of each
+    language outside the held-out quarter. Rows without an id are learned from; equal rows count once."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
@@ -186,9 +187,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if not counts:
         return network
     chance = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.1 * SAMPLE_DOCS / n))])
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    spot = lambda k: F.substring(F.col(text_col), 1 + F.pmod(F.xxhash64(F.lit(seed + k), F.col(id_col)), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS)).cast("int"), F.lit(SAMPLE_CHARS))
-    picked = labelled.where(u < chance[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), u.alias("u"), F.array(*[spot(k + 1) for k in range(SAMPLE_WINDOWS)]).alias("spots"))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
+    spot = lambda k: F.substring(F.col(text_col), 1 + F.pmod(F.xxhash64(F.lit(seed + k), F.col(id_col), F.col(text_col)), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS)).cast("int"), F.lit(SAMPLE_CHARS))
+    picked = labelled.where(u < chance[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), u.alias("u"), F.array(*[spot(k + 1) for k in range(SAMPLE_WINDOWS)]).alias("spots")).distinct()
     rows = sorted(picked.limit(2 * SAMPLE_DOCS * len(counts)).collect(), key=lambda r: (r.lang, r.u, r.spots))
     left, x, y = dict.fromkeys(counts, SAMPLE_DOCS), [], []
     for r in rows:

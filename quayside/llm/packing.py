@@ -6,7 +6,8 @@ that holds each in logarithmic time. Groups are dealt by a hash of the piece, so
 number of documents, whatever the input's size.
 
 Defined results: a null or empty text is a document of the end id alone; an empty table gives no pieces; repeated rows
-are packed one by one; other columns are ignored.
+are packed one by one, and rows that are equal in id and text are dealt over groups by their number in a task, so that no
+group grows with them; a null id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import math
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,15 +118,21 @@ class WordEncoder:
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+    """Batches of an id, a text and further columns → their pieces, each with what its row has in the further columns."""
+    encoder, end, seen = WordEncoder(path), np.array([end_id], "<u4").tobytes(), Counter()
     for batch in slices(batches, 1):
-        ids, rows = batch.column(0).to_pylist(), []
-        for key, code in zip(ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+        ids, rows, source = batch.column(0).to_pylist(), [], []
+        for row, (key, code) in enumerate(zip(ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True)):
             code += end
             n = len(code) // 4
-            rows += [(key, s, min(capacity, n - s), zlib.crc32(code[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for s in range(0, n, capacity):
+                crc = zlib.crc32(code[4 * s : 4 * (s + capacity)])
+                rows.append((s, min(capacity, n - s), crc, n, seen[key, s, crc]))
+                seen[key, s, crc] += 1
+            source += [row] * -(-n // capacity)
+        columns, at = list(zip(*rows, strict=True)) if rows else [()] * 5, pa.array(source, pa.int64())
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth", *batch.schema.names[2:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, pa.int64()) for c in columns), *(c.take(at) for c in batch.columns[2:])], names)
 
 
 class FirstFit:
@@ -160,23 +169,60 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return at, offset
 
 
-def pack_group(key: tuple, pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    pieces = pieces.sort_values(["length", "doc_id", "start", "doc_tokens", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
-    bins, offsets = first_fit_decreasing(pieces["length"].tolist(), capacity)
-    return pieces.assign(sequence_id=(int(key[0]) << 32) + np.array(bins, dtype="int64"), offset=np.array(offsets, dtype="int64"))[COLUMNS]
+def pack_group(group: int, pieces: pa.Table, capacity: int, bits: int) -> pa.Table:
+    """Longest first; full pieces are bins of their own and stay out of the tree. Columns never leave Arrow: ids keep their
+    type beside nulls."""
+    order = pc.sort_indices(pieces, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("doc_tokens", "ascending"), ("ids_crc32", "ascending")])
+    pieces = pieces.take(order)
+    lengths = pieces.column("length").to_pylist()
+    full = sum(n == capacity for n in lengths)
+    bins, offsets = first_fit_decreasing(lengths[full:], capacity)
+    at = (group << bits) + np.concatenate([np.arange(full), full + np.array(bins, "int64")]).astype("int64")
+    out = pieces.append_column("sequence_id", pa.array(at)).append_column("offset", pa.array([0] * full + offsets, pa.int64()))
+    return out.select(COLUMNS)
 
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def pieces_in(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, capacity: int, *kept: str) -> DataFrame:
+    """The pieces of every row, with `nth`: how many pieces like it the task had before."""
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    kinds = [f"{c} {read.schema[c].dataType.simpleString()}" for c in ("doc_id", *kept)]
+    return read.mapInArrow(lambda it: pieces_of(it, path, end_id, capacity), ", ".join([kinds[0], "start long, length long, ids_crc32 long, doc_tokens long, nth long", *kinds[1:]]))
+
+
+def grouped(pieces: DataFrame, capacity: int, bits: int) -> DataFrame:
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    columns = [c for c in COLUMNS if c in pieces.columns]
+    return pieces.select("_group", *columns).groupBy("_group").applyInArrow(
+        lambda key, table: pack_group(key[0].as_py(), table, capacity, bits), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    )
+
+
 def pack_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 2, capacity: int = 4096, seed: int = 23) -> DataFrame:
-    path = tokenizer_path or vocabulary()
+    """Pieces of sequences, in groups dealt by a hash of the piece."""
     groups = max(1, math.ceil(docs.count() / GROUP_DOCS))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = read.schema["doc_id"].dataType.simpleString()
-    pieces = read.mapInArrow(lambda it: pieces_of(it, path, end_id, capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
-    # by content too, so that many rows under one id, or without one, are dealt over all groups
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return keyed.groupBy("_group").applyInPandas(
-        lambda key, pdf: pack_group(key, pdf, capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    pieces = pieces_in(docs, id_col, text_col, tokenizer_path or vocabulary(), end_id, capacity)
+    # by content too, so that many rows under one id are dealt over all groups; equal pieces of a task by their number
+    task = F.when(F.col("nth") > 0, F.spark_partition_id()).otherwise(0)
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "nth", task), F.lit(groups)))
+    return grouped(dealt, capacity, 32)
+
+
+def pack_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 2, capacity: int = 4096) -> DataFrame:
+    """Pieces of sequences that keep the order in which docs are stored.
+
+    Groups are runs of GROUP_DOCS rows of a file, so that ids
+    of sequences ascend with the files' numbers and the rows' places; inside a group the method decides. Where rows were
+    stored in an order that is random in size, as a mix is, runs are randomised groups. Rows that were not read from
+    files have no stored order and are dealt at random.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return pack_corpus(docs, id_col=id_col, text_col=text_col, tokenizer_path=tokenizer_path, end_id=end_id, capacity=capacity)
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    placed = docs.select("*", part.alias("_part"), F.floor(F.col("_metadata.row_index") / GROUP_DOCS).alias("_run"))
+    pieces = pieces_in(placed, id_col, text_col, tokenizer_path or vocabulary(), end_id, capacity, "_part", "_run")
+    return grouped(pieces.withColumn("_group", F.shiftleft("_part", 18) + F.col("_run")), capacity, 24)

@@ -69,3 +69,53 @@ def test_embeddings_of_nothing(spark):
 def test_redaction_marks_spans(spark):
     df = spark.createDataFrame([(1, 'a token = "abcdefabcdefabcdef12" z', 3), (2, None, 1)], "doc_id long, text string, n_chars int")
     assert [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(1, 'a [SECRET]" z', 13), (2, None, None)]
+
+
+def test_ids_beside_nulls(spark):
+    """Ids that floating point cannot hold stay as they are beside null ids, and keep their tokens."""
+    big = 1 << 60
+    docs = spark.createDataFrame([(big + 1, "one two"), (big + 3, "three"), (None, "four"), (None, None)] + [(None, None)] * 50, "doc_id long, text string").coalesce(1)
+    got = packing.pack_corpus(docs)
+    assert sorted({r.doc_id for r in got.collect() if r.doc_id}) == [big + 1, big + 3]
+    assert got.count() == 54 and got.select("sequence_id", "offset").distinct().count() == 54
+    kinds = {r.doc_id: r.lang_pred for r in langid.identify_corpus(docs.selectExpr("doc_id", "text", "'x' as lang")).collect() if r.doc_id}
+    assert kinds == dict.fromkeys((big + 1, big + 3), "x")
+
+
+def test_equal_rows_are_dealt_over_groups(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, None)] * 9000, "doc_id long, text string").coalesce(2)
+    groups = [r["count"] for r in packing.pack_corpus(docs).selectExpr("sequence_id >> 32 as g").groupBy("g").count().collect()]
+    assert sum(groups) == 9000 and max(groups) < 3000
+
+
+def test_packing_keeps_a_stored_order(spark, tmp_path):
+    rows = [(k, "word " * (1 + k * 7919 % 900)) for k in range(9000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
+    got = sorted(packing.pack_in_order(spark.read.parquet(str(tmp_path / "docs"))).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert sorted(r.doc_id for r in got if r.start == 0) == list(range(9000))
+    first = {}
+    for r in got:
+        first.setdefault(r.sequence_id >> 24, []).append(r.doc_id)
+    runs = [(min(ids), max(ids)) for _, ids in sorted(first.items())]
+    assert len(runs) >= 4 and all(a[1] < b[0] for a, b in zip(runs, runs[1:], strict=False))
+    used = {}
+    for r in got:
+        assert r.offset == used.get(r.sequence_id, 0)
+        used[r.sequence_id] = r.offset + r.length
+    assert max(used.values()) <= 4096
+
+
+def test_languages_of_documents_without_ids(spark):
+    rows = [(None, f"der die das und ist nicht {k}", "de") for k in range(60)] + [(None, f"the and of is not that {k}", "en") for k in range(60)]
+    found = langid.identify_corpus(spark.createDataFrame(rows, "doc_id long, text string, lang string")).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred for r in found} == {"de", "en"} and all(abs(r["count"] - 60) <= 6 for r in found)
+
+
+def test_embeddings_without_or_with_shared_ids(spark):
+    import math
+
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    rows = [(None, at(0)), (None, at(1)), (5, at(2)), (1, at(60)), (2, at(61)), (1, at(120)), (3, at(121)), (4, at(122)), (None, at(200)), (None, at(201)), (9, at(300)), (9, at(300))]
+    got = embeddings.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int"))
+    found = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()), key=str)
+    assert found == sorted([(None, 2, 5, False)] * 2 + [(5, 2, 5, True), (1, 1, 1, True), (2, 1, 1, False), (1, 2, 1, True), (3, 2, 1, False), (4, 2, 1, False)] + [(None, 1, None, True)] * 2 + [(9, 1, 9, True)] * 2, key=str)
