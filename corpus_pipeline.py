@@ -37,8 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens: every token of every row is in one piece; a text without tokens is its end token."""
-    return packing.pack_corpus(docs)
+    """Pieces of sequences of 4096 tokens: every token of every row is in one piece; a text without tokens is its end token.
+    Sequences ascend in the order of training that the mix has stored."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [("language ID", identify_language), ("near-dedup", deduplicate), ("secret scans", redact_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
