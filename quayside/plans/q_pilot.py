@@ -44,9 +44,9 @@ def fill_by_arm(spark, sf):
 
 HR = """hk AS (SELECT *, CASE WHEN family = 'no_change' THEN NULL WHEN family = 'demand_level' THEN family || ':' || direction ELSE family END AS key FROM fc),
  hp AS (SELECT key, arm, episode, profit FROM hk WHERE key IS NOT NULL AND arm IN ('arm8', 'arm1') AND episode IN (SELECT episode FROM hk WHERE arm = 'arm8') AND episode IN (SELECT episode FROM hk WHERE arm = 'arm1')),
- hc AS (SELECT key, arm, AVG(profit) AS cvar FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY key, arm ORDER BY profit, episode) AS r, COUNT(*) OVER (PARTITION BY key, arm) AS n FROM hp) WHERE r <= CEIL(n * 0.1) GROUP BY 1, 2),
- hm AS (SELECT key, arm, AVG(profit) AS m FROM hp GROUP BY 1, 2),
- hl AS (SELECT t.key, (t.m - c.m) / ABS(c.m) AS raw_lift, (tc.cvar - cc.cvar) / ABS(cc.cvar) AS cvar_lift FROM hm t JOIN hm c ON c.key = t.key AND c.arm = 'arm1' JOIN hc tc ON tc.key = t.key AND tc.arm = 'arm8' JOIN hc cc ON cc.key = t.key AND cc.arm = 'arm1' WHERE t.arm = 'arm8')"""
+ hr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY key, arm ORDER BY profit, episode) <= CEIL(COUNT(*) OVER (PARTITION BY key, arm) * 0.1) AS low FROM hp),
+ hm AS (SELECT key, AVG(profit) FILTER (arm = 'arm8') AS t, AVG(profit) FILTER (arm = 'arm1') AS c, AVG(profit) FILTER (arm = 'arm8' AND low) AS tc, AVG(profit) FILTER (arm = 'arm1' AND low) AS cc FROM hr GROUP BY key),
+ hl AS (SELECT key, (t - c) / ABS(c) AS raw_lift, (tc - cc) / ABS(cc) AS cvar_lift FROM hm)"""
 
 
 @query(FACTS + f", {HR} SELECT key, ROUND(raw_lift, 6) AS raw_lift, ROUND(cvar_lift, 6) AS cvar_lift, raw_lift >= 0.05 OR cvar_lift >= 0.10 AS passes FROM hl")

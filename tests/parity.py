@@ -12,6 +12,7 @@ import pandas as pd
 
 def connect(sf_dir: str):
     con = duckdb.connect()
+    con.execute("SET threads=16")  # more than the cores of a small machine: some plans fail only beyond their number
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         name = os.path.basename(path).removesuffix(".parquet")
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")

@@ -10,7 +10,7 @@ from tests.parity import connect, differences
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def con():
     return connect(SF)
 
