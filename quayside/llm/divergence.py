@@ -1,11 +1,11 @@
 """Source divergence audit: how far the word use of each source of a language is from the language's other sources.
 
-Texts become integer-dictionary codes in two steps. Tasks count terms per (language, source) and Spark sums the counts;
-the terms in enough documents of their language are kept and dealt in ranges of UTF-8 order. Each range is cut in chunks
-of at most CHUNK terms: the chunk's sorted term array is its dictionary, searchsorted gives each term's id, and bincount
-makes one dense vector of counts for each source. As ids keep the order of terms, ties go to the smaller id. Vectors of a
-chunk meet in tiles of TILE sources, so that a task holds at most 2 x TILE x CHUNK counts however many terms or sources
-there are, and what leaves a tile is a number for each pair of its sources and the first terms of each source.
+Tasks count terms per (language, source) and Spark sums the counts. The terms in enough documents of their language are
+the dictionary: sorted in UTF-8 order, numbered, and cut in chunks of CHUNK terms. In a chunk's sorted term array,
+searchsorted gives each term's id and bincount makes one dense vector of counts for each source; as ids keep the order of
+terms, ties go to the smaller id. Sources meet in tiles of TILE, so that a task holds at most 2 x TILE x CHUNK counts
+however many terms or sources there are, and what leaves a tile is a number for each pair of its sources and the first
+terms of each source.
 
 Everything is exact: probabilities are integers, one billion times the smoothed share, by long division.
 
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +34,6 @@ SCALE, PRIOR = 1_000_000_000, 5
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 COUNTS = "lang string, source string, term string, docs long, n long"
-CHUNKS = "lang string, chunk long, source string, terms array<string>, counts array<long>, total long"
 PARTS = "lang string, source string, part string, item string, value long"
 
 
@@ -65,39 +63,6 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def chunked(batches: Iterator[pa.RecordBatch], chunk_terms: int) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, term, source, n) in order of lang and term → a dictionary row and dense vectors of each chunk."""
-    task, made = TaskContext.get().partitionId(), 0
-    lang, terms, sources, n, distinct = None, [], [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        words = np.array(terms, object)
-        kept = np.unique(words)
-        groups, g = np.unique(np.array(sources, object), return_inverse=True)
-        ids = np.searchsorted(kept, words)
-        dense = np.bincount(g * len(kept) + ids, weights=np.array(n), minlength=len(groups) * len(kept)).astype("int64").reshape(len(groups), len(kept))
-        vectors = [dense.sum(axis=0), *dense]
-        chunk = (task << 32) + made
-        size = len(vectors)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * size), pa.array([chunk] * size, pa.int64()), pa.array([None, *groups], pa.string()), pa.array([[t.decode() for t in kept], *[None] * len(groups)], pa.list_(pa.string())), pa.array(vectors, pa.list_(pa.int64())), pa.array([int(v.sum()) for v in vectors], pa.int64())],
-            ["lang", "chunk", "source", "terms", "counts", "total"],
-        )
-
-    for batch in batches:
-        for at, term, source, k in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            fresh = at != lang or not terms or term != terms[-1]
-            if terms and (at != lang or fresh and distinct == chunk_terms):
-                yield flush()
-                made, terms, sources, n, distinct = made + 1, [], [], [], 0
-            lang, distinct = at, distinct + fresh
-            terms.append(term)
-            sources.append(source)
-            n.append(k)
-    if terms:
-        yield flush()
-
-
 def share(count: np.ndarray, n: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """1 + floor(SCALE (count + PRIOR) / (n + PRIOR kept)) in three exact steps of long division."""
     rest, below, out = count + PRIOR, n + PRIOR * kept, np.zeros_like(count)
@@ -109,57 +74,83 @@ def share(count: np.ndarray, n: np.ndarray, kept: np.ndarray) -> np.ndarray:
 
 
 def compared(key: tuple, table: pa.Table, top: int) -> pa.Table:
-    """Parts of one chunk and pair of tiles: sums of differences of pairs, and on the diagonal the sources' first terms."""
+    """Parts of one chunk and pair of tiles: sums of differences of pairs, and on the diagonal the sources' first terms.
+
+    Rows are of three kinds: a source with its totals, a term of the chunk with its total, a source's count of a term.
+    """
     lang, _, low, high = (k.as_py() for k in key)
-    rows = table.select(["source", "tile", "terms", "counts", "size", "n", "lang_n", "kept"]).to_pylist()
-    book, groups = next((r for r in rows if r["terms"] is not None), None), [r for r in rows if r["source"] is not None]
+    kind, n = table.column("kind").to_numpy(), table.column("n").to_numpy()
+    pick = lambda column, k: table.column(column).filter(pa.array(kind == k))
+    words = lambda k: np.array(pick("term", k).cast(pa.binary()).to_pylist(), object)
+    sources, tiles, kept, lang_n = pick("source", 0).to_pylist(), pick("tile", 0).to_numpy(), pick("kept", 0).to_numpy(), pick("lang_n", 0).to_numpy()
+    order = np.argsort(words(1), kind="stable")
+    terms, total = words(1)[order], n[kind == 1][order]
+    place = {source: i for i, source in enumerate(sources)}
+    group, ids = np.array([place[s] for s in pick("source", 2).to_pylist()], "int64"), np.searchsorted(terms, words(2)).astype("int64")
+    counts = np.bincount(group * len(terms) + ids, weights=n[kind == 2], minlength=len(sources) * len(terms)).astype("int64").reshape(len(sources), len(terms))
+    p = share(counts, n[kind == 0][:, None], kept[:, None]) if len(terms) else counts
     out: list[tuple] = []
-    size = rows[0]["size"]
-    counts = np.array([r["counts"] or [0] * size for r in groups], "int64").reshape(len(groups), size)
-    column = lambda name: np.array([[r[name]] for r in groups], "int64").reshape(len(groups), 1)
-    p = share(counts, column("n"), column("kept")) if size else counts
-    at = {t: [i for i, r in enumerate(groups) if r["tile"] == t] for t in (low, high)}
+    at = {t: np.flatnonzero(tiles == t).tolist() for t in (low, high)}
     for i in at[low]:
         far = np.abs(p[at[high]] - p[i]).sum(axis=1)
         for j, value in zip(at[high], far.tolist(), strict=True):
             if i != j:
-                out.append((lang, groups[i]["source"], "pair", groups[j]["source"], value))
+                out.append((lang, sources[i], "pair", sources[j], value))
                 if low != high:
-                    out.append((lang, groups[j]["source"], "pair", groups[i]["source"], value))
-    if size and low == high:
-        q = share(np.array(book["counts"], "int64"), np.int64(book["lang_n"]), np.int64(book["kept"]))
-        for i, row in enumerate(groups):
+                    out.append((lang, sources[j], "pair", sources[i], value))
+    if len(terms) and low == high:
+        q = share(total, lang_n[0], kept[0])
+        for i, source in enumerate(sources):
             more = np.flatnonzero((counts[i] > 0) & (p[i] > q))
             for t in more[np.lexsort((more, (q - p[i])[more]))][:top].tolist():
-                out.append((lang, row["source"], "term", book["terms"][t], int(p[i][t] - q[t])))
+                out.append((lang, source, "term", terms[t].decode(), int(p[i][t] - q[t])))
     columns = list(zip(*out, strict=True)) if out else [()] * 5
     return pa.table([pa.array(c, pa.int64() if k == 4 else pa.string()) for k, c in enumerate(columns)], ["lang", "source", "part", "item", "value"])
 
 
+def dictionary(counts: DataFrame, least_docs: int) -> DataFrame:
+    """lang, term, total and id of each kept term; ids count from 0 in each language in UTF-8 order.
+
+    Terms are sorted by ranges; an id is the place in its range and the language's terms in the ranges before.
+    """
+    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).where(F.col("docs") >= least_docs)
+    kept = materialize(kept.select("lang", "term", "total"), "kept")
+    ranges = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").withColumn("at", F.monotonically_increasing_id())
+    ranges = materialize(ranges.withColumn("range", F.shiftright("at", 33)), "ranges")
+    sizes = ranges.groupBy("lang", "range").agg(F.min("at").alias("first"), F.count("*").alias("many"))  # languages times ranges
+    before = F.coalesce(F.sum("many").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("lang", "range", (before - F.col("first")).alias("shift"))
+    return materialize(ranges.join(starts, ["lang", "range"]).select("lang", "term", "total", (F.col("at") + F.col("shift")).alias("id")), "dictionary")
+
+
 def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 30, top: int = 50, chunk: int = CHUNK, tile: int = TILE) -> DataFrame:
     """lang, source, part, item, value, rank: other sources by distance, and the first terms of each source."""
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     counts = materialize(read.mapInArrow(gathered, COUNTS).groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "term-counts")
-    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
-    coded = materialize(counts.where("term <> ''").join(kept, ["lang", "term"]).select("lang", "term", "source", "n"), "kept-counts")
-    ranges = coded.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source")
-    chunks = materialize(ranges.mapInArrow(lambda it: chunked(it, chunk), CHUNKS), "term-chunks")
-
-    books = chunks.where("terms is not null")
-    sizes = books.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept"), F.sum("total").alias("lang_n"))
-    totals = chunks.where("terms is null").groupBy("lang", "source").agg(F.sum("total").alias("n"))
+    book = dictionary(counts, least_docs).withColumn("chunk", F.floor(F.col("id") / chunk))
+    coded = materialize(counts.where("term <> ''").join(book.select("lang", "term", "chunk"), ["lang", "term"]).select("lang", "term", "source", "chunk", "n"), "kept-counts")
+
+    sizes = book.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_n"), F.max("chunk").alias("last"))
+    totals = coded.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = counts.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    groups = groups.na.fill(0, ["n", "kept", "lang_n"]).withColumn("tile", F.floor(place / tile).cast("int"))
+    groups = groups.na.fill(0, ["n", "kept", "lang_n", "last"]).withColumn("tile", F.floor(place / tile).cast("int"))
     groups = materialize(groups.withColumn("tiles", F.max("tile").over(Window.partitionBy("lang")) + 1), "sources")
 
-    # every source meets every chunk of its language, and a language without one an empty one
-    members = groups.join(books.select("lang", "chunk", F.size("terms").alias("size")), "lang", "left").na.fill(0, ["size"]).join(chunks.where("terms is null").select("lang", "chunk", "source", "counts"), ["lang", "chunk", "source"], "left")
-    others = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    shown = others.select("lang", "chunk", F.least("tile", "_other").alias("low"), F.greatest("tile", "_other").alias("high"), "source", "tile", F.lit(None).cast("array<string>").alias("terms"), "counts", "size", "n", "lang_n", "kept")
-    tiles = groups.groupBy("lang").agg(F.max("tiles").alias("tiles"))
-    pages = books.join(tiles, "lang").join(sizes, "lang").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    shown = shown.unionByName(pages.select("lang", "chunk", F.col("tile").alias("low"), F.col("tile").alias("high"), F.lit(None).cast("string").alias("source"), "tile", "terms", "counts", F.size("terms").alias("size"), F.lit(0).cast("long").alias("n"), "lang_n", "kept"))
+    # every source meets every chunk of its language, and a language without terms has one empty chunk
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    columns = ["lang", "chunk", "low", "high", "kind", "source", "tile", "term", "n", "kept", "lang_n"]
+    none = F.lit(None).cast("string")
+    met = lambda df: df.withColumn("_other", every).withColumns({"low": F.least("tile", "_other"), "high": F.greatest("tile", "_other")})
+    members = met(groups.withColumns({"chunk": F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))), "kind": F.lit(0), "term": none}))
+    known = groups.select("lang", "source", "tile", "tiles")
+    lacking = {"kept": F.lit(0).cast("long"), "lang_n": F.lit(0).cast("long")}
+    cells = met(coded.join(known, ["lang", "source"]).withColumns({"kind": F.lit(2), **lacking}))
+    pages = book.join(groups.groupBy("lang").agg(F.max("tiles").alias("tiles")), "lang").withColumn("tile", every)
+    pages = pages.withColumns({"low": F.col("tile"), "high": F.col("tile"), "kind": F.lit(1), "source": none, "n": F.col("total"), **lacking})
+    if_apart = met(pages.drop("low", "high")).where("low <> high and tile = low")  # a term once in each tile pair
+    pages = pages.select(*columns).unionByName(if_apart.select(*columns))
+    shown = members.select(*columns).unionByName(pages).unionByName(cells.select(*columns))
     parts = materialize(shown.groupBy("lang", "chunk", "low", "high").applyInArrow(lambda key, table: compared(key, table, top), PARTS), "parts")
 
     pairs = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
