@@ -2,7 +2,7 @@
 target table than in the corpus itself.
 
 An integer dictionary maps the distinct words that a task meets to ids. Runs of one to three words are tuples of ids in
-one 64-bit number; each distinct tuple of a block of texts is written out and hashed once, and its count, or its bucket's
+one 64-bit number; the bytes of each distinct tuple of a block of texts are hashed once, and its count, or its bucket's
 gain, is joined back to the places it stands at. Two passes over the texts: one sums features by bucket, one weighs
 documents. Between them only the counts of the buckets come to the driver, whose number is a parameter.
 
@@ -38,14 +38,15 @@ class Features:
     """Hash buckets of the runs of one to `longest` words of many texts at once."""
 
     def __init__(self, longest: int, buckets: int):
-        self.longest, self.buckets, self.ids, self.words = longest, buckets, {}, []
+        self.longest, self.buckets, self.ids, self.words, self.spaced = longest, buckets, {}, [], []
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         if len(self.words) > KNOWN_WORDS:
-            self.ids, self.words = {}, []
+            self.ids, self.words, self.spaced = {}, [], []
         for word in set(words).difference(self.ids):
             self.ids[word] = len(self.words)
             self.words.append(word)
+            self.spaced.append(b" " + word)
         return np.fromiter(map(self.ids.__getitem__, words), "int64", len(words))
 
     def blocks(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -74,9 +75,10 @@ class Features:
     def runs(self, code: np.ndarray, row: np.ndarray, carried: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each run length: the bucket of each distinct tuple, and of each place its tuple and its row.
 
-        A tuple's number is that of its beginning among the distinct shorter ones and the id of its last word.
+        A tuple's number is that of its beginning among the distinct shorter ones and the id of its last word; the checksum
+        of its bytes goes on from its beginning's with a space and that word.
         """
-        head = text = None
+        head = sums = None
         for k in range(self.longest):
             many = len(code) - k
             if many <= 0:
@@ -84,12 +86,12 @@ class Features:
             whole = row[k:] == row[:many]
             number = code if not k else head[:many] << ID_BITS | code[k:]
             tuples, place = np.unique(number[whole], return_inverse=True)
-            last = [self.words[i] for i in (tuples & ((1 << ID_BITS) - 1)).tolist()]
-            text = last if not k else [text[i] + b" " + w for i, w in zip((tuples >> ID_BITS).tolist(), last, strict=True)]
+            last = map((self.spaced if k else self.words).__getitem__, (tuples & ((1 << ID_BITS) - 1)).tolist())
+            sums = np.fromiter(map(zlib.crc32, last, sums[tuples >> ID_BITS].tolist()) if k else map(zlib.crc32, last), "int64", len(tuples))
             head = np.zeros(many, "int64")
             head[whole] = place
             new = np.flatnonzero(whole) + k >= carried
-            yield np.fromiter(map(zlib.crc32, text), "int64", len(text)) % self.buckets, place[new], row[:many][whole][new]
+            yield sums % self.buckets, place[new], row[:many][whole][new]
 
 
 def bucket_counts(docs: DataFrame, longest: int, buckets: int) -> np.ndarray:
