@@ -1,19 +1,22 @@
-"""Tolerant readers of model answers: what no built-in function expresses runs on Arrow batches, the rest is expressions."""
+"""Tolerant readers of model answers, as expressions.
 
-from __future__ import annotations
+An answer is cut into pieces (strings, braces, the rest), a fold over the pieces yields candidate objects with their spans,
+and the reader ranks the candidates. Nothing edits the answer as a whole.
+"""
 
-import json
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quayside.functions.text import balanced_objects
+from quayside.plans.runtime import let
 
-# The menu, and keys that mark an answer.
+# The menu, names that mark an answer, and patterns of the format.
 METHODS, EXPECTED = ("default", "explicit", "recent_N", "calculate"), ("parameters", "rationale", "action", "carry_over_insight")
 MENU = {"L": ("default", "calculate", "recent_N", "explicit"), "mu_hat": ("default", "recent_N", "EWMA_gamma", "explicit"), "sigma_hat": ("default", "recent_N", "explicit")}
+STRING = r'"(?:[^"\\]|\\.)*"'
+PIECE, LEAF = rf'(?s){STRING}|[{{}}]|[^"{{}}]+|"', rf"{STRING}\s*:|{STRING}|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false"
+PAIR, ACTION = r'"\w+"\s*:\s*(?:"[^"]*"|\d+(?:\.\d+)?)|\}', r'"action"\s*:\s*\{([^}]+)\}'
 NEEDED = {"recent_N": "N", "explicit": "value", "EWMA_gamma": "gamma"}
 
 
@@ -39,18 +42,27 @@ def has_content(text: Column) -> Column:
 
 
 def menu_choices(text: Column) -> Column:
-    """Nine parameters by pattern: for each of L, mu_hat and sigma_hat its method, and the value or N that goes with it."""
-    any_n = F.regexp_extract(text, r'"N"\s*:\s*(\d+)', 1).try_cast("int")
+    """Nine parameters read off an answer whatever its form: for each of L, mu_hat and sigma_hat its method, and its value or N.
 
-    def one(name: str) -> list[Column]:
-        said = F.regexp_extract(text, rf'"{name}_method"\s*:\s*"(\w+)"', 1)
-        method = F.when(said.isin(*METHODS), said).otherwise("default")
-        value = F.when(method == "explicit", F.regexp_extract(text, rf'"{name}_value"\s*:\s*(\d+(?:\.\d+)?)', 1).try_cast("double"))
-        near = F.regexp_extract(text, rf'"{name}_method"[^}}]*?"N"\s*:\s*(\d+)', 1).try_cast("int")
-        n = F.when(method == "recent_N", F.coalesce(F.when(near > 0, near), any_n, F.lit(5)))
-        return [method.alias(f"{name}_method"), value.alias(f"{name}_value"), n.alias(f"{name}_n")]
+    The answer is its pairs of a name and a plain value, and the closing braces between them, in order. An item's N is the
+    first one after its method in the same object, else the first of all, else 5.
+    """
+    pairs = F.regexp_extract_all(text, F.lit(PAIR), F.lit(0))
+    named = lambda found, name: F.filter(found, lambda p: p.rlike(rf'^"{name}"'))
+    value = lambda pair: F.regexp_extract(pair, r':\s*"?([^"]*)"?$', 1)
+    whole = lambda pair: F.regexp_extract(pair, r":\s*(\d+)", 1).try_cast("int")
 
-    return F.struct(*[c for name in MENU for c in one(name)])
+    def one(found: Column, name: str) -> list[Column]:
+        method = F.get(named(found, f"{name}_method"), F.lit(0))
+        kind = F.when(value(method).isin(*METHODS), value(method)).otherwise("default")
+        after = F.slice(found, F.array_position(found, method).cast("int"), F.size(found))
+        same = F.slice(after, 1, F.coalesce(F.nullif(F.array_position(after, "}"), F.lit(0)), F.size(after) + 1).cast("int"))
+        near, first = whole(F.get(named(same, "N"), F.lit(0))), whole(F.get(named(found, "N"), F.lit(0)))
+        n = F.when(kind == "recent_N", F.coalesce(F.when(near > 0, near), first, F.lit(5)))
+        said = F.get(named(found, f"{name}_value"), F.lit(0))
+        return [kind.alias(f"{name}_method"), F.when(kind == "explicit", value(said).try_cast("double")).alias(f"{name}_value"), n.alias(f"{name}_n")]
+
+    return let(pairs, lambda found: F.struct(*[c for name in MENU for c in one(found, name)]))
 
 
 def parameter_fault(parameters: Column, item: str) -> Column:
@@ -68,118 +80,106 @@ def parameter_fault(parameters: Column, item: str) -> Column:
     return fault
 
 
-def loads(text: str) -> dict | None:
-    try:
-        value = json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-    return value if isinstance(value, dict) else None
-
-
-def bare(text: str) -> str:
-    return re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", text.strip()))
-
-
-def quantities(action: object) -> dict[str, int] | None:
-    try:
-        return {str(k): int(v) for k, v in action.items()} if isinstance(action, dict) else None
-    except (TypeError, ValueError):
-        return None
+def pieces(text: Column) -> Column:
+    """A text as strings in quotes, braces, and what stands between, with the piece that follows each."""
+    found = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    return let(found, lambda all_: F.transform(all_, lambda piece, i: F.struct(piece.alias("piece"), F.coalesce(F.get(all_, i + 1), F.lit("")).alias("next"))))
+
+
+def mended(piece: Column, following: Column) -> Column:
+    """A piece as JSON has it: escapes that JSON knows, no comma before a closing bracket."""
+    outside = F.regexp_replace(piece, r",(\s*\])", "$1")
+    return F.when(piece.startswith('"'), valid_escapes(piece)).when(following == "}", F.regexp_replace(outside, r",\s*$", "")).otherwise(outside)
+
+
+def spans(text: Column) -> Column:
+    """Candidate objects of a text, in order: raw and mended text, and whether both of its outer braces are there.
+
+    An object opens at a brace, or at a name and a colon that stand in none; it closes at its brace, or where the text
+    ends. Closing braces that close nothing are passed over.
+    """
+    t = "struct<depth:int,raw:string,text:string,whole:boolean,done:array<struct<raw:string,text:string,whole:boolean>>>"
+    empty = F.struct(F.lit(0).alias("depth"), F.lit("").alias("raw"), F.lit("").alias("text"), F.lit(True).alias("whole"), F.array().alias("done")).cast(t)
+
+    def candidate(s: Column, end: Column, whole: Column) -> Column:
+        return F.concat(s["done"], F.array(F.struct(F.concat(s["raw"], end).alias("raw"), F.concat(s["text"], end).alias("text"), whole.alias("whole"))))
+
+    def step(s: Column, p: Column) -> Column:
+        piece, out = p["piece"], s["depth"] == 0
+        named = piece.startswith('"') & p["next"].rlike(r"^\s*:")
+        grown = lambda depth, front, whole: F.struct(depth.alias("depth"), F.concat(s["raw"], F.lit(front), piece).alias("raw"), F.concat(s["text"], F.lit(front), mended(piece, p["next"])).alias("text"), whole.alias("whole"), s["done"].alias("done")).cast(t)
+        closed = F.struct(F.lit(0).alias("depth"), F.lit("").alias("raw"), F.lit("").alias("text"), F.lit(True).alias("whole"), candidate(s, F.lit("}"), s["whole"]).alias("done")).cast(t)
+        return (
+            F.when(piece == "{", grown(s["depth"] + 1, "", s["whole"])).when(out & named, grown(F.lit(1), "{", F.lit(False))).when(out, s)
+            .when(piece == "}", F.when(s["depth"] == 1, closed).otherwise(grown(s["depth"] - 1, "", s["whole"]))).otherwise(grown(s["depth"], "", s["whole"]))
+        )
+
+    return F.aggregate(pieces(text), empty, step, lambda s: F.when(s["depth"] > 0, candidate(s, F.repeat(F.lit("}"), s["depth"]), F.lit(False))).otherwise(s["done"]))
+
+
+def candidates(text: Column) -> Column:
+    """Spans of the whole text, then of what stands from its first brace to its last: a lone quote before would hide them."""
+    return let(F.coalesce(text, F.lit("")), lambda t: F.concat(spans(t), spans(F.regexp_extract(t, r"(?s)\{.*\}", 0))))
+
+
+def as_json(text: Column) -> Column:
+    """A JSON text in one form, names in order; null where it is none."""
+    return F.to_json(F.try_parse_json(text))
 
 
-def order_answer(text: str | None) -> str | None:
-    """The quantities of an answer's action, cut to whole numbers, as JSON: of its first object, else of all between the
-    outer braces, else by the pattern of an action, else of any pair of digits."""
-    if not text:
-        return None
-    plain = bare(text).strip()
-    outer = plain[plain.find("{") : plain.rfind("}") + 1] if "{" in plain else ""
-    for piece in (next(balanced_objects(plain), ""), outer):
-        found = loads(piece)
-        if found and (orders := quantities(found.get("action"))) is not None:
-            return json.dumps(orders, sort_keys=True)
-    inside = re.search(r'"action"\s*:\s*\{([^}]+)\}', plain)
-    pairs = re.findall(r'"([^"]+)"\s*:\s*(\d+)', inside[1]) if inside else []
-    pairs = pairs or re.findall(r'"(\d+)"\s*:\s*(\d+)', plain)
-    return json.dumps({k: int(v) for k, v in pairs}, sort_keys=True) if pairs else None
+def spaced(json: Column) -> Column:
+    """A space after each comma and colon outside of strings."""
+    parts = F.regexp_extract_all(json, F.lit(PIECE), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(F.regexp_replace(p, "([,:])", "$1 "))), "")
 
 
-def is_order(text: str | None) -> bool:
-    """Does the first object parse, with an action that is an object?"""
-    first = loads(next(balanced_objects(bare(text or "")), ""))
-    return bool(first) and isinstance(first.get("action"), dict)
+def is_order_answer(text: Column) -> Column:
+    """Is the first whole object valid as it stands, with an action that is an object?"""
+    first = F.get(F.filter(spans(F.coalesce(text, F.lit(""))), lambda c: c["whole"]), F.lit(0))["raw"]
+    return F.coalesce(F.get_json_object(as_json(first), "$.action").startswith("{"), F.lit(False))
 
 
-def mended(text: str) -> str:
-    for pattern, new in ((r"(?<!\\)\\\$", "$"), (r"(?<!\\)\\%", "%"), (r"\\x([0-9a-fA-F]{2})", r"\\u00\1"), (r",(\s*[}\]])", r"\1")):
-        text = re.sub(pattern, new, text)
-    return text
+def quantities(action: Column) -> Column:
+    """Whole quantities by item of a JSON object, as JSON; null if one of them is no number."""
+    entries = F.map_entries(F.from_json(action, "map<string,string>"))
+    whole = F.transform(entries, lambda e: F.struct(e["key"].alias("item"), e["value"].try_cast("double").try_cast("long").alias("n")))
+    return let(whole, lambda w: F.when(F.forall(w, lambda e: e["n"].isNotNull()), listed(w)))
 
 
-def brace_pieces(text: str):
-    """What stands between outermost braces, quotes or not."""
-    depth, start = 0, 0
-    for m in re.finditer("[{}]", text):
-        if m[0] == "{":
-            start, depth = (m.start() if not depth else start), depth + 1
-        elif depth:
-            depth -= 1
-            if not depth:
-                yield text[start : m.end()]
+def listed(found: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(found), lambda e: F.concat(F.lit('"'), e["item"], F.lit('": '), e["n"].cast("string"))), ", "), F.lit("}"))
 
 
-def balanced_front(text: str) -> str | None:
-    """An answer that begins with a quote, given its opening brace and as many closing ones as it needs."""
-    if not text.startswith('"'):
-        return None
-    whole, extra = "{" + text, text.count("}") - text.count("{") - 1
-    if extra > 0:
-        whole = whole.rstrip()
-        for _ in range(extra):
-            whole = whole[:-1].rstrip() if whole.endswith("}") else whole
-        return whole + "}"
-    return whole + "}" * -extra
+def pairs_in(text: Column, pattern: str) -> Column:
+    """Quantities by pattern, the last of each item; null for none."""
+    items, numbers = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    found = F.transform(items, lambda item, i: F.struct(item.alias("item"), F.get(numbers, i).try_cast("long").alias("n"), F.array_contains(F.slice(items, i + 2, F.size(items)), item).alias("again")))
+    last = F.transform(F.filter(found, lambda e: ~e["again"]), lambda e: F.struct(e["item"], e["n"]))
+    return F.when(F.size(items) > 0, listed(last))
 
 
-def tolerant_object(text: str | None) -> str | None:
-    """An answer as a JSON object whatever it takes, or null where only menu_choices is left."""
-    plain = mended(bare(text or "")).strip()
-    outer = plain[plain.find("{") : plain.rfind("}") + 1] if 0 <= plain.find("{") < plain.rfind("}") else None
-    for candidate in (plain, balanced_front(plain), outer):
-        if candidate and (found := loads(mended(candidate))):
-            return json.dumps(found, sort_keys=True)
-    parts = [o for piece in brace_pieces(plain) if (o := loads(mended(piece)))]
-    best = next((o for o in parts if any(k in o for k in EXPECTED)), parts[-1] if parts else None)
-    return json.dumps(best, sort_keys=True) if best else None
+def orders_of(text: Column) -> Column:
+    """The quantities of an answer's action, cut to whole numbers, as JSON.
 
+    Of the first candidate whose action holds nothing but numbers; where there is none, what the text says by pattern of an
+    action, and last of any item that is a number."""
+    found = F.transform(candidates(text), lambda c: quantities(F.get_json_object(as_json(c["raw"]), "$.action")))
+    inside = F.regexp_extract(text, ACTION, 1)
+    return F.coalesce(F.get(F.filter(found, lambda q: q.isNotNull()), F.lit(0)), pairs_in(inside, r'"([^"]+)"\s*:\s*(\d+)'), pairs_in(text, r'"(\d+)"\s*:\s*(\d+)'))
 
-def leaf_values(text: str | None) -> list[str]:
-    """Every value in a JSON text that is not null, as text; whole floats as whole numbers too."""
 
-    def walk(value):
-        if isinstance(value, (dict, list)):
-            for child in value.values() if isinstance(value, dict) else value:
-                yield from walk(child)
-        elif value is not None:
-            shown = str(value).lower() if isinstance(value, bool) else str(value)
-            yield from ([shown] if shown.strip() else []) + ([str(int(value))] if isinstance(value, float) and value.is_integer() else [])
+def objects_of(text: Column) -> Column:
+    """An answer as a JSON object, mended where it must be: the first candidate with a name that marks an answer, else the
+    last; null where only menu_choices is left."""
+    valid = F.filter(F.transform(candidates(text), lambda c: as_json(c["text"])), lambda c: c.isNotNull() & (c != "{}"))
+    marked = lambda all_: F.filter(all_, lambda c: F.arrays_overlap(F.json_object_keys(c), F.array(*map(F.lit, EXPECTED))))
+    return spaced(let(valid, lambda all_: F.coalesce(F.get(marked(all_), F.lit(0)), F.get(all_, F.size(all_) - 1))))
 
-    try:
-        return list(walk(json.loads(text))) if text else []
-    except ValueError:
-        return []
-
-
-def on_batches(f, kind: str):
-    """f over a column of texts, on Arrow batches."""
 
-    def of(text: Column) -> Column:
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(f)
-
-        return F.pandas_udf(run, kind)(text)
-
-    return of
-
-
-orders_of, objects_of, is_order_answer, literals_of = on_batches(order_answer, "string"), on_batches(tolerant_object, "string"), on_batches(is_order, "boolean"), on_batches(leaf_values, "array<string>")
+def literals_of(text: Column) -> Column:
+    """Every value in a JSON text that is neither null nor blank, as text; whole floats as whole numbers too."""
+    leaves = F.filter(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), lambda leaf: ~leaf.rlike(r":$"))
+    plain = lambda leaf: F.when(leaf.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), leaf, F.lit("}")), "$.v")).otherwise(leaf)
+    twin = lambda leaf: F.when(leaf.rlike(r"^-?\d+\.0+$"), F.array(leaf, F.regexp_extract(leaf, r"^-?\d+", 0))).otherwise(F.array(plain(leaf)))
+    shown = F.filter(F.flatten(F.transform(leaves, twin)), lambda v: F.trim(v) != "")
+    return F.when(F.try_parse_json(text).isNotNull(), shown).otherwise(F.array().cast("array<string>"))

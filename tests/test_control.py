@@ -91,12 +91,20 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert tuple(before) == (0.0, 0) and rows.where("onset not between 14 and 22").count() == 0
 
 
-def test_answers():
-    assert N.order_answer('```json\n{"action": {"7": 12.9}}\n```') == '{"7": 12}' and N.order_answer('x "action" : {"7": 3, "9" : 4} y') == '{"7": 3, "9": 4}' and N.order_answer("none") is None
-    assert N.is_order('say {"action": {"7": 1}} now') and not N.is_order('{"action": 3}') and not N.is_order("")
-    assert N.tolerant_object('"rationale": "x", "action": {"7": 1}}') == '{"action": {"7": 1}, "rationale": "x"}'
-    assert N.tolerant_object('{"a": 1,} then {"parameters": {}}') in ('{"parameters": {}}',) and N.tolerant_object("nothing") is None
-    assert N.leaf_values('{"a": [1, 2.0, null, true], "b": {"c": "x"}}') == ["1", "2.0", "2", "true", "x"]
+def test_answers(spark):
+    def of(f, *texts):
+        return [r.x for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", f(F.col("t")).alias("x")).orderBy("k").collect()]
+
+    assert of(N.orders_of, '```json\n{"action": {"7": 12.9}}\n```', 'x "action" : {"7": 3, "9" : 4} y', "none", None, "") == ['{"7": 12}', '{"7": 3, "9": 4}', None, None, None]
+    assert of(N.orders_of, 'prefix {"rationale": "x", "action": {"X1": 12}, "carry', 'nothing parses {"108": 33} here', '{"action": {"X1": "lots"}}', '{not json at all}', '{"action": {"108": 5', '{"rationale": "said \\"hi { no\\" and \\\\ p", "action": {"X1": 2}}') == ['{"X1": 12}', '{"108": 33}', None, None, '{"108": 5}', '{"X1": 2}']
+    assert of(N.is_order_answer, 'say {"action": {"7": 1}} now', '{"action": 3}', "", None, '{"action": {"X1": 5', '{"a": "\\$", "action": {}}', 'lead {"rationale": "no"}') == [True] + [False] * 6
+    front, extra = '"rationale": "x", "action": {"7": 1}}', '"parameters": {"7": {"L": 1}}}}}'
+    assert of(N.objects_of, front, front[:-1], front + "}", extra, '{"a": 1,} then {"parameters": {}}', '{"a": 1} {"b": 2}', "nothing", '{"a": [1, 2,], "b": "\\x41 \\$5",}', '5" pipe: {"action": {"7": 2}}', '"just text"') == [
+        *['{"action": {"7": 1}, "rationale": "x"}'] * 3, '{"parameters": {"7": {"L": 1}}}', '{"parameters": {}}', '{"b": 2}', None, '{"a": [1, 2], "b": "A $5"}', '{"action": {"7": 2}}', None
+    ]
+    assert of(N.literals_of, '{"a": [1, 2.0, null, true], "b": {"c": "x\\n", "d": " "}}', "{", None)[:1] == [["1", "2.0", "2", "true", "x\n"]]
+    chosen = of(N.menu_choices, '"L_method": "recent_N"', '{"L": {"L_method": "recent_N"}, "mu_hat": {"mu_hat_method": "recent_N", "N": 4}, "x": {"sigma_hat_method": "explicit", "sigma_hat_value": 2.5}}')
+    assert (chosen[0].L_n, chosen[1].L_n, chosen[1].mu_hat_n, chosen[1].sigma_hat_value, chosen[0].mu_hat_method) == (5, 4, 4, 2.5, "default")
 
 
 def test_slots_by_big_numbers(spark):
