@@ -61,8 +61,14 @@ def worst_share(frame: DataFrame, value: str, by: Sequence[str], share: float =
     return near.where(F.col(value) < F.col("_cut")).select(*frame.columns).unionByName(at_cut.select(*frame.columns))
 
 
-def cvar(frame: DataFrame, value: str, by: Sequence[str], share: float = 0.1) -> DataFrame:
-    return worst_share(frame, value, by, share).groupBy(*by).agg(F.avg(value).alias("cvar"), F.count("*").alias("rows"))
+def cvar(frame: DataFrame, value: str, by: Sequence[str], share: float = 0.1, copies: int = 1) -> DataFrame:
+    """Mean of the lowest ceil(share n) values of each group; ties at the cut count as often as there is room. Every row
+    counts copies times."""
+    counts = value_ranks(frame, value, by).withColumns({c: F.col(c) * copies for c in ("count", "before")})
+    wanted = F.ceil(F.col("_n") * share)
+    taken = F.greatest(F.lit(0), F.least("count", wanted - F.col("before")))
+    rows = counts.join(counts.groupBy(*by).agg(F.sum("count").alias("_n")), list(by)).withColumn("_k", taken)
+    return rows.where("_k > 0").groupBy(*by).agg((F.sum(F.col("_k") * F.col("value")) / F.sum("_k")).alias("cvar"), F.sum("_k").alias("rows"))
 
 
 def relative_lift(treatment: Column, control: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.operators import evaluation, inference, panel
+from quayside.operators import evaluation, inference, panel, resampling, tails
 
 Z = 1.959963984540054
 KEYS = ("episode", "arm")
@@ -60,21 +60,26 @@ def headroom_key(family: Column, direction: Column) -> Column:
     return F.when(family == "no_change", F.lit(None)).when(family == "demand_level", F.concat(family, F.lit(":"), direction)).otherwise(family)
 
 
-def headroom_lifts(facts: DataFrame, oracle: str, base: str) -> DataFrame:
-    """key, raw_lift, cvar_lift and passes, over episodes that both arms have."""
-    both = F.count_distinct("arm")
+def headroom_pairs(facts: DataFrame, oracle: str, base: str, unit: str = "episode") -> DataFrame:
+    """key, unit, a and b: mean profits of both arms of each unit that has both; units of a seed's replays may be the seed."""
     keyed = facts.where(F.col("arm").isin(oracle, base)).withColumn("key", headroom_key(F.col("family"), F.col("direction"))).where("key is not null")
-    paired = keyed.groupBy("episode").agg(both.alias("_arms")).where("_arms = 2").join(keyed, "episode").select("key", "arm", "episode", "profit")
-    side = lambda c, arm: F.max(F.when(F.col("arm") == arm, F.col(c)))
-    means = paired.groupBy("key", "arm").agg(F.avg("profit").alias("m")).join(evaluation.cvar(paired, "profit", ["key", "arm"]), ["key", "arm"])
-    wide = means.groupBy("key").agg(*[side(c, a).alias(f"{c}_{n}") for c in ("m", "cvar") for n, a in (("t", oracle), ("c", base))])
+    side = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col("profit")))
+    return keyed.groupBy("key", F.col(unit).alias("unit")).agg(side(oracle).alias("a"), side(base).alias("b")).where("a is not null and b is not null")
+
+
+def headroom_lifts(facts: DataFrame, oracle: str, base: str, copies: int = 1) -> DataFrame:
+    """key, raw_lift, cvar_lift and passes, over episodes that both arms have; copies: how often each episode counts."""
+    paired = headroom_pairs(facts, oracle, base).select("key", F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("a").alias("profit")), F.struct(F.lit("c").alias("side"), F.col("b").alias("profit")))).alias("x")).select("key", "x.*")
+    side = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
+    means = paired.groupBy("key", "side").agg(F.avg("profit").alias("m")).join(evaluation.cvar(paired, "profit", ["key", "side"], copies=copies), ["key", "side"])
+    wide = means.groupBy("key").agg(*[side(c, s).alias(f"{c}_{s}") for c in ("m", "cvar") for s in "tc"])
     lifts = wide.select("key", evaluation.relative_lift(F.col("m_t"), F.col("m_c")).alias("raw_lift"), evaluation.relative_lift(F.col("cvar_t"), F.col("cvar_c")).alias("cvar_lift"))
-    return lifts.withColumn("passes", (F.col("raw_lift") >= 0.05) | (F.col("cvar_lift") >= 0.10))
+    return lifts.withColumn("passes", tails.lift_passes(F.col("raw_lift"), F.col("cvar_lift")))
 
 
 def replicated_rule(facts: DataFrame, oracle: str, base: str, copies: int = 4) -> DataFrame:
-    """The lift rule with every episode repeated, as its conditions repeat it."""
-    return headroom_lifts(facts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("episode", F.struct("episode", "_copy")).drop("_copy"), oracle, base)
+    """The lift rule with every episode counted as often as its conditions repeat it."""
+    return headroom_lifts(facts, oracle, base, copies)
 
 
 def cost_points(calls: DataFrame, facts: DataFrame) -> DataFrame:
@@ -88,8 +93,11 @@ def parser_failures(calls: DataFrame) -> DataFrame:
     return calls.groupBy("episode", "arm", "period").agg((F.max_by("outcome", "attempt") == "fallback").alias("failed"))
 
 
-def pilot_metrics(facts: DataFrame, calls: DataFrame, weights: DataFrame, *, treatment: str, base: str, oracle: str, detector: str, call_budget: int, never_recovered: float) -> DataFrame:
-    """metric, estimate, low, high, n. Contrasts are weighted by strata; a metric without a row is not estimable."""
+def pilot_metrics(facts: DataFrame, calls: DataFrame, weights: DataFrame, *, treatment: str, base: str, oracle: str, detector: str, call_budget: int, never_recovered: float, draws: int | None = None) -> DataFrame:
+    """metric, estimate, low, high, n. Contrasts are weighted by strata; a metric without a row is not estimable.
+
+    The frontier's and the lift rule's intervals are bootstraps of whole episodes with so many draws, or null without draws.
+    """
     mine = facts.where(F.col("arm") == treatment)
     per_call = parser_failures(calls.where(F.col("arm") == treatment))
     counts = calls.where(F.col("arm") == treatment).groupBy("episode").agg(F.count("*").alias("_calls"))
@@ -118,6 +126,13 @@ def pilot_metrics(facts: DataFrame, calls: DataFrame, weights: DataFrame, *, tre
     points = inference.pareto(cost_points(calls, facts), "budget", "reward", "arm").agg(F.max(F.when(F.col("arm") == treatment, 1.0).otherwise(0.0)).alias("estimate"))
     frontier = points.select(F.lit("cost_frontier").alias("metric"), "estimate", nothing.alias("low"), nothing.alias("high"), F.lit(1).cast("long").alias("n"))
     headroom = lifts.select(F.lit("insufficient_headroom").alias("metric"), "estimate", nothing.alias("low"), nothing.alias("high"), "n")
+    if draws:
+        cost = calls.groupBy("episode", "arm").agg(F.sum("usd").alias("cost"))
+        units = facts.select("episode", "arm", F.col("profit").alias("reward")).join(cost, ["episode", "arm"], "left").na.fill(0.0, ["cost"])
+        arms = sorted(r.arm for r in facts.select("arm").distinct().collect())  # registered arms
+        ends = resampling.frontier_membership(units, arms, treatment, "episode", draws), tails.lift_interval(headroom_pairs(facts, oracle, base), draws)
+        with_ends = lambda one, interval: one.drop("low", "high").crossJoin(interval.select("low", "high")).select("metric", "estimate", "low", "high", "n")  # noqa: E731  a row each
+        frontier, headroom = with_ends(frontier, ends[0]), with_ends(headroom, ends[1])
     out = bundle.select("metric", "estimate", "low", "high", "n")
     for part in (parser, contrast("profit_lift", treatment, base, "profit"), contrast("negative_profit_lift", treatment, base, "profit"), contrast("lost_sales_reduction", base, treatment, "lost"), plain, frontier, headroom):
         out = out.unionByName(part)

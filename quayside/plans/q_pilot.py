@@ -168,3 +168,26 @@ def frontier_membership(spark, sf):
     cost = run_calls(spark, sf).groupBy("episode", "arm").agg(F.sum("usd").alias("cost"))
     units = facts(spark, sf).select("episode", "arm", F.col("profit").alias("reward")).join(cost, ["episode", "arm"], "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
     return resampling.frontier_membership(units, ["arm1", "arm8", "arm10"], "arm10", "episode")
+
+
+@query(None)
+def headroom_interval(spark, sf):
+    """2,000 redraws of the episodes of each family: the interval of how many families pass the lift rule."""
+    from quayside.operators import tails
+
+    return tails.lift_interval(P.headroom_pairs(facts(spark, sf), "arm8", "arm1"), 2_000)
+
+
+@query(None)
+def headroom_distribution(spark, sf):
+    """10,000 redraws of seeds, of which each has several episodes: how many families pass, with shares."""
+    from quayside.operators import tails
+
+    seeds = facts(spark, sf).withColumn("seed", F.floor(F.col("episode") / 12))
+    return tails.lift_distribution(P.headroom_pairs(seeds, "arm8", "arm1", "seed"), 10_000)
+
+
+@query(None)
+def pilot_intervals(spark, sf):
+    """The metrics of a pilot with an interval of each, the frontier's and the lift rule's by 2,000 redraws of episodes."""
+    return rounded(P.pilot_metrics(facts(spark, sf), run_calls(spark, sf), weights(spark), treatment="arm10", base="arm1", oracle="arm8", detector="arm8", call_budget=12, never_recovered=NEVER, draws=2_000), 5)
