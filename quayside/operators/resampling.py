@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.operators import inference
 from quayside.plans.runtime import materialize
 
 SHARD, PICKS, SEED = 4_096, 4_000_000, 20260927
@@ -111,3 +112,10 @@ def flips(frame: DataFrame, value: str, cluster: str, flips: int = 100_000) -> D
     total = sums.groupBy("shard").applyInPandas(one, "flip long, t double, seen double").groupBy("flip").agg(F.sum("t").alias("t"), F.sum("seen").alias("seen"))
     close = F.greatest(F.lit(1e-9), 1e-12 * F.abs("seen"))
     return total.agg(((F.count_if(F.col("t") >= F.col("seen") - close) + 1) / (F.count("*") + 1)).alias("p_value"), F.count("*").alias("flips"))
+
+
+def cluster_test(frame: DataFrame, value: str, cluster: str, draws: int = 100_000, limit: int = 40) -> DataFrame:
+    """clusters, p_exact, p_random and p: all signings where there are few enough clusters, else random ones."""
+    exact = inference.sign_flip_halves(frame, value, cluster, limit)
+    both = exact.crossJoin(flips(frame, value, cluster, draws).select(F.col("p_value").alias("p_random")))  # a row each
+    return both.select("clusters", "p_exact", "p_random", F.coalesce("p_exact", "p_random").alias("p"))

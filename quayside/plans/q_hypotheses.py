@@ -91,6 +91,24 @@ def cluster_sign_flip(spark, sf):
     return rounded(H.cluster_flips(sums, "difference", "cluster", 500), 6)
 
 
+# all pairs of a signing of the one half and one of the other
+@query(with_(ER, PD) + """, cs AS (SELECT unit % 24 AS cluster, CAST(SUM(CAST(difference AS DECIMAL(18,2))) AS DOUBLE) AS s, COUNT(*) AS n FROM pd GROUP BY 1), nb AS (SELECT s, n, CAST(ROW_NUMBER() OVER (ORDER BY s, cluster) - 1 AS INT) AS i FROM cs),
+ mk AS (SELECT CAST(range AS INT) AS mask FROM range(4096)), ha AS (SELECT mask, SUM(CASE WHEN (mask >> (i // 2)) & 1 = 1 THEN s ELSE -s END) AS x FROM nb, mk WHERE i % 2 = 0 GROUP BY 1), hb AS (SELECT mask, SUM(CASE WHEN (mask >> (i // 2)) & 1 = 1 THEN s ELSE -s END) AS x FROM nb, mk WHERE i % 2 = 1 GROUP BY 1),
+ ob AS (SELECT SUM(s) - 1e-9 * GREATEST(SUM(n), ABS(SUM(s))) AS goal, COUNT(*) AS clusters FROM nb) SELECT ANY_VALUE(clusters) AS clusters, COUNT(*) AS signings, ROUND(COUNT(*) FILTER (ha.x + hb.x >= goal) / COUNT(*), 9) AS p_exact FROM ha, hb, ob""")
+def signflip_halves(spark, sf):
+    from quayside.operators import inference as I
+
+    d = differences(spark, sf).select((F.col("unit") % 24).alias("cluster"), F.col("difference").cast("decimal(18,2)").alias("difference"))
+    return rounded(I.sign_flip_halves(d, "difference", "cluster"), 9)
+
+
+@query(None)
+def cluster_test(spark, sf):
+    """All signings of 40 clusters beside 100,000 random ones."""
+    d = differences(spark, sf).select((F.col("unit") % 40).alias("cluster"), "difference")
+    return rounded(R.cluster_test(d, "difference", "cluster"), 6)
+
+
 @query(None)
 def unit_sign_flip(spark, sf):
     """100,000 flips of the independent units: too many for SQL to enumerate."""
