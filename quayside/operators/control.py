@@ -198,13 +198,8 @@ def persisted(rows: DataFrame, column: str, expiry: int, keys: Sequence[str] = (
 # Proposals and their verification.
 
 
-def verified_proposals(panel: DataFrame, proposals: DataFrame, mean: float, sd: float, alpha: float, refute_below: float, streak: int, *, keys: Sequence[str] = ("episode",)) -> DataFrame:
-    """keys, proposal, tau, active_from and ended_at of each proposal (proposal, tau, multiplier, lifetime).
-
-    The e-process bets on values after tau only: the log likelihood ratio of demand about multiplier times the mean
-    against the mean. Activation is the first crossing of the proposal's share of alpha, halved from one to the next; a
-    streak of evidence below refute_below refutes; a lifetime that runs out ends it first.
-    """
+def evidence(panel: DataFrame, proposals: DataFrame, mean: float, sd: float, alpha: float, refute_below: float, streak: int, keys: Sequence[str]) -> DataFrame:
+    """keys, proposal, tau and the first periods in which a proposal crossed, was refuted and expired."""
     shift = (F.col("multiplier") - 1) * mean
     x = F.col("demand") - mean
     later = proposals.join(panel.select(*keys, "period", "demand"), list(keys)).where(F.col("period") > F.col("tau"))
@@ -214,12 +209,33 @@ def verified_proposals(panel: DataFrame, proposals: DataFrame, mean: float, sd:
     alive = F.col("period") - F.col("tau") <= F.col("lifetime")
     low = F.sum(F.when(F.col("log_e") < refute_below, 1).otherwise(0)).over(over([*keys, "proposal"], frame=(-(streak - 1), 0))) >= streak
     rows = scored.withColumns({"crossed": alive & (F.col("log_e") >= share), "refuted": alive & low})
-    ends = rows.groupBy(*keys, "proposal", "tau").agg(F.min(F.when(F.col("crossed"), F.col("period"))).alias("crossed_at"), F.min(F.when(F.col("refuted"), F.col("period"))).alias("refuted_at"), F.min(F.when(~alive, F.col("period"))).alias("expired_at"))
+    return rows.groupBy(*keys, "proposal", "tau").agg(F.min(F.when(F.col("crossed"), F.col("period"))).alias("crossed_at"), F.min(F.when(F.col("refuted"), F.col("period"))).alias("refuted_at"), F.min(F.when(~alive, F.col("period"))).alias("expired_at"))
+
+
+def verified_proposals(panel: DataFrame, proposals: DataFrame, mean: float, sd: float, alpha: float, refute_below: float, streak: int, *, keys: Sequence[str] = ("episode",)) -> DataFrame:
+    """keys, proposal, tau, active_from and ended_at of each proposal (proposal, tau, multiplier, lifetime).
+
+    The e-process bets on values after tau only: the log likelihood ratio of demand about multiplier times the mean
+    against the mean. Activation is the first crossing of the proposal's share of alpha, halved from one to the next; a
+    streak of evidence below refute_below refutes; a lifetime that runs out ends it first.
+    """
+    ends = evidence(panel, proposals, mean, sd, alpha, refute_below, streak, keys)
     gone = F.least("refuted_at", "expired_at")
     active = F.when(gone.isNull() | (F.col("crossed_at") < gone), F.col("crossed_at"))
     return ends.select(*keys, "proposal", "tau", active.alias("active_from"), F.coalesce(gone, F.lit(None).cast("int")).alias("ended_at"))
 
 
+def lifecycle_events(panel: DataFrame, proposals: DataFrame, mean: float, sd: float, alpha: float, refute_below: float, streak: int, *, keys: Sequence[str] = ("episode",)) -> DataFrame:
+    """keys, proposal, tau, period and event: conditioned in tau, then activated, and refuted or expired, whichever is first."""
+    ends = evidence(panel, proposals, mean, sd, alpha, refute_below, streak, keys)
+    gone = F.least("refuted_at", "expired_at")
+    event = lambda period, name: F.struct(period.cast("int").alias("period"), name.alias("event"))
+    after = F.array(event(F.when(gone.isNull() | (F.col("crossed_at") < gone), F.col("crossed_at")), F.lit("activated")), event(gone, F.when(F.col("refuted_at") <= gone, "refuted").otherwise("expired")))
+    later = ends.select(*keys, "proposal", "tau", F.explode(after).alias("e")).select(*keys, "proposal", "tau", "e.*").where("period is not null")
+    first = proposals.join(panel.select(*keys, F.col("period").alias("tau")), [*keys, "tau"]).select(*keys, "proposal", "tau", F.col("tau").cast("int").alias("period"), F.lit("conditioned").alias("event"))
+    return first.unionByName(later)
+
+
 def rolled_back(panel: DataFrame, proposals: DataFrame, z: float = 2.0, *, keys: Sequence[str] = ("episode",)) -> DataFrame:
     """Immediate activation with a guard: active from tau; two values in a row beyond z deviations on the wrong side of the
     forecast at tau end it. proposals: keys, proposal, tau, direction."""
@@ -232,16 +248,14 @@ def rolled_back(panel: DataFrame, proposals: DataFrame, z: float = 2.0, *, keys:
 
 
 def active_spans(panel: DataFrame, spans: DataFrame, keys: Sequence[str] = ("episode",)) -> DataFrame:
-    """panel with proposal, the latest proposal that is active in the period, or null. Spans start once and end once, so the
-    latest start and the latest end before a period tell, without a join on ranges."""
+    """panel with proposal, the latest proposal that is active in the period, or null. Spans start once and end once: the
+    latest start up to a period and that proposal's own end tell, without a join on ranges."""
     kind = panel.schema["period"].dataType
-    point = lambda at, on: spans.where(f"active_from is not null and {at} is not null").select(*keys, F.col(at).cast(kind).alias("period"), "proposal", F.lit(on).alias("_on"))
-    changes = point("active_from", True).unionByName(point("ended_at", False)).groupBy(*keys, "period").agg(F.max(F.when(F.col("_on"), F.col("proposal"))).alias("_start"), F.sort_array(F.collect_set(F.when(~F.col("_on"), F.col("proposal")))).alias("_ends"))
-    joined = panel.join(changes, [*keys, "period"], "left")
-    w = over(keys, frame=UP_TO)
-    started = F.max("_start").over(w)
-    ended = F.array_distinct(F.flatten(F.collect_list(F.coalesce("_ends", F.array().cast(changes.schema["_ends"].dataType))).over(w)))
-    return joined.withColumn("_s", started).withColumn("proposal", F.when(~F.array_contains(ended, F.col("_s")), F.col("_s"))).drop("_s", "_start", "_ends")
+    starts = spans.where("active_from is not null").groupBy(*keys, F.col("active_from").cast(kind).alias("period")).agg(F.max(F.struct("proposal", F.col("ended_at").alias("end"))).alias("_start"))
+    latest = F.max("_start").over(over(keys, frame=UP_TO))
+    rows = panel.join(starts, [*keys, "period"], "left").withColumn("_s", latest)
+    live = F.col("_s.end").isNull() | (F.col("period") < F.col("_s.end"))
+    return rows.withColumn("proposal", F.when(live, F.col("_s.proposal"))).drop("_s", "_start")
 
 
 # The clairvoyant bound.

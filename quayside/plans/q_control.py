@@ -138,6 +138,12 @@ def verified_proposals(spark, sf):
     return verified(spark, sf)
 
 
+@query(f"WITH {DP}, {PL}, {VP} SELECT pl.episode, pl.proposal, pl.tau, CAST(pl.tau AS INT) AS period, 'conditioned' AS event FROM pl JOIN dp ON dp.episode = pl.episode AND dp.period = pl.tau UNION ALL SELECT episode, proposal, tau, active_from, 'activated' FROM sp2 WHERE active_from IS NOT NULL UNION ALL SELECT sp2.episode, sp2.proposal, sp2.tau, ended_at, CASE WHEN ended_at - sp2.tau > lifetime THEN 'expired' ELSE 'refuted' END FROM sp2 JOIN pl ON pl.episode = sp2.episode AND pl.proposal = sp2.proposal WHERE ended_at IS NOT NULL")
+def proposal_events_log(spark, sf):
+    """What happens to each proposal, in the order in which it happens."""
+    return C.lifecycle_events(demand_panel(spark, sf), plans(spark, sf), MU, SD, 0.05, -1.0, 3)
+
+
 RB = """rb AS (SELECT pl.episode, proposal, tau, d.period, COALESCE(CASE WHEN direction = 'demand_up' THEN d.demand < mean - 1.0 * sd ELSE d.demand > mean + 1.0 * sd END, false) AS wrong FROM pl JOIN fk ON fk.episode = pl.episode AND fk.period = tau JOIN dp d ON d.episode = pl.episode AND d.period > tau),
  sp3 AS (SELECT episode, proposal, tau, tau AS active_from, MIN(period) FILTER (wrong AND before) AS ended_at FROM (SELECT *, COALESCE(LAG(wrong) OVER (PARTITION BY episode, proposal ORDER BY period), false) AS before FROM rb) GROUP BY 1, 2, 3)"""
 
