@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quayside.operators import mechanisms as X
 from quayside.operators import mixture as M
 from quayside.operators import supply
 from quayside.operators.panel import running_forecast
@@ -127,3 +128,42 @@ def hedged_targets(spark, sf):
     forecasts = running_forecast(panel, "demand", ["episode"]).select("episode", F.col("period").alias("t"), F.lit(LEAD).alias("lead"), "mean", "sd")
     out = M.hedge(M.demand_posterior(panel, made, LIFETIME), M.lead_posterior(receipts(spark, sf), made, LIFETIME), evidence, forecasts, LEVEL)
     return out.select("episode", "t", F.round("shock_mass", 4).alias("shock_mass"), "top", F.round("target", 2).alias("target"))
+
+
+OFFSETS, AROUND = (0, 10, 20), (-3, -2, -1, 0, 1)
+# an order's landing: the first period whose clock, which pauses stop, is the order's clock and its lead time
+LA = """ck AS (SELECT *, COALESCE(SUM(CASE WHEN pause THEN 0 ELSE 1 END) OVER (PARTITION BY episode ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clock FROM sp),
+ la AS (SELECT o.episode, o.period, CASE WHEN MIN(u.period) IS NOT NULL THEN GREATEST(o.period, MIN(u.period)) END AS landing FROM ck o LEFT JOIN ck u ON u.episode = o.episode AND u.clock = o.clock + o.lead_time GROUP BY 1, 2)"""
+ON = """on_ AS (SELECT episode, CAST(14 + episode % 9 AS INT) AS onset, CASE WHEN episode % 2 = 0 THEN 1.5::DOUBLE ELSE 0.6 END AS m, 3 AS duration FROM dp WHERE period = 1)"""
+AFTER = "(SELECT MIN(z.landing) FROM la z WHERE z.episode = o.episode AND z.period >= onset + {k})"
+SERVED = "CAST(CASE WHEN {at} IS NULL THEN 0 ELSE GREATEST(0, onset + 2 - GREATEST(onset, {at}) + 1) END AS INT)"
+OWN = "(SELECT landing FROM la z WHERE z.episode = o.episode AND z.period = onset + {k})"
+
+
+@query(with_(DP, SP, LA, ON) + "SELECT o.episode, onset, " + ", ".join(f"ROUND(m * (SELECT AVG(demand) FROM dp d WHERE d.episode = o.episode AND d.period < onset + {k}) / (500 * m), 6) AS ratio_{k}" for k in OFFSETS)
+       + ", " + ", ".join(f"{OWN.format(k=k)} AS lands_{'m' if k < 0 else 'p'}{abs(k)}" for k in AROUND) + f", {SERVED.format(at=OWN.format(k=0))} AS own, {SERVED.format(at=AFTER.format(k=0))} AS any, {SERVED.format(at=OWN.format(k=-1))} AS own_before, (SELECT COUNT(landing) FROM la z WHERE z.episode = o.episode AND z.period BETWEEN onset AND onset + 2) AS landed, {OWN.format(k=3)} AS after FROM on_ o")
+def mechanism_facts(spark, sf):
+    """For each episode's shock: the level its forecast implies over the true one, where orders around the onset land, and how
+    much of the shock orders can still serve."""
+    panel, sp = demand_panel(spark, sf), supply_panel(spark, sf)
+    onsets = panel.where("period = 1").select("episode", (14 + F.col("episode") % 9).cast("int").alias("onset"), F.when(F.col("episode") % 2 == 0, 1.5).otherwise(0.6).alias("multiplier")).withColumn("level", 500 * F.col("multiplier"))
+    clock = X.landing_clock(supply.landing_with_pause(sp).join(sp.select("episode", "period"), ["episode", "period"], "right"))
+    windows = onsets.select("episode", F.explode(F.array(F.col("onset"), F.col("onset") - 1)).alias("period"), F.col("onset").alias("first"), (F.col("onset") + 2).alias("last"))
+    served = X.reach(clock, windows).groupBy("episode").agg(*[F.max(F.when((F.col("period") == F.col("first")) == at, F.col(c))).alias(n) for c, at, n in (("own", True, "own"), ("any", True, "any"), ("own", False, "own_before"))])
+    ratios = X.implied_ratios(panel, onsets, OFFSETS)
+    out = onsets.select("episode", "onset").join(ratios, "episode").join(X.landings_around(clock, onsets, AROUND), "episode").join(served, "episode").join(X.window_landings(clock, onsets, F.lit(3)), "episode")
+    return out.withColumns({f"ratio_{k}": F.round(f"ratio_{k}", 6) for k in OFFSETS})
+
+
+@query(with_(DP) + """SELECT episode, period, 'both' AS side, 'demand' AS differing FROM dp WHERE demand > 0 AND episode * 1000 + period >= 17 * 1000 + 40 ORDER BY episode, period LIMIT 1""")
+def replay_difference(spark, sf):
+    """A run and its replay, in which one episode differs from a period on: the first differing row, by their digest trees."""
+    from quayside.plans.runtime import fresh_folder
+    from quayside.sources import digests
+
+    panel = demand_panel(spark, sf)
+    changed = (F.col("demand") > 0) & (F.col("episode") * 1000 + F.col("period") >= 17 * 1000 + 40)
+    left, right = fresh_folder(spark, "run"), fresh_folder(spark, "replay")
+    bounds = digests.store_run(panel, left, "episode")
+    digests.store_run(panel.withColumn("demand", F.when(changed, F.col("demand") + 1).otherwise(F.col("demand"))), right, "episode", bounds=bounds)
+    return digests.first_difference(spark, left, right, ["episode", "period"]).withColumn("differing", F.array_join("differing", ","))

@@ -29,13 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[sc.applicationId]
 
 
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's name in the shared folder; it counts as a table that was written."""
+    path = f"{shared_dir(spark).rstrip('/')}/quayside/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quayside/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
