@@ -53,6 +53,8 @@ IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB"
 LABELERS = ("pattern", "gazetteer", "context", "structure", "border", "placeholder")
 #: Where estimation starts: for each labeler, probabilities of votes 1, 0, -1 on true spans, then on false ones.
 START = ((0.75, 0.2, 0.05, 0.25, 0.3, 0.45), (0.6, 0.35, 0.05, 0.2, 0.35, 0.45), (0.45, 0.5, 0.05, 0.1, 0.6, 0.3), (0.5, 0.45, 0.05, 0.3, 0.4, 0.3), (0.6, 0.25, 0.15, 0.45, 0.25, 0.3), (0.01, 0.96, 0.03, 0.01, 0.69, 0.3))
+#: Spans that START weighs as much as, most that a kind as a whole is trusted or doubted at first (log odds), turns.
+PRIOR, MOST, TURNS = 20.0, 1.0, 10
 CONTEXT_CHARS, AFTER_CHARS, PREFIX_BLOCK = 40, 24, 256
 #: Features of the classifier, with their numbers of values.
 FEATURES = {"length": 4, "shape": 16, "word_before": 16, "word_after": 16}
@@ -217,68 +219,70 @@ def decode(code: int) -> list[int]:
     return [code // 3**j % 3 - 1 for j in range(len(LABELERS))]
 
 
-def estimate(counts: dict[tuple[int, int], int], rounds: int = 60) -> tuple[dict[int, float], dict[int, list[dict]]]:
-    """Expectation-maximisation over counts of (kind, votes): for each kind the share of true spans, and for each labeler
-    the probabilities of its votes on false and true spans. START weighs as much as 20 spans and a fifth of the kind's."""
-    start = [{y: dict(zip((1, 0, -1), row[3 * (1 - y) : 3 * (1 - y) + 3], strict=True)) for y in (0, 1)} for row in START]
-    share, tables = {}, {}
-    for kind in sorted({k for k, _ in counts}):
-        rows = [(decode(c), n) for (k, c), n in counts.items() if k == kind]
-        total = sum(n for _, n in rows)
-        prior, at, now = 20 + total / 5, 0.5, start
-        for _ in range(rounds):
-            post = []
-            for vote, _ in rows:
-                like = [(at if y else 1 - at) * math.prod(t[y][v] for t, v in zip(now, vote, strict=True)) for y in (0, 1)]
-                post.append(like[1] / (like[0] + like[1]))
-            at = (sum(n * p for (_, n), p in zip(rows, post, strict=True)) + prior / 2) / (total + prior)
-            new = []
-            for j, first in enumerate(start):
-                mass = {y: {v: prior * first[y][v] for v in (1, 0, -1)} for y in (0, 1)}
-                for (vote, n), p in zip(rows, post, strict=True):
-                    mass[1][vote[j]] += n * p
-                    mass[0][vote[j]] += n * (1 - p)
-                new.append({y: {v: m / sum(mass[y].values()) for v, m in mass[y].items()} for y in (0, 1)})
-            now = new
-        share[kind], tables[kind] = at, now
-    return share, tables
-
-
 def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def vote_score(span: Column, share: dict[int, float], tables: dict[int, list[dict]]) -> Column:
-    """The log odds that a span is true, given its votes: one number for each kind, labeler and vote."""
-    size = 3 * len(LABELERS)
-    flat = [math.log(tables[k][j][1][v] / tables[k][j][0][v]) if k in tables else 0.0 for k in range(len(KINDS)) for j in range(len(LABELERS)) for v in (-1, 0, 1)]
-    odds, first = F.lit(flat), F.lit([logit(share[k]) if k in share else 0.0 for k in range(len(KINDS))])
-    vote = lambda j: F.pmod(F.floor(span["votes"] / 3**j).cast("int"), F.lit(3))
-    return reduce(lambda s, j: s + odds[span["kind"] * size + 3 * j + vote(j)], range(len(LABELERS)), first[span["kind"]])
-
-
-def feature_odds(spans: DataFrame, share: dict, tables: dict, smoothing: float = 20.0) -> list[float]:
-    """Log odds of each value of each feature, by kind, from the posteriors of all spans; values seen seldom count little."""
-    sizes = list(FEATURES.values())
-    p = 1 / (1 + F.exp(-vote_score(F.col("s"), share, tables)))
-    each = spans.select(F.col("s.kind").alias("kind"), p.alias("p"), F.posexplode("s.features").alias("feature", "value"))
-    rows = each.groupBy("kind", "feature", "value").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false")).collect()  # a row for each kind and value at most
-    totals: dict = {}
-    for r in rows:
-        t = totals.setdefault((r.kind, r.feature), [0.0, 0.0])
-        t[0], t[1] = t[0] + r.true, t[1] + r.false
-    odds = [0.0] * (len(KINDS) * sum(sizes))
-    for r in rows:
-        true, false = totals[r.kind, r.feature]
-        both = true + false
-        odds[r.kind * sum(sizes) + sum(sizes[: r.feature]) + r.value] = math.log((r.true + smoothing * true / both) / (true + smoothing) * (false + smoothing) / (r.false + smoothing * false / both)) if true and false else 0.0
-    return odds
-
-
-def score(span: Column, share: dict, tables: dict, odds: list[float]) -> Column:
-    """The classifier: log odds of votes and features together."""
-    sizes, flat = list(FEATURES.values()), F.lit(odds)
-    return reduce(lambda s, f: s + flat[span["kind"] * sum(sizes) + sum(sizes[:f]) + span["features"][f]], range(len(sizes)), vote_score(span, share, tables))
+class Model:
+    """For each kind the log odds of a true span: a first number, one for each labeler's vote, one for each feature's value."""
+
+    def __init__(self):
+        self.first = [0.0] * len(KINDS)
+        self.votes = [[[math.log(row[2 - v] / row[5 - v]) for v in range(3)] for row in START] for _ in KINDS]
+        self.values = [[[0.0] * n for n in FEATURES.values()] for _ in KINDS]
+
+    def begin(self, counts: dict[tuple[int, int], int]) -> None:
+        """START's evidence relative to its mean over the kind's spans, and of that mean no more than MOST: a vote that all
+        spans of a kind get tells none of them apart, however much START makes of it."""
+        for kind in {k for k, _ in counts}:
+            rows = [(sum(self.votes[kind][j][v + 1] for j, v in enumerate(decode(c))), n) for (k, c), n in counts.items() if k == kind]
+            mean = sum(x * n for x, n in rows) / sum(n for _, n in rows)
+            self.first[kind] = max(-MOST, min(MOST, mean)) - mean
+
+    def score(self, span: Column) -> Column:
+        """The classifier: log odds of votes and features together."""
+        sizes = list(FEATURES.values())
+        flat = lambda nested: F.lit([x for kind in nested for row in kind for x in row])
+        votes, values = flat(self.votes), flat(self.values)
+        vote = lambda j: F.pmod(F.floor(span["votes"] / 3**j).cast("int"), F.lit(3))
+        out = F.lit(self.first)[span["kind"]]
+        for j in range(len(LABELERS)):
+            out = out + votes[span["kind"] * (3 * len(LABELERS)) + 3 * j + vote(j)]
+        for f in range(len(sizes)):
+            out = out + values[span["kind"] * sum(sizes) + sum(sizes[:f]) + span["features"][f]]
+        return out
+
+    def learn(self, rows: list) -> None:
+        """From sums of posteriors by (kind, place, value); places are the labelers, then the features. Reliabilities lean on
+        START with PRIOR spans, values that are seen seldom count little."""
+        sums: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
+        for r in rows:
+            sums.setdefault((r.kind, r.place), {})[r.value] = (r.true, r.false)
+        for (kind, place), found in sums.items():
+            true, false = (sum(x[y] for x in found.values()) for y in (0, 1))
+            if not place:
+                self.first[kind] = math.log((true + PRIOR / 2) / (false + PRIOR / 2))
+            if place < len(LABELERS):
+                row = START[place]
+                seen = [found.get(v, (0.0, 0.0)) for v in range(3)]
+                self.votes[kind][place] = [math.log((t + PRIOR * row[2 - v]) / (true + PRIOR) * (false + PRIOR) / (f + PRIOR * row[5 - v])) for v, (t, f) in enumerate(seen)]
+            elif true and false:
+                both = true + false
+                for value, (t, f) in found.items():
+                    self.values[kind][place - len(LABELERS)][value] = math.log((t + PRIOR * true / both) / (true + PRIOR) * (false + PRIOR) / (f + PRIOR * false / both))
+
+
+def trained(spans: DataFrame) -> Model:
+    """Expectation-maximisation over all spans (column s): votes and features are views of the same hidden truth, so that
+    words which go with doubtful votes speak against spans on which the labelers are silent."""
+    model = Model()
+    model.begin({(r[0], r[1]): r[2] for r in spans.groupBy("s.kind", "s.votes").count().collect()})  # at most kinds x 3^labelers rows
+    vote = [F.pmod(F.floor(F.col("s.votes") / 3**j), F.lit(3)).cast("int") for j in range(len(LABELERS))]
+    for _ in range(TURNS):
+        p = 1 / (1 + F.exp(-model.score(F.col("s"))))
+        each = spans.select(F.col("s.kind").alias("kind"), p.alias("p"), F.posexplode(F.concat(F.array(*vote), "s.features")).alias("place", "value"))
+        model.learn(each.groupBy("kind", "place", "value").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false")).collect())  # at most a row for each number of the model
+    return model
 
 
 def span_text(spans: Column) -> Column:
@@ -289,10 +293,8 @@ def span_text(spans: Column) -> Column:
 def pii_report(docs: DataFrame, *, threshold: float = 0.5, **columns: str) -> DataFrame:
     found = materialize(candidates(docs, **columns), "pii-candidates")
     spans = found.select(F.explode("spans").alias("s"))
-    seen = spans.groupBy("s.kind", "s.votes").count().collect()  # at most kinds x 3^labelers rows
-    share, tables = estimate({(r[0], r[1]): r[2] for r in seen})
-    odds = feature_odds(spans, share, tables)
-    added = lambda s: (s["kind"] >= BASE) & (score(s, share, tables, odds) >= logit(threshold))
+    model = trained(spans)
+    added = lambda s: (s["kind"] >= BASE) & (model.score(s) >= logit(threshold))
     base = F.filter("spans", lambda s: s["base"])
     n = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", *[n(k) for k in range(BASE)], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.filter("spans", lambda s: s["base"] | added(s))).alias("spans"))

@@ -3,13 +3,14 @@
 import base64
 import json
 import os
+import random
 import re
 import time
 
 import numpy as np
 import pytest
 
-from quayside.llm import license_scan, lm_score, secrets
+from quayside.llm import license_scan, lm_score, pii, secrets
 from tests.llm.test_brute_force import tlv
 
 
@@ -93,3 +94,35 @@ def test_secrets_take_linear_time():
     for text in ("-----BEGIN PRIVATE KEY-----\n" * 20_000, "a" * 400_000, ("M" * 64 + "\n") * 6_000, "abcdefghijklmn." * 30_000, "\\n" * 200_000):
         secrets.report_row(text)
     assert time.time() - began < 10
+
+
+def test_pii_classifier_beats_the_vote(spark):
+    """Numbers of the same form, which no labeler tells apart where the words around give no cue: the classifier learns from
+    the cued ones which words go with which."""
+    rng, rows, want = random.Random(9), [], {}
+    digit = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    for k in range(1200):
+        true, cue = rng.random() < 0.5, rng.random() < 0.5
+        lead = ("please call, " if true else "the order, ") if cue else "so then "
+        rows.append((k, f"{'plain words go here ' * rng.randint(0, 3)}{lead}{rng.choice(('ring', 'dial') if true else ('lot', 'bin'))} {rng.choice('23')}1{rng.choice('2346')}-{rng.choice('23467')}{digit(2)}-{digit(4)}{rng.choice((' and more', '.', ' ;'))}"))
+        want[k] = (true, cue)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: "phone_local" in r.spans for r in pii.pii_report(docs).collect()}
+    votes = {r.doc_id: any(pii.KINDS[s.kind] == "phone_local" and sum(pii.decode(s.votes)) > 0 for s in r.spans) for r in pii.candidates(docs).collect()}
+    right = lambda told, cue: sum(told[k] == t for k, (t, c) in want.items() if c == cue) / sum(c == cue for _, c in want.values())
+    assert right(found, False) > 0.9 > 0.6 > right(votes, False) and right(found, True) > 0.9 > right(votes, True)
+
+
+def test_lm_ranks_foreign_text_and_junk_below_the_corpus(spark):
+    """Trained on plain text, sentences of its language rank above other scripts, symbols and shuffled letters."""
+    words = "the cat sat on a mat and then it ran to the old house by the river where some men had been at work all day".split()
+    rng = random.Random(1)
+    docs = [(k, " ".join(rng.choices(words, k=60)) + ".") for k in range(150)]
+    good = ["the old men had been at the river all day.", "then it ran to the house and sat on a mat."]
+    bad = ["мир и труд на земле для всех людей", "漢字仮名交じり文の例です", "%%&&** ###@@ ~~^^ ||<<>>", "tch dlo nme adh nebe ta eht vrier lal yad.", "QZXJ VWKQ ZZQX JJVQ"]
+    network_docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = lm_score.alphabet(network_docs)
+    network = lm_score.train(lm_score.window_counts(network_docs, found))
+    probe = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_probability for r in lm_score.score(probe, network, found).collect()}
+    assert min(got[k] for k in range(len(good))) > 0.5 + max(got[k] for k in range(len(good), len(good + bad)))
