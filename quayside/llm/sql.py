@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayside.llm.license_scan import TEMPLATES
+from quayside.llm.license_scan import SPECIFIC, TEMPLATES
 
 WORDS = r"REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -35,12 +35,16 @@ OP9 = f"""WITH RECURSIVE w AS (SELECT doc_id, REGEXP_EXTRACT_ALL(COALESCE(TRANSL
 NOTICES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in TEMPLATES.items())
 LOW = r"REGEXP_EXTRACT_ALL(LOWER(COALESCE(text, '')), '[\p{L}\p{N}]+')"
 
+PAIRS = ", ".join(f"('{s}', '{g}')" for s, g in SPECIFIC)
+
 # windows of twice a size class at steps of once; a shingle at position p is in windows p // width and the one before
 OP10 = f"""WITH tp(license, text) AS (VALUES {NOTICES}), tw AS (SELECT license, {LOW} AS ws FROM tp), ts AS (SELECT DISTINCT license, ARRAY_TO_STRING(ws[i + 1 : i + 5], ' ') AS g FROM (SELECT license, ws, UNNEST(RANGE(LEN(ws) - 4)) AS i FROM tw)),
  tn AS (SELECT license, COUNT(*) AS n, CAST(POW(2, CEIL(LOG2(COUNT(*)))) AS BIGINT) AS width FROM ts GROUP BY 1), dw AS (SELECT doc_id, {LOW} AS ws FROM documents),
  ds AS (SELECT doc_id, i, ARRAY_TO_STRING(ws[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, ws, UNNEST(RANGE(LEN(ws) - 4)) AS i FROM dw WHERE LEN(ws) >= 5)),
- hits AS (SELECT doc_id, ts.license, ds.g, n, i // width - back AS win FROM ds JOIN ts USING (g) JOIN tn ON tn.license = ts.license, (SELECT UNNEST([0, 1]) AS back) WHERE i // width - back >= 0)
- SELECT doc_id, license, ROUND(MAX(share), 6) AS containment FROM (SELECT doc_id, license, win, COUNT(DISTINCT g) / MAX(n) AS share FROM hits GROUP BY 1, 2, 3) WHERE share >= 0.8 GROUP BY 1, 2"""
+ hits AS (SELECT doc_id, ts.license, ds.g, n, i // width - back AS win FROM ds JOIN ts USING (g) JOIN tn ON tn.license = ts.license, (SELECT UNNEST([0, 1]) AS back) WHERE i // width - back >= 0),
+ best AS (SELECT doc_id, license, MAX(share) AS c FROM (SELECT doc_id, license, win, COUNT(DISTINCT g) / MAX(n) AS share FROM hits GROUP BY 1, 2, 3) WHERE share >= 0.8 GROUP BY 1, 2),
+ ch AS (SELECT special, general, (1 + (SELECT COUNT(*) FROM ts a JOIN ts b ON b.g = a.g WHERE a.license = special AND b.license = general) / (SELECT n FROM tn WHERE license = special)) / 2 AS least FROM (VALUES {PAIRS}) v(special, general))
+ SELECT doc_id, license, ROUND(c, 6) AS containment FROM best x WHERE NOT EXISTS (SELECT 1 FROM best y, ch WHERE y.doc_id = x.doc_id AND ((x.license = general AND y.license = special AND y.c >= least * x.c) OR (x.license = special AND y.license = general AND x.c < least * y.c)))"""
 
 # sources that are capped are a prefix by cap per weight: what is left is shared by the weights of the rest
 OP1 = rf"""WITH d AS (SELECT doc_id, source, CAST(LEN({WORDS}) AS BIGINT) AS size, SUBSTR(MD5('17:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || MD5(COALESCE(text, ''))), 1, 15) AS h FROM documents),
