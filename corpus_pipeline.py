@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm import langid, minhash, mixing, packing, secrets
-from quayside.plans.runtime import discard, materialize, written
+from quayside.plans.runtime import discard, materialize, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. A stage's own tables and its input are deleted once its output is written."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with scratch() as made:
+            docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{k}")
-            discard(spark, before)
+            with scratch() as output:
+                docs = materialize(docs, f"pipeline-{k}")
+            discard(spark, made + stored)
+            stored = output
     return docs

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-#: Folders of the tables written so far, in order.
-_WRITTEN: list[str] = []
+#: Where the running code's tables are noted, if they are.
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder's name in the shared folder; it counts as a table that was written."""
+    """A new folder's name in the shared folder; inside scratch() it is one of the block's."""
     path = f"{shared_dir(spark).rstrip('/')}/quayside/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if (made := _SCRATCH.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -48,23 +52,27 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def written() -> int:
-    """How many tables have been written so far: a mark for discard."""
-    return len(_WRITTEN)
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders of the tables written inside the block, by the code that runs in it and by no other."""
+    made: list[str] = []
+    mark = _SCRATCH.set(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.reset(mark)
 
 
-def discard(spark: SparkSession, since: int, keep_last: bool = True) -> None:
-    """Delete the tables written since a mark, but for the last one; frames that still read them are lost with them."""
-    gone = _WRITTEN[since:-1] if keep_last else _WRITTEN[since:]
-    for path in gone:
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete tables; frames that still read them are lost with them."""
+    for path in made:
         remove(spark, path)
-    _WRITTEN[since:] = _WRITTEN[-1:] if keep_last and _WRITTEN[since:] else []
+    made.clear()
 
 
 def clear(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results that were not written yet are lost with them."""
     remove(spark, f"{shared_dir(spark).rstrip('/')}/quayside/{spark.sparkContext.applicationId}")
-    _WRITTEN.clear()
 
 
 def let(value: Column, body) -> Column:
