@@ -28,14 +28,14 @@ from quayside.plans.runtime import materialize
 
 #: Tokens seen on each side, numbers for a token, hidden units, tokens of an output group.
 SIDE, EMBEDDED, HIDDEN, GROUP = 3, 12, 64, 64
-ROUNDS, SHARD_ROWS, BATCH, RATE = 4, 250_000, 512, 0.01
+ROUNDS, SHARD_ROWS, BATCH, RATE = 4, 400_000, 512, 0.01
 #: The places of a window, its context first.
 PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1), 0)
 CHUNK_CHARS = 2_000_000
 #: Windows that are scored at once, few enough for their hidden units to stay in the processor's cache.
 STEP = 4000
 #: Distinct windows that a task of the counting holds before it combines or passes them on.
-HELD = 2_000_000
+HELD = 4_000_000
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
