@@ -223,6 +223,6 @@ def pack_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     except AnalysisException:
         return pack_corpus(docs, id_col=id_col, text_col=text_col, tokenizer_path=tokenizer_path, end_id=end_id, capacity=capacity)
     part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
-    placed = docs.select("*", part.alias("_part"), F.floor(F.col("_metadata.row_index") / GROUP_DOCS).alias("_run"))
-    pieces = pieces_in(placed, id_col, text_col, tokenizer_path or vocabulary(), end_id, capacity, "_part", "_run")
+    placed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), part.alias("_part"), F.floor(F.col("_metadata.row_index") / GROUP_DOCS).alias("_run"))
+    pieces = pieces_in(placed, "doc_id", "text", tokenizer_path or vocabulary(), end_id, capacity, "_part", "_run")
     return grouped(pieces.withColumn("_group", F.shiftleft("_part", 18) + F.col("_run")), capacity, 24)

@@ -53,6 +53,14 @@ def test_audit(spark, chunk, tile):
     assert got == plain_audit(rows, 8, 4) and len({r[2] for r in got}) == 2
 
 
+def test_audit_of_odd_rows(spark, odd, none):
+    assert divergence.audit(none).count() == 0
+    rows = [(r.lang, r.source, r.text) for r in odd.collect()]
+    names = ("lang", "source", "part", "item", "value", "rank")
+    assert rows_of(divergence.audit(odd, least_docs=1, top=3), *names) == plain_audit(rows, 1, 3)
+    assert {r[4] for r in rows_of(divergence.audit(odd), *names)} == {0}  # no term is in 30 documents
+
+
 def test_audit_of_large_counts():
     import numpy as np
 

@@ -90,7 +90,8 @@ def test_equal_rows_are_dealt_over_groups(spark, monkeypatch):
 
 def test_packing_keeps_a_stored_order(spark, tmp_path):
     rows = [(k, "word " * (1 + k * 7919 % 900)) for k in range(9000)]
-    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
+    clashing = [(*r, 1, 2, 3) for r in rows]
+    spark.createDataFrame(clashing, "doc_id long, text string, _part int, _run int, nth int").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
     got = sorted(packing.pack_in_order(spark.read.parquet(str(tmp_path / "docs"))).collect(), key=lambda r: (r.sequence_id, r.offset))
     assert sorted(r.doc_id for r in got if r.start == 0) == list(range(9000))
     first = {}
