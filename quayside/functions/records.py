@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,9 +125,9 @@ def noisy_lead(lead: Column, noise: Column, ceiling: Column | None = None) -> Co
     return F.when(lead == float("inf"), lead).otherwise(moved if ceiling is None else F.least(moved, ceiling))
 
 
-def call_cost(prompt: Column, completion: Column, price_in: float, price_out: float) -> Column:
-    """US dollars of a call, by prices of a million tokens."""
-    return (prompt * price_in + completion * price_out) / 1_000_000
+def call_cost(prompt: Column, completion: Column, price_in: float | Decimal, price_out: float | Decimal) -> Column:
+    """US dollars of a call, by prices of a million tokens; sums of decimal prices are exact."""
+    return (prompt * price_in + completion * price_out).cast("double") / 1_000_000
 
 
 def error_kind(status: Column, connected: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -439,11 +441,16 @@ def record_functions(spark, sf):
     named = F.create_map(F.lit("small"), F.lit(0.05))
     error = F.when(k % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("error "), k, F.repeat(F.lit("x"), 100), F.lit("\nmore")))
     lead = F.when(k % 6 == 0, float("inf")).otherwise((k % 3).cast("double"))
-    status = pick(("403", "429", "400", "503"), k % 4).cast("int")
+    # as the SQL's last branches have it: also for a key that is negative or null
+    status = F.coalesce(pick(("403", "429", "400"), k % 4), F.lit("503")).cast("int")
+    named_anchor = F.coalesce(pick(("onset", "early1", "early2"), k % 4), F.lit("start"))
+    # exact until the price is divided, and rounded as the SQL rounds doubles, by their product with a power of ten: other
+    # ways differ from it where a double has no ninth digit
+    usd = F.round(R.call_cost(k, F.lit(10), Decimal("2.5"), Decimal("10.0")) * 1e9) / 1e9
     return table(spark, sf, "orders").select(
         "o_orderkey", R.cost_ratio(profit).alias("ratio"), R.path_label(path, ("lead_time_0", "lead_time_4")).alias("lead"), R.threshold_of(pick(("none", "small", "2.5", "bad"), k % 4), named).alias("threshold"),
-        R.anchor(pick(("onset", "early1", "early2", "start"), k % 4), F.lit(20)).alias("anchor"), R.error_class(error).alias("error"), R.noisy_lead(lead, F.lit(-1)).alias("noisy"), R.noisy_lead(lead, F.lit(-1), F.lit(1.0)).alias("clipped"),
-        F.round(R.call_cost(k, F.lit(10), 2.5, 10.0), 9).alias("usd"), R.error_kind(status, k % 7 != 0).alias("kind"), R.request_digest(F.when(k % 2 == 0, "sys"), F.col("o_orderstatus")).alias("digest"),
+        R.anchor(named_anchor, F.lit(20)).alias("anchor"), F.when(k.isNotNull(), R.error_class(error)).alias("error"), R.noisy_lead(lead, F.lit(-1)).alias("noisy"), R.noisy_lead(lead, F.lit(-1), F.lit(1.0)).alias("clipped"),
+        usd.alias("usd"), R.error_kind(status, F.coalesce(k % 7 != 0, F.lit(True))).alias("kind"), R.request_digest(F.when(k % 2 == 0, "sys"), F.col("o_orderstatus")).alias("digest"),
     )
 
 

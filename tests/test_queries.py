@@ -36,3 +36,17 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 1
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_record_functions_of_far_keys(spark, tmp_path):
+    """Keys that are shifted far, negative or null: bit for bit what the SQL gives."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT k.k + s.s AS o_orderkey, 'F' AS o_orderstatus FROM RANGE(420) k(k), (SELECT UNNEST([0, 1700000000000, 590000000000000, 590000000000000000, -420]) AS s) s UNION ALL SELECT NULL, 'O') TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet'")
+    catalog.QUERIES["record_functions"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/ours")
+    con.execute(f"CREATE TABLE theirs AS {catalog.SQL['record_functions']}")
+    con.execute(f"CREATE TABLE ours AS FROM '{tmp_path}/ours/*.parquet'")
+    for a, b in (("ours", "theirs"), ("theirs", "ours")):
+        assert con.execute(f"SELECT COUNT(*) FROM (FROM {a} EXCEPT ALL FROM {b})").fetchone() == (0,)
