@@ -4,17 +4,21 @@ A proposal at tau says that a demand level or the lead time changed near it. Ove
 to any later period is a difference of prefix sums, so that a period costs the grid, whatever its history. Lead times are
 filtered forward: every period adds one term for each (shift, start), all starts together. Predictive moments over the lead
 window are closed forms, hypotheses are weighed by prior and e-value on the log scale, and the mixture's quantile is found
-by a fixed number of halvings. All of it is expressions; a row holds the grid of one proposal and period.
+by a fixed number of halvings, in numpy for a batch of rows. The rest is expressions; a row holds the grid of one proposal
+and period.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.plans.runtime import let
+from quayside.plans.runtime import let, spread
 
 # Multipliers and durations (null: lasting) of each hypothesis with the weights of its durations, and shifts.
 LASTING = ((None, 0.5), (2, 0.5 / 3), (3, 0.5 / 3), (4, 0.5 / 3))
@@ -51,22 +55,56 @@ def total(parts: Column, of) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, p: s + of(p))
 
 
+def normal_cdf_of(x: np.ndarray) -> np.ndarray:
+    """normal_cdf of many values; beyond 40 deviations a tail is 0."""
+
+    def polynomial(factors: Sequence[float], z: np.ndarray) -> np.ndarray:
+        out = np.full_like(z, factors[0])
+        for f in factors[1:]:
+            out *= z
+            out += f
+        return out
+
+    z = np.minimum(np.abs(x), 40.0)
+    tail = polynomial(HART_ABOVE, z) / polynomial(HART_BELOW, z)
+    out = np.flatnonzero(z >= 7.07106781186547)
+    far = z[out] + 0.65
+    for k in (4, 3, 2, 1):
+        far = z[out] + k / far
+    tail[out] = 1 / (far * 2.506628274631)
+    tail *= np.exp(-z * z / 2)
+    return np.where(x > 0, 1 - tail, tail)
+
+
+def halved(parts: pa.Array, level: pa.Array, halvings: int) -> pa.Array:
+    """Quantiles of a batch of mixtures, all halved together."""
+    lengths = parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    some, flat = lengths > 0, parts.flatten()
+    x = np.full(len(lengths), np.nan)
+    if some.any():
+        n = lengths[some]
+        w, mu, sd = (pc.struct_field(flat, name).to_numpy(zero_copy_only=False) for name in ("w", "mu", "sd"))
+        at, wanted, sd = np.cumsum(n) - n, level.to_numpy(zero_copy_only=False)[some], np.maximum(sd, 1e-9)
+        low, high = np.minimum.reduceat(mu - 12 * sd, at), np.maximum.reduceat(mu + 12 * sd, at)
+        for _ in range(halvings):
+            middle = (low + high) / 2
+            below = np.add.reduceat(w * normal_cdf_of((np.repeat(middle, n) - mu) / sd), at) < wanted
+            low, high = np.where(below, middle, low), np.where(below, high, middle)
+        x[some] = np.where(np.isnan(wanted), np.nan, (low + high) / 2)
+    return pa.array(x, mask=np.isnan(x))
+
+
 def mixture_quantile(parts: Column, level: Column, halvings: int = 56) -> Column:
     """x with sum w Phi((x - mu) / sd) = level for parts (w, mu, sd) whose weights sum to 1; null for none.
 
     The first bracket is 12 deviations around all parts; each step halves it, so that 56 leave less than 1e-7 of any
     bracket below 7e9.
     """
-    sd = lambda p: F.greatest(p["sd"], F.lit(1e-9))
-    low, high = F.array_min(F.transform(parts, lambda p: p["mu"] - 12 * sd(p))), F.array_max(F.transform(parts, lambda p: p["mu"] + 12 * sd(p)))
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = (s["low"] + s["high"]) / 2
-        below = total(parts, lambda p: p["w"] * normal_cdf((middle - p["mu"]) / sd(p))) < level
-        return let(F.struct(middle.alias("m"), below.alias("b"), s.alias("s")), lambda v: F.struct(F.when(v["b"], v["m"]).otherwise(v["s"]["low"]).alias("low"), F.when(v["b"], v["s"]["high"]).otherwise(v["m"]).alias("high")))
+    def quantiles(parts: pa.Array, level: pa.Array) -> pa.Array:
+        return halved(parts, level, halvings)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), F.struct(low.alias("low"), high.alias("high")), halve)
-    return F.when(F.size(parts) > 0, let(found, lambda f: (f["low"] + f["high"]) / 2))
+    return F.arrow_udf(quantiles, "double")(parts, level)
 
 
 def histories(panel: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("episode",), squares: bool = False) -> DataFrame:
@@ -145,7 +183,7 @@ class Demand:
 def demand_posterior(panel: DataFrame, proposals: DataFrame, lifetime: int, keys: Sequence[str] = ("episode",)) -> DataFrame:
     """A row for each proposal (keys, tau, hypothesis, lead), and period t after it, with its posterior of alternatives as
     parts (p, multiplier, start, duration, active at t, mu and sd of demand over the lead window)."""
-    rows = proposals.join(histories(panel, ["demand"], keys, squares=True), list(keys))
+    rows = spread(proposals.join(histories(panel, ["demand"], keys, squares=True), list(keys)), *keys, "hypothesis", "tau")
     rows = rows.withColumn("t", F.explode(F.when(F.col("tau") < F.col("last"), F.sequence(F.col("tau") + 1, F.least("last", F.col("tau") + lifetime)))))
     d = Demand()
     found = F.coalesce(*(F.when(F.col("hypothesis") == h, d.posterior(h)) for h in DEMAND))

@@ -4,6 +4,7 @@ import math
 import random
 from statistics import NormalDist, mean, stdev
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quayside.operators import mixture as M
@@ -85,3 +86,20 @@ def test_lead_posterior(spark):
         assert all(abs(p.p - math.exp(logs[p.shift, p.start] - top) / total) < 1e-9 for p in r.parts) and len(r.parts) == 27
     last = max(rows, key=lambda r: r.t)
     assert max(last.parts, key=lambda p: p.p)[1:3] == (2, 11)
+
+
+def test_quantiles_of_far_parts_and_odd_rows(spark):
+    xs = np.linspace(-45, 45, 3001)
+    want = np.array([NormalDist().cdf(x) for x in xs])
+    assert np.abs(M.normal_cdf_of(xs) - want).max() < 1e-14
+    rows = [(1, None, 0.5), (2, [(1.0, 5.0, 2.0)], 0.5), (3, [(0.5, -1e6, 0.0), (0.5, 1e6, 1e-3)], 0.25), (4, [], 0.5), (5, [(1.0, 5.0, 2.0)], None)]
+    df = spark.createDataFrame(rows, "k int, parts array<struct<w:double,mu:double,sd:double>>, level double").coalesce(1)
+    got = {r.k: r.x for r in df.select("k", M.mixture_quantile(F.col("parts"), F.col("level")).alias("x")).collect()}
+    assert got[1] is got[4] is got[5] is None and abs(got[2] - 5) < 1e-7 and abs(got[3] + 1e6) < 1e-6
+
+
+def test_posteriors_are_dealt_over_all_cores(spark):
+    panel = spark.createDataFrame([(e, t, 100 + (e * t) % 9) for e in range(20) for t in range(1, 31)], "episode int, period int, demand long")
+    made = spark.createDataFrame([(e, 12, h, 2) for e in range(20) for h in M.DEMAND], "episode int, tau int, hypothesis string, lead int")
+    rows = M.demand_posterior(panel, made, 10).withColumn("task", F.spark_partition_id())
+    assert rows.select("task").distinct().count() > 4
