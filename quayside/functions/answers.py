@@ -16,6 +16,7 @@ METHODS, EXPECTED = ("default", "explicit", "recent_N", "calculate"), ("paramete
 MENU = {"L": ("default", "calculate", "recent_N", "explicit"), "mu_hat": ("default", "recent_N", "EWMA_gamma", "explicit"), "sigma_hat": ("default", "recent_N", "explicit")}
 STRING = r'"(?:[^"\\]|\\.)*"'
 PIECE, LEAF = rf'(?s){STRING}|[{{}}]|[^"{{}}]+|"', rf"{STRING}\s*:|{STRING}|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false"
+BRACED = r"(?s)\{.*\}"
 PAIR, ACTION = r'"\w+"\s*:\s*(?:"[^"]*"|\d+(?:\.\d+)?)|\}', r'"action"\s*:\s*\{([^}]+)\}'
 NEEDED = {"recent_N": "N", "explicit": "value", "EWMA_gamma": "gamma"}
 
@@ -119,7 +120,7 @@ def spans(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Spans of the whole text, then of what stands from its first brace to its last: a lone quote before would hide them."""
-    return let(F.coalesce(text, F.lit("")), lambda t: F.concat(spans(t), spans(F.regexp_extract(t, r"(?s)\{.*\}", 0))))
+    return let(F.coalesce(text, F.lit("")), lambda t: F.concat(spans(t), spans(F.regexp_extract(t, BRACED, 0))))
 
 
 def as_json(text: Column) -> Column:
@@ -171,9 +172,16 @@ def orders_of(text: Column) -> Column:
 def objects_of(text: Column) -> Column:
     """An answer as a JSON object, mended where it must be: the first candidate with a name that marks an answer, else the
     last; null where only menu_choices is left."""
-    valid = F.filter(F.transform(candidates(text), lambda c: as_json(c["text"])), lambda c: c.isNotNull() & (c != "{}"))
-    marked = lambda all_: F.filter(all_, lambda c: F.arrays_overlap(F.json_object_keys(c), F.array(*map(F.lit, EXPECTED))))
-    return spaced(let(valid, lambda all_: F.coalesce(F.get(marked(all_), F.lit(0)), F.get(all_, F.size(all_) - 1))))
+    valid = lambda t: F.filter(F.transform(spans(t), lambda c: as_json(c["text"])), lambda c: c.isNotNull() & (c != "{}"))
+    marked = lambda all_: F.get(F.filter(all_, lambda c: F.arrays_overlap(F.json_object_keys(c), F.array(*map(F.lit, EXPECTED)))), F.lit(0))
+    last = lambda all_: F.get(all_, F.size(all_) - 1)
+
+    def chosen(t: Column) -> Column:
+        # the candidates' second half is read only where the first has no name, and differs from it
+        inner = let(F.regexp_extract(t, BRACED, 0), lambda cut: F.when((cut != "") & (cut != t), let(valid(cut), lambda more: F.coalesce(marked(more), last(more)))))
+        return let(valid(t), lambda all_: F.coalesce(marked(all_), inner, last(all_)))
+
+    return spaced(let(F.coalesce(text, F.lit("")), chosen))
 
 
 def literals_of(text: Column) -> Column:

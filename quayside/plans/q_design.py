@@ -12,7 +12,7 @@ from quayside.operators import episodes as G
 from quayside.operators import templates as T
 from quayside.plans.q_evaluation import rounded
 from quayside.plans.q_panel import EP, eprocess
-from quayside.plans.runtime import table
+from quayside.plans.runtime import spread, table
 from quayside.plans.views import DP, demand_panel
 
 QUERIES, SQL = {}, {}
@@ -44,7 +44,7 @@ def answers(spark, sf):
         .when(e == 1, F.concat(lit('"action": {"7": '), u, lit(', "8": 2}}'))).when(e == 2, F.concat(lit('I think {"rationale": "so \\$5 and 10\\%", "action": {"7": '), u, lit("}} is right")))
         .when(e == 3, F.concat(lit('order "7": '), u, lit(" please"))).when(e == 4, lit('{"parameters": {"7": {"L": {"method": "default"}, "mu_hat": {"method": "recent_N", "N": 3}, "sigma_hat": {"method": "explicit"}}}}')).otherwise(lit("nothing to say \\x41"))
     )
-    return table(spark, sf, "events").select("event_id", text.alias("text"))
+    return spread(table(spark, sf, "events").select("event_id", "user_id"), "event_id").select("event_id", text.alias("text"))
 
 
 @query(f"WITH {AN} SELECT event_id, " + r"""REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(TRIM(text), '^```(?:json)?\s*', ''), '\s*```$', ''), '(^|[^\\])\\\$', '\1$', 'g'), '(^|[^\\])\\%', '\1%', 'g'), '\\x([0-9a-fA-F]{2})', '\\u00\1', 'g'), ',(\s*[}\]])', '\1', 'g') AS cleaned,

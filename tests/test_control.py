@@ -107,6 +107,13 @@ def test_answers(spark):
     assert (chosen[0].L_n, chosen[1].L_n, chosen[1].mu_hat_n, chosen[1].sigma_hat_value, chosen[0].mu_hat_method) == (5, 4, 4, 2.5, "default")
 
 
+def test_answers_are_dealt_over_all_cores(spark):
+    from quayside.plans import q_design
+
+    made = q_design.tolerant_objects(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("task"))
+    assert made.distinct().count() > 4
+
+
 def test_slots_by_big_numbers(spark):
     import hashlib
     import json
