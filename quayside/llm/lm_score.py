@@ -34,6 +34,8 @@ PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1), 0)
 CHUNK_CHARS = 2_000_000
 #: Windows that are scored at once, few enough for their hidden units to stay in the processor's cache.
 STEP = 4000
+#: Exponents up to here, and down to its negative, need no shift before they are summed.
+FAR = 60.0
 #: Distinct windows that a task of the counting holds before it combines or passes them on.
 HELD = 4_000_000
 
@@ -89,8 +91,9 @@ class Windows:
         c, at = self.numbered(texts)
         if self.width == 1:
             wide, key = c.astype("<u8"), np.zeros(len(c), "<u8")
-            for j, k in enumerate(PLACES):  # borders stand at both ends, so nothing real goes around
-                key |= np.roll(wide, -k) << np.uint64(8 * j)
+            for j, k in enumerate(PLACES):  # borders stand at both ends, so every real window is whole
+                first, last = max(0, -k), len(c) - max(0, k)
+                key[first:last] |= wide[first + k : last + k] << np.uint64(8 * j)
             return key[at]
         rows = np.stack([c[at + k] for k in PLACES], axis=1)
         raw = np.ascontiguousarray(rows, "<u4").view("uint8").reshape(len(rows), -1, 4)[:, :, : self.width]
@@ -173,11 +176,14 @@ def log_softmax(o: np.ndarray) -> np.ndarray:
     return o - np.log(np.exp(o).sum(axis=1, keepdims=True))
 
 
-def picked(o: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """One column of the log-softmax of each row; o is used up."""
-    o -= o.max(axis=1, keepdims=True)
+def picked(h: np.ndarray, w: np.ndarray, b: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """One column of the log-softmax of h @ w + b in each row, for hidden units h between -1 and 1."""
+    o = h @ w
+    o += b
+    if (np.abs(w).sum(axis=0) + np.abs(b)).max() > FAR:  # else no sum of exponentials leaves the range of floats
+        o -= o.max(axis=1, keepdims=True)
     chosen = o[np.arange(len(o)), column]
-    return chosen - np.log(np.exp(o, out=o).sum(axis=1))
+    return chosen - np.log(np.exp(o, out=o) @ np.ones(o.shape[1], o.dtype))
 
 
 class Network:
@@ -211,11 +217,11 @@ class Network:
             h += table.take(seen[:, k], axis=0)
         np.tanh(h, out=h)
         group = token // GROUP
-        logp = picked(h @ self.params[3] + self.params[4], group)
+        logp = picked(h, *self.params[3:5], group)
         for g in np.unique(group):
-            at = np.flatnonzero(group == g)
+            at = slice(None) if (group == g).all() else np.flatnonzero(group == g)
             used = min(GROUP, self.size - int(g) * GROUP)
-            logp[at] += picked(h[at] @ self.params[5][g][:, :used] + self.params[6][g][:used], token[at] % GROUP)
+            logp[at] += picked(h[at], self.params[5][g][:, :used], self.params[6][g][:used], token[at] % GROUP)
         return logp
 
     def gradients(self, seen: np.ndarray, token: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -302,9 +308,11 @@ def score(docs: DataFrame, network: Network, points_: list[int]) -> DataFrame:
         for batch, texts in runs(batches, 1):
             keys, at = distinct_keys(windows.keys(texts))
             distinct, logp = windows.windows(keys), np.zeros(len(keys), "float32")
+            order = np.argsort((distinct[:, -1] // GROUP).astype("uint16"), kind="stable")  # so that most steps have one group
             for a in range(0, len(keys), STEP):
-                part = distinct[a : a + STEP]
-                logp[a : a + STEP] = network.log_probability(part[:, :-1], part[:, -1], tables)
+                rows = order[a : a + STEP]
+                part = distinct[rows]
+                logp[rows] = network.log_probability(part[:, :-1], part[:, -1], tables)
             n = np.array([len(t) for t in texts], "int64")
             sums = np.diff(np.concatenate([[0.0], np.cumsum(logp[at], dtype="float64")])[np.concatenate([[0], np.cumsum(n)])])
             sums = np.where(n > 0, np.round(sums, 4), 0.0)

@@ -126,3 +126,18 @@ def test_lm_ranks_foreign_text_and_junk_below_the_corpus(spark):
     probe = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
     got = {r.doc_id: r.mean_log_probability for r in lm_score.score(probe, network, found).collect()}
     assert min(got[k] for k in range(len(good))) > 0.5 + max(got[k] for k in range(len(good), len(good + bad)))
+
+
+def test_lm_scores_of_far_weights():
+    """Sums of exponentials are shifted where weights are large, and not where they are small; both as the full table has it."""
+    rng = np.random.default_rng(1)
+    seen, token = rng.integers(0, 150, (500, 6)), rng.integers(0, 150, 500)
+    for factor in (1.0, 200.0):
+        net = lm_score.Network(150)
+        for k in (3, 5):
+            net.params[k] *= np.float32(factor)
+        want = net.log_probabilities(seen)[np.arange(500), token]
+        got = net.log_probability(seen, token)
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-4, atol=1e-4)
+        one = token // lm_score.GROUP == 0
+        assert np.allclose(net.log_probability(seen[one], token[one]), want[one], rtol=1e-4, atol=1e-4)
