@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.batches import slices
+from quayside.llm.batches import frugal, slices
 from quayside.llm.components import components
 from quayside.plans.runtime import materialize
 
@@ -145,7 +145,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, digests, pa.array(n), *fingerprints(sets), as_lists([b if k else b[:0] for b, k in zip(bands, n, strict=True)])], ["doc_id", "digest", "n_shingles", "f1", "f2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.withColumn("digest", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, digest long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.withColumn("digest", F.xxhash64("text")).mapInArrow(frugal(run), f"doc_id {kind}, digest long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -157,7 +157,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             sets = shingler.sets(texts)
             yield pa.RecordBatch.from_arrays([ids, *fingerprints(sets), as_lists([s.view("int64") for s in sets])], ["doc_id", "f1", "f2", "items"])
 
-    return docs.select("doc_id", "text", F.lit(0).alias("digest")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, f1 long, f2 long, items array<long>")
+    return docs.select("doc_id", "text", F.lit(0).alias("digest")).mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, f1 long, f2 long, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.batches import slices
+from quayside.llm.batches import frugal, slices
 
 #: Documents to a group on average.
 GROUP_DOCS = 2048
@@ -189,7 +189,7 @@ def pieces_in(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     """The pieces of every row, with `nth`: how many pieces like it the task had before."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
     kinds = [f"{c} {read.schema[c].dataType.simpleString()}" for c in ("doc_id", *kept)]
-    return read.mapInArrow(lambda it: pieces_of(it, path, end_id, capacity), ", ".join([kinds[0], "start long, length long, ids_crc32 long, doc_tokens long, nth long", *kinds[1:]]))
+    return read.mapInArrow(frugal(lambda it: pieces_of(it, path, end_id, capacity)), ", ".join([kinds[0], "start long, length long, ids_crc32 long, doc_tokens long, nth long", *kinds[1:]]))
 
 
 def grouped(pieces: DataFrame, capacity: int, bits: int) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.batches import slices
+from quayside.llm.batches import frugal, slices
 
 BASE_KINDS, ADDED_KINDS = ("assign", "access", "hex"), ("der", "openssh", "jwt")
 RANK = {k: i for i, k in enumerate(BASE_KINDS + ADDED_KINDS)}
@@ -287,7 +287,7 @@ def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             columns = list(zip(*(report_row(t.as_py()) for t in batch.column(1)), strict=True)) or [()] * len(REPORT)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, REPORT, strict=True))], ["doc_id", *(n for n, _ in REPORT)])
 
-    return read.mapInArrow(scan, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+    return read.mapInArrow(frugal(scan), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
 
 
 def redacted(text: str | None, mark: str) -> str | None:
@@ -314,4 +314,4 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]") -> DataFrame:
                 columns[chars] = pc.utf8_length(columns[at]).cast(batch.column(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(frugal(clean), schema)
