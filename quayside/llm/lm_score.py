@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.batches import slices
+from quayside.llm.batches import frugal, give_back, slices
 from quayside.plans.runtime import materialize
 
 #: Tokens seen on each side, numbers for a token, hidden units, tokens of an output group.
@@ -36,8 +36,8 @@ CHUNK_CHARS = 2_000_000
 STEP = 4000
 #: Exponents up to here, and down to its negative, need no shift before they are summed.
 FAR = 60.0
-#: Distinct windows that a task of the counting holds before it combines or passes them on.
-HELD = 4_000_000
+#: Windows that a task of the counting holds before it combines them, and distinct ones above which it then passes them on.
+HELD, PASSED = 3_000_000, 2_500_000
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -136,13 +136,23 @@ def alphabet(docs: DataFrame) -> list[int]:
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["point", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(frugal(count), "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
     return [r.point for r in counts.orderBy(F.desc("n"), "point").collect()]  # no more than Unicode has
 
 
 def combined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype("int64")
+    """The distinct keys, sorted, and their counts. Empties held; no array outlives the one made of it."""
+    keys, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+    held.clear()
+    order = np.argsort(keys, kind="stable")  # merges what is sorted
+    keys = keys[order]
+    n = n[order]
+    del order
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    n = np.add.reduceat(n, first) if len(first) else n
+    return keys[first], n
 
 
 def window_counts(docs: DataFrame, points_: list[int]) -> DataFrame:
@@ -163,12 +173,13 @@ def window_counts(docs: DataFrame, points_: list[int]) -> DataFrame:
             held.append(np.unique(windows.keys(texts), return_counts=True))
             if sum(len(k) for k, _ in held) > HELD:
                 held = [combined(held)]
-                if len(held[0][0]) > HELD // 2:
+                if len(held[0][0]) > PASSED:
                     yield from passed_on(*held.pop())
+                give_back()
         if held:
             yield from passed_on(*combined(held))
 
-    return docs.select("text").mapInArrow(count, "context binary, token int, n long").groupBy("context", "token").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(frugal(count), "context binary, token int, n long").groupBy("context", "token").agg(F.sum("n").alias("n"))
 
 
 def log_softmax(o: np.ndarray) -> np.ndarray:
@@ -319,7 +330,7 @@ def score(docs: DataFrame, network: Network, points_: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums), pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)], ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
+    return docs.mapInArrow(frugal(run), f"doc_id {kind}, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
 
 
 def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

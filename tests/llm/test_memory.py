@@ -1,12 +1,33 @@
-"""What Python workers hold once a task has ended."""
+"""What Python workers hold: at most, and once a task has ended."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import psutil
 import pyarrow as pa
-
-from quayside.llm import batches, langid, minhash, packing, secrets
+import pytest
+
+from quayside.llm import batches, langid, lm_score, minhash, packing, secrets
+
+
+@pytest.mark.parametrize("kind", ["<u8", "S14"])
+def test_lm_counts_are_combined_without_copies(kind):
+    """Equal to a plain count; beside the windows held, no more than three copies of them at once."""
+    rng = np.random.default_rng(5)
+    held = [np.unique(rng.integers(1, 400_000, 300_000).astype(kind), return_counts=True) for _ in range(4)]
+    want = Counter()
+    for k, n in held:
+        want.update(dict(zip(k.tolist(), n.tolist(), strict=True)))
+    size = sum(k.nbytes + n.nbytes for k, n in held)
+    tracemalloc.start()
+    keys, n = lm_score.combined(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == want and (keys[1:] > keys[:-1]).all()
+    assert peak < 3 * size, peak / size
+    empty = np.zeros(0, kind)
+    assert [len(x) for x in lm_score.combined([(empty, np.zeros(0, "int64"))])] == [0, 0]
 
 
 def test_a_task_gives_back_what_it_freed():
@@ -28,9 +49,9 @@ def test_a_task_gives_back_what_it_freed():
 
 
 def test_every_text_stage_gives_back(spark, monkeypatch):
-    """The pipeline's stages in Python run as tasks that give back."""
+    """The pipeline's stages in Python and the scoring run as tasks that give back."""
     docs, seen = spark.createDataFrame([(1, "some words of text")], "doc_id long, text string"), []
-    for module in (langid, minhash, packing, secrets):
+    for module in (langid, lm_score, minhash, packing, secrets):
         monkeypatch.setattr(module, "frugal", lambda f, name=module.__name__.split(".")[-1]: seen.append(name) or f)
     network = langid.Network(["en"])
     monkeypatch.setattr(langid, "train", lambda *a, **k: network)
@@ -38,4 +59,5 @@ def test_every_text_stage_gives_back(spark, monkeypatch):
     minhash.sketches(docs, 5), minhash.shingle_sets(docs, 5)
     secrets.redact(docs), secrets.secret_report(docs)
     packing.pieces_in(docs, "doc_id", "text", packing.vocabulary(), 2, 4096)
-    assert Counter(seen) == {"langid": 2, "minhash": 2, "secrets": 2, "packing": 1}
+    lm_score.score(docs, lm_score.Network(40), lm_score.alphabet(docs)), lm_score.window_counts(docs, [97])
+    assert Counter(seen) == {"langid": 2, "minhash": 2, "secrets": 2, "packing": 1, "lm_score": 3}
